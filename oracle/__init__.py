@@ -1,0 +1,9 @@
+"""DuckDB oracle: the reference's SQL over the bridge tables."""
+
+from .reports import report_sql
+
+
+def oracle_queries() -> dict[str, str]:
+    out = {}
+    out.update(report_sql())
+    return out
