@@ -1,9 +1,11 @@
 """DuckDB oracle: the reference's SQL over the bridge tables."""
 
+from .audit import audit_sql
 from .reports import report_sql
 
 
 def oracle_queries() -> dict[str, str]:
     out = {}
     out.update(report_sql())
+    out["audit"] = audit_sql()
     return out

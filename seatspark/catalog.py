@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.audit import audit
 from .plans import reports as R
 from .plans import views as V
 from .sources.bridge import bridge_tables
@@ -63,6 +64,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "user_profile": R.user_profile,
     "held_totals": R.held_totals,
     "booking_flags": R.booking_flags,
+    "audit": audit,
 }
 
 
