@@ -1,6 +1,7 @@
 """DuckDB oracle: the reference's SQL over the bridge tables."""
 
 from .audit import audit_sql
+from .changes import changes_sql
 from .reports import report_sql
 
 
@@ -8,4 +9,5 @@ def oracle_queries() -> dict[str, str]:
     out = {}
     out.update(report_sql())
     out["audit"] = audit_sql()
+    out.update(changes_sql())
     return out

@@ -64,9 +64,9 @@ payment AS (
 """
 
 
-def with_bridge(body: str, extra_ctes: str = "") -> str:
+def with_bridge(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix a query body with the bridge CTEs (and optional extra CTEs)."""
     ctes = BRIDGE_CTES.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body.strip()}"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.audit import audit
 from .plans import reports as R
 from .plans import views as V
+from . import scenarios as S
 from .sources.bridge import bridge_tables
 from .sources.tables import Tables
 
@@ -68,6 +69,12 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+CHANGES: dict[str, Query] = {
+    "admit_bookings": S.admit_outcomes,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _on_bridge(fn) for name, fn in REPORTS.items()}
+    out.update(CHANGES)
     return out
