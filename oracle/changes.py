@@ -85,7 +85,126 @@ FROM decided d
 """
 
 
+
+EVENTS_CTES = """
+ev AS (
+  SELECT CAST(event_id % (SELECT count(*) // 5 FROM events) AS BIGINT) AS booking_id,
+         CAST(event_id AS BIGINT) AS seq,
+         CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'checkin'
+              WHEN 'view' THEN 'use' WHEN 'error' THEN 'cancel'
+              WHEN 'signup' THEN 'create_payment' END AS action,
+         CAST(NULL AS VARCHAR) AS new_status,
+         CAST(ts AS TIMESTAMP) AS ev_at
+  FROM events),
+ctx AS (
+  SELECT k.booking_id, b.user_id AS owner, b.status AS b0, st.price,
+         COALESCE(s.n, 0) AS n_seats, p.payment_id, p.status AS p0,
+         b.booking_id IS NOT NULL AS exists_, st.showtime_id IS NOT NULL AS show_ok
+  FROM (SELECT DISTINCT booking_id FROM ev) k
+  LEFT JOIN booking b ON b.booking_id = k.booking_id
+  LEFT JOIN showtime st ON st.showtime_id = b.showtime_id
+  LEFT JOIN (SELECT booking_id, count(seat_number) AS n FROM booking_seat GROUP BY booking_id) s
+         ON s.booking_id = k.booking_id
+  LEFT JOIN (SELECT booking_id, min(payment_id) AS payment_id,
+                    arg_min(status, payment_id) AS status
+             FROM payment GROUP BY booking_id) p ON p.booking_id = k.booking_id),
+evc AS (
+  SELECT ev.*, c.exists_, c.show_ok, c.n_seats > 0 AS has_seats,
+         -- the actor is the booking's own user
+         c.owner IS NOT NULL AS is_owner,
+         row_number() OVER (PARTITION BY ev.booking_id ORDER BY ev.seq) AS rn
+  FROM ev JOIN ctx c ON c.booking_id = ev.booking_id),
+fold AS (
+  SELECT booking_id, CAST(0 AS BIGINT) AS rn, b0 AS b, p0 AS p, 0 AS a, 0 AS i,
+         CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action,
+         CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS TIMESTAMP) AS ev_at, 0 AS inserted_here
+  FROM ctx
+  UNION ALL
+  SELECT booking_id, rn,
+         CASE WHEN outcome <> 'ok' THEN b
+              WHEN action = 'cancel' OR action = 'refund' THEN 'Cancelled'
+              WHEN action IN ('pay', 'create_payment') THEN 'Confirmed'
+              WHEN action IN ('use', 'checkin') THEN 'Used'
+              WHEN action = 'set_status' THEN new_status END,
+         CASE WHEN outcome <> 'ok' THEN p
+              WHEN action = 'pay' THEN 'Confirmed'
+              WHEN action = 'create_payment' THEN 'Pending'
+              WHEN action = 'refund' THEN 'Refunded' ELSE p END,
+         CASE WHEN outcome = 'ok' AND action IN ('pay', 'create_payment') THEN 1 ELSE a END,
+         CASE WHEN outcome = 'ok' AND ((action = 'pay' AND p IS NULL) OR action = 'create_payment')
+              THEN 1 ELSE i END,
+         seq, action, outcome, ev_at,
+         CASE WHEN outcome = 'ok' AND ((action = 'pay' AND p IS NULL) OR action = 'create_payment')
+              THEN 1 ELSE 0 END
+  FROM (
+    SELECT f.booking_id, e.rn, f.b, f.p, f.a, f.i, e.seq, e.action, e.new_status, e.ev_at,
+      CASE
+        WHEN e.exists_ AND f.b NOT IN ('Pending', 'Confirmed', 'Cancelled', 'Used') THEN 'invalid_state'
+        WHEN e.action = 'cancel' THEN CASE
+          WHEN NOT e.exists_ THEN 'not_found' WHEN NOT e.is_owner THEN 'unauthorized'
+          WHEN f.b = 'Cancelled' THEN 'already_cancelled' WHEN f.b = 'Used' THEN 'already_used'
+          ELSE 'ok' END
+        WHEN e.action = 'pay' THEN CASE
+          WHEN NOT e.exists_ OR NOT e.show_ok THEN 'not_found'
+          WHEN NOT e.is_owner THEN 'unauthorized'
+          WHEN f.b = 'Cancelled' THEN 'cancelled_booking'
+          WHEN f.p = 'Confirmed' THEN 'already_paid' ELSE 'ok' END
+        WHEN e.action = 'create_payment' THEN CASE
+          WHEN NOT e.exists_ THEN 'not_found' WHEN NOT e.is_owner THEN 'unauthorized'
+          WHEN f.p IS NOT NULL THEN 'payment_exists'
+          WHEN NOT e.show_ok OR NOT e.has_seats THEN 'no_seats' ELSE 'ok' END
+        WHEN e.action = 'use' THEN CASE
+          WHEN NOT e.exists_ THEN 'not_found' WHEN f.b = 'Cancelled' THEN 'cancelled_booking'
+          WHEN f.b = 'Used' THEN 'already_used' ELSE 'ok' END
+        WHEN e.action = 'checkin' THEN CASE
+          WHEN NOT e.exists_ THEN 'not_found' WHEN f.b = 'Cancelled' THEN 'cancelled_booking'
+          WHEN f.b = 'Used' THEN 'already_used' WHEN f.b <> 'Confirmed' THEN 'not_confirmed'
+          ELSE 'ok' END
+        WHEN e.action = 'set_status' THEN CASE
+          WHEN e.new_status IS NULL OR e.new_status = '' THEN 'status_required'
+          WHEN e.new_status NOT IN ('Pending', 'Confirmed', 'Cancelled', 'Used') THEN 'invalid_status'
+          WHEN NOT e.exists_ THEN 'not_found' ELSE 'ok' END
+        WHEN e.action = 'refund' THEN CASE
+          WHEN f.p IS NULL THEN 'payment_not_found' WHEN f.p = 'Refunded' THEN 'already_refunded'
+          WHEN f.p <> 'Confirmed' THEN 'not_confirmed' WHEN NOT e.exists_ THEN 'not_found'
+          WHEN f.b = 'Used' THEN 'used_booking' ELSE 'ok' END
+        ELSE 'invalid_action' END AS outcome
+    FROM fold f JOIN evc e ON e.booking_id = f.booking_id AND e.rn = f.rn + 1) x),
+final AS (
+  SELECT f.booking_id, f.b, f.p, f.a, f.i
+  FROM fold f JOIN (SELECT booking_id, max(rn) AS rn FROM fold GROUP BY booking_id) m
+    ON m.booking_id = f.booking_id AND m.rn = f.rn),
+ins AS (SELECT booking_id, seq, ev_at FROM fold WHERE inserted_here = 1)
+"""
+
+EVENTS_BODIES = {
+    "apply_booking_events": "SELECT booking_id, seq, action, outcome FROM fold WHERE rn > 0",
+    "events_booking_after": """
+        SELECT b.booking_id, b.user_id, b.showtime_id,
+               CASE WHEN c.exists_ AND b.status IN ('Pending', 'Confirmed', 'Cancelled', 'Used')
+                    THEN f.b ELSE b.status END AS status,
+               b.booking_date
+        FROM booking b LEFT JOIN final f ON f.booking_id = b.booking_id
+        LEFT JOIN ctx c ON c.booking_id = b.booking_id""",
+    "events_payment_after": """
+        SELECT p.payment_id, p.booking_id,
+               CASE WHEN f.i = 0 AND f.a = 1 THEN CAST(c.n_seats * c.price AS DECIMAL(10,2))
+                    ELSE p.amount END AS amount,
+               CASE WHEN f.i = 0 THEN f.p ELSE p.status END AS status, p.payment_date
+        FROM payment p
+        LEFT JOIN ctx c ON c.payment_id = p.payment_id
+        LEFT JOIN final f ON f.booking_id = c.booking_id
+        UNION ALL
+        SELECT (SELECT max(payment_id) FROM payment) + row_number() OVER (ORDER BY ins.seq),
+               f.booking_id, CAST(c.n_seats * c.price AS DECIMAL(10,2)), f.p, ins.ev_at
+        FROM final f JOIN ins ON ins.booking_id = f.booking_id
+        JOIN ctx c ON c.booking_id = f.booking_id
+        WHERE f.i = 1""",
+}
+
+
 def changes_sql() -> dict[str, str]:
-    return {
-        "admit_bookings": with_bridge(ADMIT_BODY, ADMIT_CTES, recursive=True),
-    }
+    out = {"admit_bookings": with_bridge(ADMIT_BODY, ADMIT_CTES, recursive=True)}
+    for name, body in EVENTS_BODIES.items():
+        out[name] = with_bridge(body, EVENTS_CTES, recursive=True)
+    return out

@@ -71,6 +71,9 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 
 CHANGES: dict[str, Query] = {
     "admit_bookings": S.admit_outcomes,
+    "apply_booking_events": S.event_outcomes,
+    "events_booking_after": S.events_booking_after,
+    "events_payment_after": S.events_payment_after,
 }
 
 

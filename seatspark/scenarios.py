@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.admit import admit_bookings
+from .operators.events import apply_booking_events
 from .sources.bridge import bridge_tables
-from .sources.requests import booking_requests_from
+from .sources.requests import booking_events_from, booking_requests_from, with_actor
 
 
 def admission(spark: SparkSession, sf_dir: str):
@@ -23,3 +24,22 @@ def admission(spark: SparkSession, sf_dir: str):
 
 def admit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission(spark, sf_dir)[1]
+
+
+def booking_events(spark: SparkSession, sf_dir: str):
+    """Every row of ``events`` becomes an action on a booking, by the booking's user."""
+    t = bridge_tables(spark, sf_dir)
+    ev = with_actor(booking_events_from(spark, sf_dir), t.booking)
+    return apply_booking_events(t, ev)
+
+
+def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return booking_events(spark, sf_dir)[1]
+
+
+def events_booking_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return booking_events(spark, sf_dir)[0].booking
+
+
+def events_payment_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return booking_events(spark, sf_dir)[0].payment
