@@ -2,6 +2,7 @@
 
 from .audit import audit_sql
 from .changes import changes_sql
+from .dml import dml_sql
 from .reports import report_sql
 
 
@@ -10,4 +11,5 @@ def oracle_queries() -> dict[str, str]:
     out.update(report_sql())
     out["audit"] = audit_sql()
     out.update(changes_sql())
+    out.update(dml_sql())
     return out

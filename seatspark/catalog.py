@@ -74,6 +74,17 @@ CHANGES: dict[str, Query] = {
     "apply_booking_events": S.event_outcomes,
     "events_booking_after": S.events_booking_after,
     "events_payment_after": S.events_payment_after,
+    "insert_movies": S.outcomes_of(S.insert_movies),
+    "insert_movies_table": S.table_after(S.insert_movies, "movie"),
+    "register_users": S.outcomes_of(S.register_new_users),
+    "register_users_table": S.table_after(S.register_new_users, "users"),
+    "replace_showtimes": S.outcomes_of(S.replace_some_showtimes),
+    "replace_showtimes_table": S.table_after(S.replace_some_showtimes, "showtime"),
+    "patch_movies": S.outcomes_of(S.patch_some_movies),
+    "patch_movies_table": S.table_after(S.patch_some_movies, "movie"),
+    "delete_movies": S.outcomes_of(S.delete_some_movies),
+    "delete_movies_sizes": S.sizes_after(S.delete_some_movies),
+    "delete_producers": S.outcomes_of(S.delete_some_producers),
 }
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.admit import admit_bookings
+from .operators.dml import (delete_cascade, insert_rows, patch_movies, register_users,
+                            replace_showtimes, table_sizes)
 from .operators.events import apply_booking_events
-from .sources.bridge import bridge_tables
+from .sources.bridge import bridge_tables, read_source
 from .sources.requests import booking_events_from, booking_requests_from, with_actor
 
 
@@ -43,3 +45,136 @@ def events_booking_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_payment_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return booking_events(spark, sf_dir)[0].payment
+
+
+# ---- M5-M9 inputs derived from part / customer / supplier -------------------------
+
+BIG = 1_000_000_000  # offset that makes an id unknown to the bridge tables
+
+
+def _counts(spark: SparkSession, sf_dir: str):
+    part = read_source(spark, sf_dir, "part")
+    supplier = read_source(spark, sf_dir, "supplier")
+    return (part, supplier, part.select(F.count(F.lit(1))).scalar(),
+            supplier.select(F.count(F.lit(1))).scalar())
+
+
+def movie_insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 5th part re-inserts its movie; the others pair up on a new id."""
+    part, _, _, n_supp = _counts(spark, sf_dir)
+    k = F.col("p_partkey")
+    return part.select(
+        k.cast("long").alias("request_id"),
+        F.when(k % 5 == 0, k).otherwise(F.lit(BIG) + F.floor(k / 2)).cast("long").alias("movie_id"),
+        (k % (n_supp + 5)).cast("long").alias("owner_id"),
+        F.col("p_name").alias("title"),
+        F.when(F.col("p_size") % 7 == 0, 0).otherwise(F.col("p_size") + 60).cast("int").alias("duration"))
+
+
+def user_register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and e-mails collide with existing users and with each other (case-insensitively)."""
+    c = F.col("c_custkey")
+    cust = read_source(spark, sf_dir, "customer")
+    return cust.select(
+        c.cast("long").alias("request_id"),
+        F.when(c % 4 == 0, c).otherwise(F.lit(BIG) + F.floor(c / 3)).cast("long").alias("user_id"),
+        F.col("c_name").alias("name"),
+        F.when(c % 6 == 1, F.concat(F.lit("U"), c.cast("string"), F.lit("@EXAMPLE.COM")))
+         .when(c % 6 == 2, F.concat(F.lit("shared"), F.floor(c / 12).cast("string"),
+                                    F.lit("@example.com")))
+         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(c % 11 == 0, "").otherwise("pw").alias("password"),
+        F.when(c % 13 == 0, "staff").when(c % 13 == 1, "customer").alias("role"))
+
+
+def showtime_replace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replacements per showtime; some unknown showtimes, movies, theaters, zero prices."""
+    part, _, n_parts, _ = _counts(spark, sf_dir)
+    k = F.col("k")
+    p = F.col("p_partkey")
+    return (part.select("p_partkey", "p_retailprice",
+                        F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+            .select((p * 2 + k).cast("long").alias("request_id"),
+                    F.when(p % 4 == 3, p * 2 + BIG).otherwise(p * 2).cast("long").alias("showtime_id"),
+                    ((p * 7 + k) % (n_parts + 3)).cast("long").alias("movie_id"),
+                    ((p + k) % 27).cast("long").alias("theater_id"),
+                    (F.lit("2026-03-01 18:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval((p % 30).cast("int"), k.cast("int"))).alias("show_date"),
+                    F.when(p % 10 == 9, 0).otherwise(F.col("p_retailprice") + k)
+                    .cast("decimal(10,2)").alias("price")))
+
+
+def movie_patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six kinds of patch, two patches per movie, some on unknown movies."""
+    part, _, _, _ = _counts(spark, sf_dir)
+    p = F.col("p_partkey")
+    kind = p % 6
+    keys = (F.when(kind == 0, F.array(F.lit("title"), F.lit("rating")))
+            .when(kind == 1, F.array(F.lit("duration")))
+            .when(kind == 2, F.array(F.lit("owner_id")))
+            .when(kind == 3, F.array(F.lit("description"), F.lit("poster_url")))
+            .when(kind == 4, F.array(F.lit("title")))
+            .otherwise(F.array(F.lit("movie_id"))))
+    values = (F.when(kind == 0, F.array(F.upper("p_name"), F.lit("7.5")))
+              .when(kind == 1, F.array(F.concat(F.col("p_size").cast("string"), F.lit("x"))))
+              .when(kind == 2, F.array((p % 120).cast("string")))
+              .when(kind == 3, F.array(F.lit(None).cast("string"),
+                                       F.concat(F.lit("http://img/"), p.cast("string"))))
+              .when(kind == 4, F.array(F.lit(None).cast("string")))
+              .otherwise(F.array(F.lit("5"))))
+    return part.select(
+        p.cast("long").alias("request_id"),
+        F.when(p % 17 == 0, p + BIG).otherwise(F.floor(p / 2)).cast("long").alias("movie_id"),
+        F.map_from_arrays(keys, values).alias("patch"))
+
+
+def movie_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, _, _, _ = _counts(spark, sf_dir)
+    p = F.col("p_partkey")
+    return (part.where((p % 10 == 3) | (p % 10 == 4))
+            .select(p.cast("long").alias("request_id"),
+                    F.when(p % 10 == 3, p).otherwise(p + BIG).cast("long").alias("movie_id")))
+
+
+def producer_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read_source(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.where(k % 3 == 0).select(k.cast("long").alias("request_id"),
+                                      k.cast("long").alias("owner_id"))
+
+
+def insert_movies(spark, sf_dir):
+    return insert_rows(bridge_tables(spark, sf_dir), "movie", movie_insert_rows(spark, sf_dir))
+
+
+def register_new_users(spark, sf_dir):
+    return register_users(bridge_tables(spark, sf_dir), user_register_rows(spark, sf_dir))
+
+
+def replace_some_showtimes(spark, sf_dir):
+    return replace_showtimes(bridge_tables(spark, sf_dir), showtime_replace_rows(spark, sf_dir))
+
+
+def patch_some_movies(spark, sf_dir):
+    return patch_movies(bridge_tables(spark, sf_dir), movie_patch_rows(spark, sf_dir))
+
+
+def delete_some_movies(spark, sf_dir):
+    return delete_cascade(bridge_tables(spark, sf_dir), "movie", movie_delete_keys(spark, sf_dir))
+
+
+def delete_some_producers(spark, sf_dir):
+    return delete_cascade(bridge_tables(spark, sf_dir), "producer",
+                          producer_delete_keys(spark, sf_dir))
+
+
+def outcomes_of(fn):
+    return lambda spark, sf_dir: fn(spark, sf_dir)[1]
+
+
+def table_after(fn, name):
+    return lambda spark, sf_dir: fn(spark, sf_dir)[0].get(name)
+
+
+def sizes_after(fn):
+    return lambda spark, sf_dir: table_sizes(fn(spark, sf_dir)[0])
