@@ -214,6 +214,110 @@ BODIES = {
 }
 
 
+MOVES = f"""
+mv AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS request_id,
+         CAST(CASE WHEN o_orderkey % 91 = 0 THEN o_orderkey + {BIG}
+                   WHEN o_orderkey % 17 = 0 THEN o_orderkey - 7 ELSE o_orderkey END AS BIGINT) AS booking_id,
+         CAST(CASE WHEN o_orderkey % 49 = 0 THEN o_custkey + 1 ELSE o_custkey END AS BIGINT) AS actor_id,
+         CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL
+                   WHEN o_orderkey % 3 = 1 THEN (o_orderkey * 31 + o_custkey + 2) % ((SELECT count(*) FROM part) * 2)
+                   ELSE o_orderkey + {BIG} END AS BIGINT) AS showtime_id,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL
+              WHEN o_orderkey % 11 = 0 THEN CAST([] AS VARCHAR[])
+              ELSE [CAST((o_orderkey * 3) % 60 + 1 AS VARCHAR),
+                    CAST(((o_orderkey // 7) * 5) % 62 + 1 AS VARCHAR)] END AS seats
+  FROM orders WHERE o_orderkey % 7 = 0),
+mv2 AS (
+  SELECT m.*, b.user_id AS owner, b.status AS b_status, b.showtime_id AS cur_show,
+         b.booking_id IS NOT NULL AS found, COALESCE(m.showtime_id, b.showtime_id) AS target,
+         min(m.request_id) OVER (PARTITION BY m.booking_id) AS first_req
+  FROM mv m LEFT JOIN booking b ON b.booking_id = m.booking_id),
+mv_seat AS (
+  SELECT m.request_id, m.booking_id, m.target, u.s FROM mv2 m, unnest(m.seats) AS u(s)),
+bad_seat AS (
+  SELECT DISTINCT ms.request_id
+  FROM mv_seat ms JOIN showtime st ON st.showtime_id = ms.target
+  LEFT JOIN seat ON seat.theater_id = st.theater_id AND lower(seat.seat_number) = lower(ms.s)
+  WHERE seat.seat_number IS NULL),
+held AS (
+  SELECT DISTINCT ms.request_id
+  FROM mv_seat ms JOIN booking_seat bs
+    ON bs.showtime_id = ms.target AND lower(bs.seat_number) = lower(ms.s)
+   AND bs.booking_id <> ms.booking_id),
+mv3 AS (
+  SELECT m.*, st.theater_id AS target_theater, st.price, st.showtime_id IS NOT NULL AS show_ok,
+         m.request_id IN (SELECT request_id FROM bad_seat) AS bad_seat,
+         m.request_id IN (SELECT request_id FROM held) AS held
+  FROM mv2 m LEFT JOIN showtime st ON st.showtime_id = m.target),
+chk AS (
+  SELECT *,
+    CASE WHEN showtime_id IS NULL AND seats IS NULL THEN 'nothing_to_update'
+         WHEN request_id <> first_req THEN 'duplicate_move'
+         WHEN NOT found THEN 'not_found'
+         WHEN actor_id IS DISTINCT FROM owner THEN 'unauthorized'
+         WHEN b_status IN ('Cancelled', 'Used') THEN 'closed_booking'
+         WHEN showtime_id IS NOT NULL AND showtime_id <> cur_show AND seats IS NULL THEN 'seats_required'
+         WHEN NOT show_ok THEN 'showtime_not_found'
+         WHEN seats IS NOT NULL AND len(seats) = 0 THEN 'empty_seats'
+         WHEN seats IS NOT NULL AND bad_seat THEN 'seat_not_found'
+         WHEN seats IS NOT NULL AND held THEN 'already_booked' END AS pre,
+    list_distinct(list_transform(seats, lambda x: lower(x))) AS keys
+  FROM mv3),
+cand AS (
+  SELECT request_id, target, keys, len(keys) < len(seats) AS dup,
+         row_number() OVER (PARTITION BY target ORDER BY request_id) AS rn
+  FROM chk WHERE pre IS NULL AND seats IS NOT NULL),
+fold AS (
+  SELECT target, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS taken,
+         CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS outcome
+  FROM cand GROUP BY target
+  UNION ALL
+  SELECT c.target, c.rn,
+         CASE WHEN list_has_any(f.taken, c.keys) OR c.dup THEN f.taken
+              ELSE list_concat(f.taken, c.keys) END,
+         c.request_id,
+         CASE WHEN list_has_any(f.taken, c.keys) THEN 'already_booked'
+              WHEN c.dup THEN 'duplicate_seat' ELSE 'moved' END
+  FROM fold f JOIN cand c ON c.target = f.target AND c.rn = f.rn + 1),
+dec AS (
+  SELECT request_id, pre AS outcome FROM chk WHERE pre IS NOT NULL
+  UNION ALL SELECT request_id, outcome FROM fold WHERE request_id IS NOT NULL
+  UNION ALL SELECT request_id, 'moved' FROM chk WHERE pre IS NULL AND seats IS NULL),
+done AS (SELECT c.* FROM chk c JOIN dec d ON d.request_id = c.request_id WHERE d.outcome = 'moved'),
+new_bs AS (
+  SELECT bs.* FROM booking_seat bs
+  WHERE bs.booking_id NOT IN (SELECT booking_id FROM done WHERE seats IS NOT NULL)
+  UNION ALL
+  SELECT d.booking_id, seat.seat_number, d.target_theater, d.target
+  FROM done d, unnest(d.keys) u(k)
+  JOIN seat ON seat.theater_id = d.target_theater AND lower(seat.seat_number) = u.k
+  WHERE d.seats IS NOT NULL),
+amounts AS (
+  SELECT booking_id, arg_min(amount, showtime_id) AS amount FROM (
+    SELECT nb.booking_id, nb.showtime_id, CAST(count(*) * st.price AS DECIMAL(10,2)) AS amount
+    FROM new_bs nb JOIN showtime st ON st.showtime_id = nb.showtime_id
+    WHERE nb.booking_id IN (SELECT booking_id FROM done)
+    GROUP BY nb.booking_id, nb.showtime_id, st.price) x
+  GROUP BY booking_id)
+"""
+
+BODIES.update({
+    "reassign_bookings": ("SELECT request_id, outcome FROM dec", MOVES),
+    "reassign_bookings_seats": ("SELECT * FROM new_bs", MOVES),
+    "reassign_bookings_payment": ("""
+        SELECT p.payment_id, p.booking_id, COALESCE(a.amount, p.amount) AS amount, p.status,
+               p.payment_date
+        FROM payment p LEFT JOIN amounts a ON a.booking_id = p.booking_id""", MOVES),
+    "next_ids": ("""
+        SELECT b.booking_id,
+               (SELECT max(payment_id) FROM payment) + row_number() OVER (ORDER BY b.booking_id)
+                 AS payment_id
+        FROM booking b WHERE NOT EXISTS (SELECT 1 FROM payment p WHERE p.booking_id = b.booking_id)""",
+                 ""),
+})
+
+
 def dml_sql() -> dict[str, str]:
-    return {name: with_bridge(body, extra, recursive=("walk" in extra))
-            for name, (body, extra) in BODIES.items()}
+    return {name: with_bridge(body, extra, recursive=("walk" in extra or "fold" in extra))
+            for name, (body, extra) in BODIES.items()}
\ No newline at end of file

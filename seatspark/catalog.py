@@ -85,6 +85,10 @@ CHANGES: dict[str, Query] = {
     "delete_movies": S.outcomes_of(S.delete_some_movies),
     "delete_movies_sizes": S.sizes_after(S.delete_some_movies),
     "delete_producers": S.outcomes_of(S.delete_some_producers),
+    "reassign_bookings": S.outcomes_of(S.move_some_bookings),
+    "reassign_bookings_seats": S.table_after(S.move_some_bookings, "booking_seat"),
+    "reassign_bookings_payment": S.table_after(S.move_some_bookings, "payment"),
+    "next_ids": S.new_payment_ids,
 }
 
 

@@ -12,6 +12,8 @@ from .operators.admit import admit_bookings
 from .operators.dml import (delete_cascade, insert_rows, patch_movies, register_users,
                             replace_showtimes, table_sizes)
 from .operators.events import apply_booking_events
+from .operators.ids import max_id, next_ids
+from .operators.moves import reassign_bookings
 from .sources.bridge import bridge_tables, read_source
 from .sources.requests import booking_events_from, booking_requests_from, with_actor
 
@@ -178,3 +180,35 @@ def table_after(fn, name):
 
 def sizes_after(fn):
     return lambda spark, sf_dir: table_sizes(fn(spark, sf_dir)[0])
+
+
+def booking_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 7th order moves its booking: keep or change showtime, two seats or none."""
+    orders = read_source(spark, sf_dir, "orders")
+    n_parts = read_source(spark, sf_dir, "part").select(F.count(F.lit(1))).scalar()
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    seat = lambda x: x.cast("string")
+    return orders.where(o % 7 == 0).select(
+        o.cast("long").alias("request_id"),
+        F.when(o % 91 == 0, o + BIG).when(o % 17 == 0, o - 7).otherwise(o)
+         .cast("long").alias("booking_id"),
+        F.when(o % 49 == 0, c + 1).otherwise(c).cast("long").alias("actor_id"),
+        F.when(o % 3 == 0, F.lit(None))
+         .when(o % 3 == 1, (o * 31 + c + 2) % (n_parts * 2))
+         .otherwise(o + BIG).cast("long").alias("showtime_id"),
+        F.when(o % 5 == 0, F.lit(None).cast("array<string>"))
+         .when(o % 11 == 0, F.array().cast("array<string>"))
+         .otherwise(F.array(seat((o * 3) % 60 + 1), seat((F.floor(o / 7) * 5) % 62 + 1)))
+         .alias("seats"))
+
+
+def move_some_bookings(spark, sf_dir):
+    return reassign_bookings(bridge_tables(spark, sf_dir), booking_move_rows(spark, sf_dir))
+
+
+def new_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: the ids a payment run would give every booking without a payment."""
+    t = bridge_tables(spark, sf_dir)
+    unpaid = t.booking.join(t.payment.select("booking_id"), "booking_id", "left_anti")
+    return next_ids(unpaid.select("booking_id"), ["booking_id"],
+                    max_id(t.payment, "payment_id"), "payment_id")
