@@ -21,9 +21,12 @@ from .sources.tables import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_bridge(report: Callable[[Tables], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(bridge_tables(spark, sf_dir))
+TablesQuery = Callable[..., DataFrame]  # (spark, sf_dir, tables or None) -> DataFrame
+
+
+def _on_tables(report: Callable[[Tables], DataFrame]) -> TablesQuery:
+    def run(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+        return report(t if t is not None else bridge_tables(spark, sf_dir))
     run.__doc__ = report.__doc__
     return run
 
@@ -69,7 +72,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-CHANGES: dict[str, Query] = {
+CHANGES: dict[str, TablesQuery] = {
     "admit_bookings": S.admit_outcomes,
     "apply_booking_events": S.event_outcomes,
     "events_booking_after": S.events_booking_after,
@@ -92,7 +95,14 @@ CHANGES: dict[str, Query] = {
 }
 
 
-def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: _on_bridge(fn) for name, fn in REPORTS.items()}
+def table_queries() -> dict[str, TablesQuery]:
+    """Every query as (spark, sf_dir, tables): tables default to the bridge of sf_dir."""
+    out: dict[str, TablesQuery] = {name: _on_tables(fn) for name, fn in REPORTS.items()}
     out.update(CHANGES)
     return out
+
+
+def queries() -> dict[str, Query]:
+    """Every query as (spark, sf_dir): booking tables derived from the test data."""
+    return {name: (lambda fn: lambda spark, sf_dir: fn(spark, sf_dir, None))(fn)
+            for name, fn in table_queries().items()}

@@ -15,38 +15,43 @@ from .operators.events import apply_booking_events
 from .operators.ids import max_id, next_ids
 from .operators.moves import reassign_bookings
 from .sources.bridge import bridge_tables, read_source
+from .sources.tables import Tables
 from .sources.requests import booking_events_from, booking_requests_from, with_actor
 
 
-def admission(spark: SparkSession, sf_dir: str):
+def _tables(spark: SparkSession, sf_dir: str, t: Tables | None) -> Tables:
+    return t if t is not None else bridge_tables(spark, sf_dir)
+
+
+def admission(spark: SparkSession, sf_dir: str, t: Tables | None = None):
     """Every order asks for its line items' seats; only Cancelled bookings hold seats."""
-    t = bridge_tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, t)
     cancelled = t.booking.where(F.col("status") == "Cancelled").select("booking_id")
     t0 = t.with_(booking_seat=t.booking_seat.join(cancelled, "booking_id", "left_semi"))
     return admit_bookings(t0, booking_requests_from(spark, sf_dir))
 
 
-def admit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission(spark, sf_dir)[1]
+def admit_outcomes(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    return admission(spark, sf_dir, t)[1]
 
 
-def booking_events(spark: SparkSession, sf_dir: str):
+def booking_events(spark: SparkSession, sf_dir: str, t: Tables | None = None):
     """Every row of ``events`` becomes an action on a booking, by the booking's user."""
-    t = bridge_tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, t)
     ev = with_actor(booking_events_from(spark, sf_dir), t.booking)
     return apply_booking_events(t, ev)
 
 
-def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return booking_events(spark, sf_dir)[1]
+def event_outcomes(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    return booking_events(spark, sf_dir, t)[1]
 
 
-def events_booking_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return booking_events(spark, sf_dir)[0].booking
+def events_booking_after(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    return booking_events(spark, sf_dir, t)[0].booking
 
 
-def events_payment_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return booking_events(spark, sf_dir)[0].payment
+def events_payment_after(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    return booking_events(spark, sf_dir, t)[0].payment
 
 
 # ---- M5-M9 inputs derived from part / customer / supplier -------------------------
@@ -145,41 +150,41 @@ def producer_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       k.cast("long").alias("owner_id"))
 
 
-def insert_movies(spark, sf_dir):
-    return insert_rows(bridge_tables(spark, sf_dir), "movie", movie_insert_rows(spark, sf_dir))
+def insert_movies(spark, sf_dir, t=None):
+    return insert_rows(_tables(spark, sf_dir, t), "movie", movie_insert_rows(spark, sf_dir))
 
 
-def register_new_users(spark, sf_dir):
-    return register_users(bridge_tables(spark, sf_dir), user_register_rows(spark, sf_dir))
+def register_new_users(spark, sf_dir, t=None):
+    return register_users(_tables(spark, sf_dir, t), user_register_rows(spark, sf_dir))
 
 
-def replace_some_showtimes(spark, sf_dir):
-    return replace_showtimes(bridge_tables(spark, sf_dir), showtime_replace_rows(spark, sf_dir))
+def replace_some_showtimes(spark, sf_dir, t=None):
+    return replace_showtimes(_tables(spark, sf_dir, t), showtime_replace_rows(spark, sf_dir))
 
 
-def patch_some_movies(spark, sf_dir):
-    return patch_movies(bridge_tables(spark, sf_dir), movie_patch_rows(spark, sf_dir))
+def patch_some_movies(spark, sf_dir, t=None):
+    return patch_movies(_tables(spark, sf_dir, t), movie_patch_rows(spark, sf_dir))
 
 
-def delete_some_movies(spark, sf_dir):
-    return delete_cascade(bridge_tables(spark, sf_dir), "movie", movie_delete_keys(spark, sf_dir))
+def delete_some_movies(spark, sf_dir, t=None):
+    return delete_cascade(_tables(spark, sf_dir, t), "movie", movie_delete_keys(spark, sf_dir))
 
 
-def delete_some_producers(spark, sf_dir):
-    return delete_cascade(bridge_tables(spark, sf_dir), "producer",
+def delete_some_producers(spark, sf_dir, t=None):
+    return delete_cascade(_tables(spark, sf_dir, t), "producer",
                           producer_delete_keys(spark, sf_dir))
 
 
 def outcomes_of(fn):
-    return lambda spark, sf_dir: fn(spark, sf_dir)[1]
+    return lambda spark, sf_dir, t=None: fn(spark, sf_dir, t)[1]
 
 
 def table_after(fn, name):
-    return lambda spark, sf_dir: fn(spark, sf_dir)[0].get(name)
+    return lambda spark, sf_dir, t=None: fn(spark, sf_dir, t)[0].get(name)
 
 
 def sizes_after(fn):
-    return lambda spark, sf_dir: table_sizes(fn(spark, sf_dir)[0])
+    return lambda spark, sf_dir, t=None: table_sizes(fn(spark, sf_dir, t)[0])
 
 
 def booking_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,13 +207,13 @@ def booking_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("seats"))
 
 
-def move_some_bookings(spark, sf_dir):
-    return reassign_bookings(bridge_tables(spark, sf_dir), booking_move_rows(spark, sf_dir))
+def move_some_bookings(spark, sf_dir, t=None):
+    return reassign_bookings(_tables(spark, sf_dir, t), booking_move_rows(spark, sf_dir))
 
 
-def new_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_payment_ids(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
     """M4: the ids a payment run would give every booking without a payment."""
-    t = bridge_tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, t)
     unpaid = t.booking.join(t.payment.select("booking_id"), "booking_id", "left_anti")
     return next_ids(unpaid.select("booking_id"), ["booking_id"],
                     max_id(t.payment, "payment_id"), "payment_id")
