@@ -23,23 +23,28 @@ def _tables(spark: SparkSession, sf_dir: str, t: Tables | None) -> Tables:
     return t if t is not None else bridge_tables(spark, sf_dir)
 
 
-def admission(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+def admission(spark: SparkSession, sf_dir: str, t: Tables | None = None,
+              requests: DataFrame | None = None):
     """Every order asks for its line items' seats; only Cancelled bookings hold seats."""
     t = _tables(spark, sf_dir, t)
     cancelled = t.booking.where(F.col("status") == "Cancelled").select("booking_id")
     t0 = t.with_(booking_seat=t.booking_seat.join(cancelled, "booking_id", "left_semi"))
-    return admit_bookings(t0, booking_requests_from(spark, sf_dir))
+    if requests is None:
+        requests = booking_requests_from(spark, sf_dir)
+    return admit_bookings(t0, requests)
 
 
 def admit_outcomes(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
     return admission(spark, sf_dir, t)[1]
 
 
-def booking_events(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+def booking_events(spark: SparkSession, sf_dir: str, t: Tables | None = None,
+                   events: DataFrame | None = None):
     """Every row of ``events`` becomes an action on a booking, by the booking's user."""
     t = _tables(spark, sf_dir, t)
-    ev = with_actor(booking_events_from(spark, sf_dir), t.booking)
-    return apply_booking_events(t, ev)
+    if events is None:
+        events = with_actor(booking_events_from(spark, sf_dir), t.booking)
+    return apply_booking_events(t, events)
 
 
 def event_outcomes(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:

@@ -58,12 +58,13 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def write_tables(t: Tables, path: str, mode: str = "errorifexists", fmt: str = "parquet",
-                 only: tuple[str, ...] | None = None) -> None:
-    """Write a snapshot; each table to ``{path}/{table}``."""
+                 only: tuple[str, ...] | None = None, files: int | None = None) -> None:
+    """Write a snapshot; each table to ``{path}/{table}`` (``files`` = files per table)."""
     for name, df in t.items():
         if only and name not in only:
             continue
-        df.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
+        out = df.repartition(files) if files else df
+        out.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
 def tables_from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> Tables:
