@@ -58,7 +58,7 @@ def main() -> None:
     t0 = time.perf_counter()
     snapshot = os.path.join(scratch, "tables")
     bridge = bridge_tables(spark, sf_dir)
-    write_tables(bridge, snapshot, files=2 * cpus)
+    write_tables(bridge, snapshot, rows_per_file=20_000)
     requests_path, events_path = os.path.join(scratch, "requests"), os.path.join(scratch, "events")
     booking_requests_from(spark, sf_dir).repartition(2 * cpus).write.parquet(requests_path)
     (with_actor(booking_events_from(spark, sf_dir), bridge.booking)

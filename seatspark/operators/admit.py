@@ -94,7 +94,11 @@ def _claims(df: DataFrame) -> DataFrame:
 
 
 def _rounds(claims: DataFrame) -> DataFrame:
-    """Decide taker requests in rounds; returns (request_id, outcome) for all of them."""
+    """Decide taker requests in rounds; returns (request_id, outcome) for all of them.
+
+    Each round labels every undecided claim with its request's fate (won,
+    lost, or still open) and is checkpointed once; decided requests leave.
+    """
     decided: list[DataFrame] = []
     undecided = cut_lineage(claims)
     while not undecided.isEmpty():
@@ -103,15 +107,17 @@ def _rounds(claims: DataFrame) -> DataFrame:
                 .groupBy("request_id")
                 .agg(F.bool_and(F.col("low") == F.col("request_id")).alias("win"))
                 .where("win").select("request_id"))
-        won_keys = undecided.join(wins, "request_id", "left_semi").select("showtime_id", "key")
-        losers = (undecided.join(won_keys, ["showtime_id", "key"], "left_semi")
-                  .join(wins, "request_id", "left_anti")
-                  .select("request_id").distinct())
-        step = cut_lineage(wins.select("request_id", F.lit("accepted").alias("outcome"))
-                           .unionByName(losers.select("request_id",
-                                                      F.lit("already_booked").alias("outcome"))))
-        decided.append(step)
-        undecided = cut_lineage(undecided.join(step.select("request_id"), "request_id", "left_anti"))
+        won_keys = (undecided.join(wins, "request_id", "left_semi")
+                    .select("showtime_id", "key").withColumn("_won", F.lit(True)))
+        lost = (undecided.join(won_keys, ["showtime_id", "key"], "left_semi")
+                .select("request_id").distinct())
+        fate = (wins.withColumn("_fate", F.lit("accepted"))
+                .unionByName(lost.join(wins, "request_id", "left_anti")
+                             .withColumn("_fate", F.lit("already_booked"))))
+        labeled = cut_lineage(undecided.join(fate, "request_id", "left"))
+        decided.append(labeled.where(F.col("_fate").isNotNull())
+                       .select("request_id", F.col("_fate").alias("outcome")).distinct())
+        undecided = labeled.where(F.col("_fate").isNull()).drop("_fate")
     if not decided:
         return claims.sparkSession.createDataFrame([], "request_id long, outcome string")
     out = decided[0]

@@ -74,22 +74,34 @@ def _single_table_checks(t: Tables) -> list[DataFrame]:
     return out
 
 
-def _duplicate_keys(t: Tables, table: str, cols: tuple[str, ...], rule: str) -> DataFrame:
-    df = t.get(table).select(*[key_expr(table, c) for c in cols])
-    if rule == "unique":
+def key_counts(t: Tables, table: str, cols: tuple[str, ...]) -> DataFrame:
+    """(k0.., count) per key value. The primary-key check and every foreign
+    key pointing at this key read the same DataFrame, so Spark reuses its
+    shuffle instead of grouping the parent table once per check."""
+    keys = [f"k{i}" for i in range(len(cols))]
+    return (t.get(table).select(*[key_expr(table, c, k) for c, k in zip(cols, keys)])
+            .groupBy(*keys).count())
+
+
+def _duplicate_keys(t: Tables, table: str, cols: tuple[str, ...], rule: str,
+                    counts: DataFrame | None = None) -> DataFrame:
+    if counts is None:
+        keys = [f"k{i}" for i in range(len(cols))]
+        df = t.get(table).select(*[key_expr(table, c, k) for c, k in zip(cols, keys)])
         # a UNIQUE index ignores rows with a NULL in the key
-        df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-    dup = df.groupBy(*cols).count().where(F.col("count") > 1)
+        df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+        counts = df.groupBy(*keys).count()
+    dup = counts.where(F.col("count") > 1)
     return dup.agg(*_row(rule, table, cols, F.count(F.lit(1))))
 
 
 def _foreign_key(t: Tables, child: str, ccols: tuple[str, ...], parent: str,
-                 pcols: tuple[str, ...]) -> DataFrame:
+                 pcols: tuple[str, ...], parent_counts: DataFrame | None = None) -> DataFrame:
     keys = [f"k{i}" for i in range(len(ccols))]
     c = (t.get(child).select(*[key_expr(child, col, k) for col, k in zip(ccols, keys)])
          .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
          .groupBy(*keys).count())
-    p = t.get(parent).select(*[key_expr(parent, col, k) for col, k in zip(pcols, keys)]).distinct()
+    p = (parent_counts if parent_counts is not None else key_counts(t, parent, pcols)).select(*keys)
     orphans = c.join(p, keys, "left_anti")
     return orphans.agg(*_row("foreign_key", child, ccols, F.sum("count")))
 
@@ -119,11 +131,14 @@ def _payments_per_booking(t: Tables) -> DataFrame:
 def audit(t: Tables) -> DataFrame:
     """C1-C5, C7-C9 over whole tables: one row per check."""
     parts: list[DataFrame] = []
-    parts += [_duplicate_keys(t, table, cols, "primary_key") for table, cols in PRIMARY_KEYS.items()]
+    pk_counts = {table: key_counts(t, table, cols) for table, cols in PRIMARY_KEYS.items()}
+    parts += [_duplicate_keys(t, table, cols, "primary_key", pk_counts[table])
+              for table, cols in PRIMARY_KEYS.items()]
     parts += [_duplicate_keys(t, table, cols, "unique")
               for table, keys in UNIQUE_KEYS.items() for cols in keys]
     parts += _single_table_checks(t)
-    parts += [_foreign_key(t, child, ccols, parent, pcols)
+    parts += [_foreign_key(t, child, ccols, parent, pcols,
+                           pk_counts[parent] if PRIMARY_KEYS[parent] == pcols else None)
               for child, ccols, parent, pcols, _ in FOREIGN_KEYS]
     parts += _held_seat_agreement(t)
     parts.append(_payments_per_booking(t))

@@ -58,12 +58,21 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def write_tables(t: Tables, path: str, mode: str = "errorifexists", fmt: str = "parquet",
-                 only: tuple[str, ...] | None = None, files: int | None = None) -> None:
-    """Write a snapshot; each table to ``{path}/{table}`` (``files`` = files per table)."""
+                 only: tuple[str, ...] | None = None,
+                 rows_per_file: int | None = None) -> None:
+    """Write a snapshot; each table to ``{path}/{table}``.
+
+    With ``rows_per_file`` each table is first cut into files of about that
+    many rows (a 25-row table stays one file, a large one gets many), so later
+    scans get one task per useful split.
+    """
     for name, df in t.items():
         if only and name not in only:
             continue
-        out = df.repartition(files) if files else df
+        out = df
+        if rows_per_file:
+            n = df.count()
+            out = df.repartition(max(1, -(-n // rows_per_file)))
         out.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
