@@ -66,6 +66,12 @@ GROUP BY showtime_id, title, theater_name, show_date, price
 """
 
 _BODIES: dict[str, tuple[str, str]] = {
+    "showtime_cards": ("""
+        SELECT showtime_id, title, theater_name, price,
+               strftime(show_date, '%-m/%-d/%Y') AS date_text,
+               CASE WHEN seats IS NULL OR trim(seats) = '' THEN 'FULL' ELSE seats END AS seats_text,
+               seats IS NOT NULL AND trim(seats) <> '' AS can_book
+        FROM (""" + SHOWTIME_SEATS.format(where="") + ") s", AVAILABLE_CTE),
     "booking_totals": ("SELECT * FROM booking_detail", BOOKING_DETAIL_CTE),
     "confirmed_bookings": ("SELECT * FROM booking WHERE status = 'Confirmed'", ""),
     "movie_list": ("SELECT movie_id, title FROM movie", ""),

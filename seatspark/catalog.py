@@ -68,6 +68,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "user_profile": R.user_profile,
     "held_totals": R.held_totals,
     "booking_flags": R.booking_flags,
+    "showtime_cards": R.showtime_cards,
     "audit": audit,
 }
 

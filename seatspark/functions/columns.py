@@ -107,6 +107,12 @@ def seats_or_full(seats: Column) -> Column:
     return F.when(seats.isNull() | (F.trim(seats) == ""), F.lit("FULL")).otherwise(seats)
 
 
+def display_date(col: Column | str) -> Column:
+    """The UI's short date text (month/day/year, no leading zeros)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_format(c, "M/d/yyyy")
+
+
 def without(arr: Column, blocked: Column) -> Column:
     """Elements of ``arr`` not in ``blocked`` (order and repeats of arr kept)."""
     blocked = F.coalesce(blocked, empty_strings())

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (empty_strings, all_of, as_total, contains_ci, customers_only,
-                                 date_equals, equals_ci, joined, seat_total, sorted_ci,
-                                 visible_to)
+from ..functions.columns import (all_of, as_total, contains_ci, customers_only, date_equals,
+                                 display_date, empty_strings, equals_ci, joined, seat_total,
+                                 seats_or_full, sorted_ci, visible_to)
 from ..schemas import NO_PAYMENT
 from ..sources.tables import Tables, existing
 from .views import active_holds_by_seat_showtime, booking_totals, showtime_free_lists, theater_seat_lists
@@ -302,3 +302,14 @@ def booking_flags(t: Tables, user_id: int | None = None) -> DataFrame:
         ((F.col("payment_status") != "Confirmed") & (F.col("status") != "Cancelled"))
         .alias("payable"),
         (F.col("status") == "Confirmed").alias("checkin_allowed"))
+
+
+def showtime_cards(t: Tables, title: str | None = None, theater: str | None = None,
+                   show_date: str | None = None) -> DataFrame:
+    """R12 as the UI shows it: date text, 'FULL' for an empty seat string, can-book flag."""
+    s = search_showtimes(t, title, theater, show_date)
+    has_seats = F.col("seats").isNotNull() & (F.trim("seats") != "")
+    return s.select("showtime_id", "title", "theater_name", "price",
+                    display_date("show_date").alias("date_text"),
+                    seats_or_full(F.col("seats")).alias("seats_text"),
+                    has_seats.alias("can_book"))

@@ -115,3 +115,30 @@ def test_audit_finds_the_seeded_problems(seed):
     got = rows(violations_only(seed), "rule", "table_name", "columns", "violations")
     assert got == [("foreign_key", "movie", "owner_id", 1),
                    ("one_payment_per_booking", "payment", "booking_id", 1)]
+
+
+def test_showtime_cards(seed):
+    got = rows(R.showtime_cards(seed), "showtime_id", "date_text", "seats_text", "can_book")
+    assert got == [(11, "5/1/2026", "3", True), (12, "5/2/2026", "1, 2, A", True),
+                   (13, "5/2/2026", "10, 2, 3", True), (15, "5/4/2026", "1, 2, A", True)]
+
+
+def test_register_views_for_sql_users(spark, seed):
+    V.register_views(spark, seed)
+    assert spark.sql("SELECT count(*) AS n FROM available_seats").first()["n"] == 10
+    assert spark.sql("SELECT booking_id FROM confirmed_booking ORDER BY 1").collect()[0][0] == 201
+    got = spark.sql("SELECT user_id, sum(total_price) AS s FROM booking_detail "
+                    "WHERE status = 'Pending' GROUP BY user_id").collect()
+    assert [(r[0], r[1]) for r in got] == [(2, d(220))]
+
+
+def test_read_requests_permissive(spark, seed, tmp_path):
+    from seatspark.operators.admit import admit_bookings
+    from seatspark.sources.requests import read_requests
+    path = tmp_path / "req.json"
+    path.write_text('{"request_id": 1, "user_id": 6, "showtime_id": 15, "seats": ["2"]}\n'
+                    '{"request_id": 2, "user_id": 6, "showtime_id": 15, "seats": "oops"}\n')
+    req = read_requests(spark, str(path))
+    _, out = admit_bookings(seed, req)
+    got = rows(out, "request_id", "outcome")
+    assert got[0] == (1, "accepted") and got[1][1] == "missing_fields"
