@@ -76,6 +76,36 @@ def write_tables(t: Tables, path: str, mode: str = "errorifexists", fmt: str = "
         out.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
+# Bucketing of a stored snapshot: the three booking-keyed tables share one
+# bucket count on booking_id, so their joins and per-booking aggregates need
+# no shuffle. Other tables stay plain: their joins use other keys (or
+# several), where fixed buckets only constrain the plan.
+BUCKET_KEYS = {"booking": "booking_id", "booking_seat": "booking_id", "payment": "booking_id"}
+
+
+def save_bucketed(t: Tables, database: str, path: str, buckets: int,
+                  rows_per_file: int | None = None) -> None:
+    """Write a snapshot as catalog tables ``{database}.{table}`` at ``{path}/{table}``,
+    bucketed (and sorted within buckets) by the keys above; the other tables
+    cut into files of about ``rows_per_file`` rows."""
+    spark = t.booking.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, df in t.items():
+        if name in BUCKET_KEYS:
+            df = df.repartition(buckets, BUCKET_KEYS[name])   # one file per bucket
+        elif rows_per_file:
+            df = df.repartition(max(1, -(-df.count() // rows_per_file)))
+        w = df.write.mode("overwrite").format("parquet").option("path", f"{path.rstrip('/')}/{name}")
+        if name in BUCKET_KEYS:
+            w = w.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
+        w.saveAsTable(f"{database}.{name}")
+
+
+def load_catalog_tables(spark: SparkSession, database: str) -> Tables:
+    """The ten tables from the catalog (keeps their bucketing for the planner)."""
+    return Tables(**{name: conform(spark.table(f"{database}.{name}"), name) for name in TABLES})
+
+
 def tables_from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> Tables:
     """Typed literal rows (test fixtures): ``{table: [tuple, ...]}``."""
     return Tables(**{name: spark.createDataFrame(rows.get(name, []), SCHEMAS[name])

@@ -70,3 +70,20 @@ def test_delete_leaves_no_new_orphans(spark, bridge):
     nxt, _ = delete_some_movies(spark, SMALL_SF, bridge)
     after = {(r["rule"], r["table_name"], r["columns"]) for r in violations_only(nxt).collect()}
     assert after <= before
+
+
+def test_bucketed_snapshot_removes_booking_shuffles(spark, seed, tmp_path):
+    """Without broadcasts (the large-table case), booking-keyed buckets save shuffles."""
+    from seatspark.sources.tables import load_catalog_tables, save_bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        save_bucketed(seed, "plan_test", str(tmp_path / "b"), buckets=4)
+        bucketed = load_catalog_tables(spark, "plan_test")
+        write_tables(seed, str(tmp_path / "p"))
+        plain = load_tables(spark, str(tmp_path / "p"))
+        for report in (V.booking_totals, R.pay_quote):
+            assert plan(report(bucketed)).count("Exchange") < plan(report(plain)).count("Exchange")
+        assert sorted(V.booking_totals(bucketed).collect()) == sorted(V.booking_totals(plain).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
