@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import split_seat_text
 from ..schemas import BOOKING_EVENT, BOOKING_MOVE, BOOKING_REQUEST, TS
 from .bridge import read_source, seat_of_line, showtime_of_order
 
@@ -66,3 +67,16 @@ def with_actor(events: DataFrame, booking: DataFrame) -> DataFrame:
     return (events.join(owners, "booking_id", "left")
             .withColumn("actor_id", F.coalesce("actor_id", "_owner"))
             .drop("_owner"))
+
+
+def requests_from_text(df: DataFrame) -> DataFrame:
+    """Form input (``seats_text`` like ``'1, 2,3'``) -> booking request rows.
+
+    The seat text is split on commas and trimmed, as the booking form does;
+    an empty text gives an empty list (refused as empty_seats).
+    """
+    text = F.col("seats_text")
+    seats = F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(split_seat_text(text))
+    return df.select(F.col("request_id").cast("long"), F.col("user_id").cast("long"),
+                     F.col("showtime_id").cast("long"), seats.alias("seats"),
+                     F.lit(None).cast(TS).alias("requested_at"))

@@ -311,3 +311,23 @@ def test_delete_producer_restricted(spark, seed):
     nxt, out = delete_cascade(seed, "producer", keys)
     assert rows(out) == [(1, "restricted"), (2, "deleted")]
     assert rows(nxt.producer, "owner_id") == [(61,), (62,)]
+
+
+def test_hot_showtime_third_of_requests(spark, seed):
+    """One showtime gets a third of all requests; results still equal the one-by-one model."""
+    rnd = random.Random(11)
+    reqs = []
+    for rid in range(1, 601):
+        show = 15 if rid % 3 == 0 else rnd.choice([11, 12, 13, 14])
+        want = [rnd.choice(["1", "2", "3", "10", "A"]) for _ in range(rnd.choice([1, 1, 2]))]
+        reqs.append((rid, rnd.choice([1, 2, 3, 6]), show, want))
+    _, out = admit_bookings(seed, _requests(spark, reqs))
+    assert rows(out) == _admit_model(SEED, reqs)
+
+
+def test_requests_from_form_text(spark, seed):
+    from seatspark.sources.requests import requests_from_text
+    form = spark.createDataFrame([(1, 6, 15, " 1 , a"), (2, 6, 12, "  ")],
+                                 "request_id long, user_id long, showtime_id long, seats_text string")
+    _, out = admit_bookings(seed, requests_from_text(form))
+    assert rows(out, "request_id", "outcome") == [(1, "accepted"), (2, "empty_seats")]

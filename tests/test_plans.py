@@ -87,3 +87,12 @@ def test_bucketed_snapshot_removes_booking_shuffles(spark, seed, tmp_path):
         assert sorted(V.booking_totals(bucketed).collect()) == sorted(V.booking_totals(plain).collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_moves_and_events_keep_keys_clean(spark, bridge):
+    from seatspark.scenarios import booking_events, move_some_bookings
+    before = {(r["rule"], r["table_name"], r["columns"]) for r in violations_only(bridge).collect()}
+    for change in (move_some_bookings, booking_events):
+        nxt, _ = change(spark, SMALL_SF, bridge)
+        after = {(r["rule"], r["table_name"], r["columns"]) for r in violations_only(nxt).collect()}
+        assert after <= before, (change.__name__, after - before)
