@@ -178,9 +178,10 @@ def showtime_by_id(t: Tables, showtime_id: int | None = None) -> DataFrame:
 def _history(t: Tables, user_id: int | None = None) -> DataFrame:
     b = _key(t.booking.select("booking_id", "user_id", "showtime_id", "status"), "user_id", user_id)
     pay = t.payment.select("booking_id", F.col("status").alias("p_status"), "amount").distinct()
+    # both booking_id joins first, while rows are partitioned by booking_id
     rows = (b.join(_seat_counts(t), "booking_id")
-            .join(_show_info(t), "showtime_id")
-            .join(pay, "booking_id", "left"))
+            .join(pay, "booking_id", "left")
+            .join(_show_info(t), "showtime_id"))
     return (rows.select(
         "user_id", "booking_id", "title", "theater_name", "show_date", "price", "status",
         F.coalesce("p_status", F.lit(NO_PAYMENT)).alias("payment_status"),
@@ -240,9 +241,9 @@ def pay_quote(t: Tables, booking_id: int | None = None) -> DataFrame:
     b = _key(t.booking.select("booking_id", "user_id", "status", "showtime_id"),
              "booking_id", booking_id)
     pay = t.payment.select("booking_id", "payment_id", F.col("status").alias("payment_status"))
-    rows = (b.join(t.showtime.select("showtime_id", "price"), "showtime_id")
-            .join(_seat_counts(t), "booking_id", "left")
-            .join(pay, "booking_id", "left"))
+    rows = (b.join(_seat_counts(t), "booking_id", "left")
+            .join(pay, "booking_id", "left")
+            .join(t.showtime.select("showtime_id", "price"), "showtime_id"))
     n = F.coalesce("seat_count", F.lit(0)).cast("long")
     return rows.select("booking_id", "user_id", "status", n.alias("seat_count"), "price",
                        "payment_id", "payment_status", seat_total(n, "price").alias("amount"))
