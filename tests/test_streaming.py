@@ -1,10 +1,10 @@
-"""Admission as a stream: two micro-batches, the second sees the first's seats."""
+"""Streams: each second micro-batch sees what the first one wrote."""
 
 import json
 import os
 import tempfile
 
-from conftest import rows
+from conftest import d, rows
 
 from seatspark.sources.tables import write_tables
 from seatspark.streaming.admission import current_tables, read_outcomes, start_admission_stream
@@ -33,3 +33,34 @@ def test_admission_stream_two_batches(spark, seed):
                    (3, "already_booked", None, 1), (4, "accepted", 209, 1)]
     t = current_tables(spark, base, os.path.join(root, "out"), 99)
     assert rows(t.booking_seat.where("booking_id >= 208")) == [(208, "1", 8, 15), (209, "A", 8, 15)]
+
+
+def test_events_stream_merges_changes(spark, seed):
+    from seatspark.streaming import events as ES
+    root = tempfile.mkdtemp(prefix="seatspark-events-")
+    base, incoming = os.path.join(root, "base"), os.path.join(root, "incoming")
+    write_tables(seed, base)
+    os.makedirs(incoming)
+    batches = [[{"booking_id": 205, "seq": 1, "action": "pay", "actor_id": 2},
+                {"booking_id": 202, "seq": 2, "action": "use"}],
+               [{"booking_id": 205, "seq": 3, "action": "refund"},
+                {"booking_id": 202, "seq": 4, "action": "cancel", "actor_id": 2},
+                {"booking_id": 207, "seq": 5, "action": "pay", "actor_id": 1}]]
+    for i, batch in enumerate(batches):
+        path = os.path.join(incoming, f"part-{i}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(json.dumps(r) for r in batch))
+        os.utime(path, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
+    out = os.path.join(root, "out")
+    q = ES.start_events_stream(spark, base, incoming, out, os.path.join(root, "chk"),
+                               files_per_batch=1, available_now=True)
+    q.awaitTermination(300)
+    got = rows(spark.read.parquet(os.path.join(out, "outcomes")), "seq", "outcome", "batch_id")
+    assert got == [(1, "ok", 0), (2, "ok", 0), (3, "ok", 1), (4, "already_used", 1), (5, "ok", 1)]
+    t = ES.current_tables(spark, base, out, 99)
+    status = dict(rows(t.booking, "booking_id", "status"))
+    assert (status[205], status[202], status[207]) == ("Cancelled", "Used", "Confirmed")
+    pay = {r["payment_id"]: (r["booking_id"], r["status"], r["amount"]) for r in t.payment.collect()}
+    assert pay[907] == (205, "Refunded", d(120))      # created in batch 0, refunded in batch 1
+    assert pay[908] == (207, "Confirmed", d(0))       # no seats: 0 x price
+    assert len(pay) == 8
