@@ -64,12 +64,6 @@ def customers_only(df: DataFrame, role_col: str = "role") -> DataFrame:
     return df.where(F.col(role_col) == "customer")
 
 
-def truthy(col: Column | str) -> Column:
-    """Python truthiness of a request field: null, '', 0 and [] are missing."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.isNotNull()
-
-
 # ---- money ----------------------------------------------------------------
 
 def seat_total(seat_count: Column | str, price: Column | str) -> Column:

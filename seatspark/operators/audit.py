@@ -28,9 +28,6 @@ from ..schemas import (FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, SCHEMAS, STATUS_SET
                        VARCHAR_LIMITS)
 from ..sources.tables import Tables
 
-AUDIT_COLUMNS = ("rule", "table_name", "columns", "violations")
-
-
 def _is_text(table: str, col: str) -> bool:
     return isinstance(SCHEMAS[table][col].dataType, T.StringType)
 

@@ -43,7 +43,6 @@ from .scan import fold_scan
 
 N_STATES = 80
 P_VALUES = (None,) + PAYMENT_STATUSES   # code 0 = no payment
-ACTIONS = ("cancel", "pay", "create_payment", "use", "checkin", "set_status", "refund")
 
 
 def encode(b: Column, p: Column, a: Column, i: Column) -> Column:
@@ -119,10 +118,6 @@ def next_state(s: Column, e: Column) -> Column:
     return F.when(outcome_of(s, e) == "ok", changed).otherwise(s)
 
 
-def _step(s: Column, e: Column) -> Column:
-    return next_state(s, e)
-
-
 def apply_booking_events(t: Tables, events: DataFrame,
                          width: int = 1024) -> tuple[Tables, DataFrame]:
     """Apply a batch of events. Returns the next snapshot and per-event outcomes
@@ -158,7 +153,7 @@ def apply_booking_events(t: Tables, events: DataFrame,
                     F.col("price").isNotNull().alias("show_ok"),
                     (F.col("n_seats") > 0).alias("has_seats")))
     fields = ["action", "at", "new_status", "exists", "valid", "is_owner", "show_ok", "has_seats"]
-    scanned = fold_scan(rows, "booking_id", "seq", fields, start, _step, N_STATES, width)
+    scanned = fold_scan(rows, "booking_id", "seq", fields, start, next_state, N_STATES, width)
 
     out_col = outcome_of(F.col("state_before"), F.struct(*[F.col(c) for c in fields]))
     outcomes = scanned.select("booking_id", "seq", "action", out_col.alias("outcome"))

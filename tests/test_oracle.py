@@ -4,7 +4,6 @@ Order-insensitive comparison of column names and values, the same check the
 driver runs at sf0.01.
 """
 
-import os
 from decimal import Decimal
 
 import duckdb
