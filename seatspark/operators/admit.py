@@ -96,28 +96,37 @@ def _claims(df: DataFrame) -> DataFrame:
 def _rounds(claims: DataFrame) -> DataFrame:
     """Decide taker requests in rounds; returns (request_id, outcome) for all of them.
 
-    Each round labels every undecided claim with its request's fate (won,
-    lost, or still open) and is checkpointed once; decided requests leave.
+    Per round, three full shuffles of the open claims: by (showtime, seat) to
+    find each seat's lowest claimant, by request to find the winners (lowest
+    on all their seats), and by request again to settle every request (won,
+    lost a seat to a winner, or still open), carrying its own claims along
+    (at most its seat list) so the next round needs no join back. Only small
+    per-seat rows move otherwise. One checkpoint per round.
     """
     decided: list[DataFrame] = []
     undecided = cut_lineage(claims)
     while not undecided.isEmpty():
         lowest = undecided.groupBy("showtime_id", "key").agg(F.min("request_id").alias("low"))
-        wins = (undecided.join(lowest, ["showtime_id", "key"])
-                .groupBy("request_id")
+        with_low = undecided.join(lowest, ["showtime_id", "key"])
+        wins = (with_low.groupBy("request_id")
                 .agg(F.bool_and(F.col("low") == F.col("request_id")).alias("win"))
-                .where("win").select("request_id"))
-        won_keys = (undecided.join(wins, "request_id", "left_semi")
-                    .select("showtime_id", "key").withColumn("_won", F.lit(True)))
-        lost = (undecided.join(won_keys, ["showtime_id", "key"], "left_semi")
-                .select("request_id").distinct())
-        fate = (wins.withColumn("_fate", F.lit("accepted"))
-                .unionByName(lost.join(wins, "request_id", "left_anti")
-                             .withColumn("_fate", F.lit("already_booked"))))
-        labeled = cut_lineage(undecided.join(fate, "request_id", "left"))
-        decided.append(labeled.where(F.col("_fate").isNotNull())
-                       .select("request_id", F.col("_fate").alias("outcome")).distinct())
-        undecided = labeled.where(F.col("_fate").isNull()).drop("_fate")
+                .where("win").select(F.col("request_id").alias("low")))
+        # a seat is won when its lowest claimant won
+        won_keys = (lowest.join(wins, "low", "left_semi")
+                    .select("showtime_id", "key", F.lit(True).alias("_won")))
+        fate = cut_lineage(
+            with_low.join(won_keys, ["showtime_id", "key"], "left")
+            .groupBy("request_id")
+            .agg(F.bool_and(F.col("low") == F.col("request_id")).alias("win"),
+                 F.bool_or(F.coalesce(F.col("_won"), F.lit(False))
+                           & (F.col("low") != F.col("request_id"))).alias("lost"),
+                 F.collect_list(F.struct("showtime_id", "key")).alias("claims")))
+        decided.append(fate.where(F.col("win") | F.col("lost")).select(
+            "request_id", F.when(F.col("win"), "accepted").otherwise("already_booked")
+            .alias("outcome")))
+        undecided = (fate.where(~F.col("win") & ~F.col("lost"))
+                     .select("request_id", F.explode("claims").alias("c"))
+                     .select("request_id", "c.showtime_id", "c.key"))
     if not decided:
         return claims.sparkSession.createDataFrame([], "request_id long, outcome string")
     out = decided[0]
