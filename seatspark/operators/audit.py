@@ -37,10 +37,9 @@ def key_expr(table: str, col: str, alias: str | None = None) -> Column:
     return c.alias(alias or col)
 
 
-def _row(rule: str, table: str, cols: tuple[str, ...], count: Column) -> list[Column]:
+def _tag(rule: str, table: str, cols: tuple[str, ...], n: Column) -> list[Column]:
     return [F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
-            F.lit(",".join(cols)).alias("columns"),
-            F.coalesce(count, F.lit(0)).cast("long").alias("violations")]
+            F.lit(",".join(cols)).alias("columns"), n.cast("long").alias("n")]
 
 
 def _single_table_checks(t: Tables) -> list[DataFrame]:
@@ -67,7 +66,7 @@ def _single_table_checks(t: Tables) -> list[DataFrame]:
         out.append(agg.select(stacked.alias("x")).select(
             F.col("x.rule").alias("rule"), F.lit(table).alias("table_name"),
             F.col("x.columns").alias("columns"),
-            F.coalesce(F.col("x.violations"), F.lit(0)).cast("long").alias("violations")))
+            F.coalesce(F.col("x.violations"), F.lit(0)).cast("long").alias("n")))
     return out
 
 
@@ -88,8 +87,7 @@ def _duplicate_keys(t: Tables, table: str, cols: tuple[str, ...], rule: str,
         # a UNIQUE index ignores rows with a NULL in the key
         df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
         counts = df.groupBy(*keys).count()
-    dup = counts.where(F.col("count") > 1)
-    return dup.agg(*_row(rule, table, cols, F.count(F.lit(1))))
+    return counts.where(F.col("count") > 1).select(*_tag(rule, table, cols, F.lit(1)))
 
 
 def _foreign_key(t: Tables, child: str, ccols: tuple[str, ...], parent: str,
@@ -100,7 +98,7 @@ def _foreign_key(t: Tables, child: str, ccols: tuple[str, ...], parent: str,
          .groupBy(*keys).count())
     p = (parent_counts if parent_counts is not None else key_counts(t, parent, pcols)).select(*keys)
     orphans = c.join(p, keys, "left_anti")
-    return orphans.agg(*_row("foreign_key", child, ccols, F.sum("count")))
+    return orphans.select(*_tag("foreign_key", child, ccols, F.col("count")))
 
 
 def _held_seat_agreement(t: Tables) -> list[DataFrame]:
@@ -109,20 +107,20 @@ def _held_seat_agreement(t: Tables) -> list[DataFrame]:
     wrong_show = (per_booking.join(t.booking.select("booking_id", F.col("showtime_id").alias("b_show")),
                                    "booking_id")
                   .where(~F.col("showtime_id").eqNullSafe(F.col("b_show")))
-                  .agg(*_row("held_seat_showtime", "booking_seat", ("booking_id", "showtime_id"),
-                             F.sum("count"))))
+                  .select(*_tag("held_seat_showtime", "booking_seat", ("booking_id", "showtime_id"),
+                                F.col("count"))))
     per_show = bs.groupBy("showtime_id", "theater_id").count()
     wrong_theater = (per_show.join(t.showtime.select("showtime_id", F.col("theater_id").alias("st_theater")),
                                    "showtime_id")
                      .where(F.col("theater_id") != F.col("st_theater"))
-                     .agg(*_row("held_seat_theater", "booking_seat", ("showtime_id", "theater_id"),
-                                F.sum("count"))))
+                     .select(*_tag("held_seat_theater", "booking_seat", ("showtime_id", "theater_id"),
+                                   F.col("count"))))
     return [wrong_show, wrong_theater]
 
 
 def _payments_per_booking(t: Tables) -> DataFrame:
     many = t.payment.groupBy("booking_id").count().where(F.col("count") > 1)
-    return many.agg(*_row("one_payment_per_booking", "payment", ("booking_id",), F.count(F.lit(1))))
+    return many.select(*_tag("one_payment_per_booking", "payment", ("booking_id",), F.lit(1)))
 
 
 def audit(t: Tables) -> DataFrame:
@@ -139,7 +137,30 @@ def audit(t: Tables) -> DataFrame:
               for child, ccols, parent, pcols, _ in FOREIGN_KEYS]
     parts += _held_seat_agreement(t)
     parts.append(_payments_per_booking(t))
-    return reduce(DataFrame.unionByName, parts)
+    # Every check emits partial rows (rule, table, columns, n); one grouped sum
+    # settles them all, and a zero row per check keeps clean checks listed.
+    zeros = t.booking.sparkSession.createDataFrame(
+        [(rule, table, cols, 0) for rule, table, cols in check_list()],
+        "rule string, table_name string, columns string, n long")
+    return (reduce(DataFrame.unionByName, parts + [zeros])
+            .groupBy("rule", "table_name", "columns")
+            .agg(F.sum("n").cast("long").alias("violations")))
+
+
+def check_list() -> list[tuple[str, str, str]]:
+    """(rule, table, columns) of every check, in the order they are built."""
+    out = [("primary_key", tb, ",".join(c)) for tb, c in PRIMARY_KEYS.items()]
+    out += [("unique", tb, ",".join(c)) for tb, keys in UNIQUE_KEYS.items() for c in keys]
+    for tb in SCHEMAS:
+        out += [("not_null", tb, c) for c in NOT_NULL.get(tb, ())]
+        if tb in STATUS_SETS:
+            out.append(("status_set", tb, "status"))
+        out += [("varchar_length", tb, c) for c in VARCHAR_LIMITS.get(tb, {})]
+    out += [("foreign_key", child, ",".join(cc)) for child, cc, _, _, _ in FOREIGN_KEYS]
+    out += [("held_seat_showtime", "booking_seat", "booking_id,showtime_id"),
+            ("held_seat_theater", "booking_seat", "showtime_id,theater_id"),
+            ("one_payment_per_booking", "payment", "booking_id")]
+    return out
 
 
 def violations_only(t: Tables) -> DataFrame:
