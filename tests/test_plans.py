@@ -96,3 +96,10 @@ def test_moves_and_events_keep_keys_clean(spark, bridge):
         nxt, _ = change(spark, SMALL_SF, bridge)
         after = {(r["rule"], r["table_name"], r["columns"]) for r in violations_only(nxt).collect()}
         assert after <= before, (change.__name__, after - before)
+
+
+def test_tables_round_trip_through_another_format(spark, seed, tmp_path):
+    path = str(tmp_path / "orc")
+    write_tables(seed, path, fmt="orc")
+    t = load_tables(spark, path, fmt="orc")
+    assert sorted(V.booking_totals(t).collect()) == sorted(V.booking_totals(seed).collect())

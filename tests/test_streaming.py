@@ -64,3 +64,21 @@ def test_events_stream_merges_changes(spark, seed):
     assert pay[907] == (205, "Refunded", d(120))      # created in batch 0, refunded in batch 1
     assert pay[908] == (207, "Confirmed", d(0))       # no seats: 0 x price
     assert len(pay) == 8
+
+
+def test_rerun_of_a_micro_batch_is_idempotent(spark, seed):
+    """Spark may run a micro-batch again after a failure: same output, no duplicates."""
+    from seatspark.schemas import BOOKING_REQUEST
+    from seatspark.streaming.admission import admit_batch
+    root = tempfile.mkdtemp(prefix="seatspark-rerun-")
+    base, out = os.path.join(root, "base"), os.path.join(root, "out")
+    write_tables(seed, base)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    batch = spark.createDataFrame([(1, 6, 15, ["1"], None), (2, 2, 15, ["2"], None)], BOOKING_REQUEST)
+    for _ in range(2):
+        admit_batch(spark, base, out, batch, 0)
+    got = rows(read_outcomes(spark, out), "request_id", "outcome", "booking_id")
+    assert got == [(1, "accepted", 208), (2, "accepted", 209)]
+    t = current_tables(spark, base, out, 1)
+    assert t.booking.where("booking_id >= 208").count() == 2
+    assert t.booking_seat.where("booking_id >= 208").count() == 2
