@@ -318,6 +318,67 @@ BODIES.update({
 })
 
 
+GENRE_INS = f"""
+ins AS (
+  SELECT CAST(p_partkey AS BIGINT) AS request_id,
+         CAST(CASE WHEN p_partkey % 11 = 0 THEN p_partkey // 2 + {BIG} ELSE p_partkey // 2 END AS BIGINT) AS movie_id,
+         CASE WHEN p_partkey % 3 = 0 THEN lower(p_type)
+              WHEN p_partkey % 3 = 1 THEN 'Genre' || CAST(p_partkey % 4 AS VARCHAR)
+              ELSE '' END AS genre
+  FROM part),
+chk AS (
+  SELECT i.*,
+         CASE WHEN movie_id IS NULL OR movie_id = 0 OR genre IS NULL OR genre = '' THEN 'missing_fields'
+              WHEN length(genre) > 100 THEN 'value_too_long'
+              WHEN EXISTS (SELECT 1 FROM movie_genre g WHERE g.movie_id = i.movie_id
+                                                         AND lower(g.genre) = lower(i.genre)) THEN 'duplicate_key'
+              WHEN NOT EXISTS (SELECT 1 FROM movie m WHERE m.movie_id = i.movie_id) THEN 'unknown_reference'
+         END AS pre
+  FROM ins i),
+dec AS (
+  SELECT *, COALESCE(pre, CASE WHEN request_id = min(request_id) FILTER (WHERE pre IS NULL)
+                                   OVER (PARTITION BY movie_id, lower(genre))
+                               THEN 'inserted' ELSE 'duplicate_key' END) AS outcome
+  FROM chk)
+"""
+
+SHOW_INS = f"""
+ins AS (
+  SELECT CAST(p_partkey AS BIGINT) AS request_id,
+         CAST(CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 2 ELSE p_partkey // 2 + {BIG} END AS BIGINT) AS showtime_id,
+         CAST((p_partkey * 3) % ((SELECT count(*) FROM part) + 4) AS BIGINT) AS movie_id,
+         CAST(p_partkey % 26 AS BIGINT) AS theater_id,
+         TIMESTAMP '2026-06-01 12:00:00' + to_days(CAST(p_partkey % 30 AS INTEGER)) AS show_date,
+         CAST(p_retailprice AS DECIMAL(10,2)) AS price
+  FROM part),
+chk AS (
+  SELECT i.*,
+         CASE WHEN showtime_id IS NULL OR showtime_id = 0 OR movie_id IS NULL OR movie_id = 0
+                   OR theater_id IS NULL OR theater_id = 0 OR show_date IS NULL
+                   OR price IS NULL OR price = 0 THEN 'missing_fields'
+              WHEN EXISTS (SELECT 1 FROM showtime s WHERE s.showtime_id = i.showtime_id) THEN 'duplicate_key'
+              WHEN NOT EXISTS (SELECT 1 FROM movie m WHERE m.movie_id = i.movie_id)
+                   OR NOT EXISTS (SELECT 1 FROM theater t WHERE t.theater_id = i.theater_id)
+                THEN 'unknown_reference' END AS pre
+  FROM ins i),
+dec AS (
+  SELECT *, COALESCE(pre, CASE WHEN request_id = min(request_id) FILTER (WHERE pre IS NULL)
+                                   OVER (PARTITION BY showtime_id)
+                               THEN 'inserted' ELSE 'duplicate_key' END) AS outcome
+  FROM chk)
+"""
+
+BODIES.update({
+    "insert_genres": ("SELECT request_id, outcome FROM dec", GENRE_INS),
+    "insert_showtimes": ("SELECT request_id, outcome FROM dec", SHOW_INS),
+    "insert_showtimes_table": ("""
+        SELECT * FROM showtime
+        UNION ALL
+        SELECT showtime_id, movie_id, theater_id, show_date, price FROM dec WHERE outcome = 'inserted'""",
+                               SHOW_INS),
+})
+
+
 def dml_sql() -> dict[str, str]:
     return {name: with_bridge(body, extra, recursive=("walk" in extra or "fold" in extra))
             for name, (body, extra) in BODIES.items()}
\ No newline at end of file

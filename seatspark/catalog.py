@@ -80,6 +80,9 @@ CHANGES: dict[str, TablesQuery] = {
     "events_payment_after": S.events_payment_after,
     "insert_movies": S.outcomes_of(S.insert_movies),
     "insert_movies_table": S.table_after(S.insert_movies, "movie"),
+    "insert_genres": S.outcomes_of(S.insert_genres),
+    "insert_showtimes": S.outcomes_of(S.insert_showtimes),
+    "insert_showtimes_table": S.table_after(S.insert_showtimes, "showtime"),
     "register_users": S.outcomes_of(S.register_new_users),
     "register_users_table": S.table_after(S.register_new_users, "users"),
     "replace_showtimes": S.outcomes_of(S.replace_some_showtimes),

@@ -222,3 +222,37 @@ def new_payment_ids(spark: SparkSession, sf_dir: str, t: Tables | None = None) -
     unpaid = t.booking.join(t.payment.select("booking_id"), "booking_id", "left_anti")
     return next_ids(unpaid.select("booking_id"), ["booking_id"],
                     max_id(t.payment, "payment_id"), "payment_id")
+
+
+def genre_insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts add a genre to one movie; some repeat a genre in another case."""
+    part, _, _, _ = _counts(spark, sf_dir)
+    p = F.col("p_partkey")
+    return part.select(
+        p.cast("long").alias("request_id"),
+        F.when(p % 11 == 0, F.floor(p / 2) + BIG).otherwise(F.floor(p / 2)).cast("long").alias("movie_id"),
+        F.when(p % 3 == 0, F.lower("p_type"))
+         .when(p % 3 == 1, F.concat(F.lit("Genre"), (p % 4).cast("string")))
+         .otherwise(F.lit("")).alias("genre"))
+
+
+def showtime_insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New showtimes: some reuse an id, pairs share a new id, some point nowhere."""
+    part, _, n_parts, _ = _counts(spark, sf_dir)
+    p = F.col("p_partkey")
+    return part.select(
+        p.cast("long").alias("request_id"),
+        F.when(p % 5 == 0, p * 2).otherwise(F.floor(p / 2) + BIG).cast("long").alias("showtime_id"),
+        ((p * 3) % (n_parts + 4)).cast("long").alias("movie_id"),
+        (p % 26).cast("long").alias("theater_id"),
+        (F.lit("2026-06-01 12:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval((p % 30).cast("int"))).alias("show_date"),
+        F.col("p_retailprice").cast("decimal(10,2)").alias("price"))
+
+
+def insert_genres(spark, sf_dir, t=None):
+    return insert_rows(_tables(spark, sf_dir, t), "movie_genre", genre_insert_rows(spark, sf_dir))
+
+
+def insert_showtimes(spark, sf_dir, t=None):
+    return insert_rows(_tables(spark, sf_dir, t), "showtime", showtime_insert_rows(spark, sf_dir))
