@@ -331,3 +331,15 @@ def test_requests_from_form_text(spark, seed):
                                  "request_id long, user_id long, showtime_id long, seats_text string")
     _, out = admit_bookings(seed, requests_from_text(form))
     assert rows(out, "request_id", "outcome") == [(1, "accepted"), (2, "empty_seats")]
+
+
+def test_one_booking_with_thousands_of_events(spark, seed):
+    """A hot booking (3,000 events) takes the chunk-and-tree path at the default width."""
+    rnd = random.Random(21)
+    actions = ["use", "set_status", "checkin", "cancel", "pay", "refund"]
+    evs = [(202, seq, rnd.choice(actions), 2, rnd.choice(B)) for seq in range(3000)]
+    evs += [(205, 5000 + i, "use", None, None) for i in range(3)]
+    want_out, want_status, want_pay = _events_model(SEED, evs)
+    nxt, out = apply_booking_events(seed, _events(spark, evs))
+    assert rows(out, "seq", "outcome") == sorted(want_out)
+    assert dict(rows(nxt.booking, "booking_id", "status")) == want_status
