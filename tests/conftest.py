@@ -17,7 +17,9 @@ SMALL_SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", app="seatspark-tests", shuffle_partitions=4)
+    scratch = tempfile.mkdtemp(prefix="seatspark-test-")
+    s = get_session("local[4]", app="seatspark-tests", shuffle_partitions=4,
+                    extra={"spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seatspark-test-ckpt-"))
     yield s
     s.stop()
