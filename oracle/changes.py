@@ -15,16 +15,13 @@ req_lines AS (
   FROM lineitem GROUP BY l_orderkey),
 req AS (
   SELECT CAST(o.o_orderkey AS BIGINT) AS request_id, CAST(o.o_custkey AS BIGINT) AS user_id,
-         CAST((31 * o.o_orderkey + o.o_custkey) % (2 * (SELECT count(*) FROM part)) AS BIGINT) AS showtime_id,
+         CAST((31 * o.o_orderkey + o.o_custkey + o.o_orderkey % 3) % (2 * (SELECT count(*) FROM part)) AS BIGINT) AS showtime_id,
          l.seats, CAST(o.o_orderdate AS TIMESTAMP) AS requested_at
   FROM orders o LEFT JOIN req_lines l ON l.l_orderkey = o.o_orderkey)
 """
 
-# Scenario: existing holds are those of Cancelled bookings only.
 ADMIT_CTES = REQUESTS_CTES + """,
-bs0 AS (
-  SELECT bs.* FROM booking_seat bs JOIN booking b ON bs.booking_id = b.booking_id
-  WHERE b.status = 'Cancelled'),
+bs0 AS (SELECT * FROM booking_seat),
 req_seat AS (
   SELECT r.request_id, r.showtime_id, u.s
   FROM req r, unnest(r.seats) AS u(s)),

@@ -114,13 +114,13 @@ dec AS (
   SELECT c.*,
          CASE WHEN NOT (has_title OR has_duration OR has_owner OR has_desc OR has_poster OR has_rating)
                 THEN 'nothing_to_update'
+              WHEN NOT EXISTS (SELECT 1 FROM movie m WHERE m.movie_id = c.movie_id) THEN 'not_found'
               WHEN (has_duration AND TRY_CAST(s_duration AS INTEGER) IS NULL)
                    OR (has_owner AND TRY_CAST(s_owner AS BIGINT) IS NULL)
                    OR (has_rating AND TRY_CAST(s_rating AS DECIMAL(3,1)) IS NULL) THEN 'invalid_value'
               WHEN (has_title AND length(v_title) > 100) OR (has_poster AND length(v_poster) > 255)
                 THEN 'value_too_long'
               WHEN has_title AND v_title IS NULL THEN 'null_not_allowed'
-              WHEN NOT EXISTS (SELECT 1 FROM movie m WHERE m.movie_id = c.movie_id) THEN 'not_found'
               WHEN has_owner AND NOT EXISTS (SELECT 1 FROM producer p
                                              WHERE p.owner_id = TRY_CAST(c.s_owner AS BIGINT))
                 THEN 'unknown_reference'
@@ -210,7 +210,7 @@ BODIES = {
                CASE WHEN NOT EXISTS (SELECT 1 FROM producer p WHERE p.owner_id = s.s_suppkey) THEN 'not_found'
                     WHEN EXISTS (SELECT 1 FROM movie m WHERE m.owner_id = s.s_suppkey) THEN 'restricted'
                     ELSE 'deleted' END AS outcome
-        FROM supplier s WHERE s_suppkey % 3 = 0""", ""),
+        FROM supplier s""", ""),
 }
 
 
@@ -308,7 +308,8 @@ BODIES.update({
     "reassign_bookings_payment": ("""
         SELECT p.payment_id, p.booking_id, COALESCE(a.amount, p.amount) AS amount, p.status,
                p.payment_date
-        FROM payment p LEFT JOIN amounts a ON a.booking_id = p.booking_id""", MOVES),
+        FROM payment p LEFT JOIN amounts a ON a.booking_id = p.booking_id
+          AND p.payment_id = (SELECT min(q.payment_id) FROM payment q WHERE q.booking_id = p.booking_id)""", MOVES),
     "next_ids": ("""
         SELECT b.booking_id,
                (SELECT max(payment_id) FROM payment) + row_number() OVER (ORDER BY b.booking_id)

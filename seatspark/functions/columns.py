@@ -54,9 +54,14 @@ def actively_held(status: Column | str = "status") -> Column:
 
 def visible_to(df: DataFrame, user_id: int | None = None, role: str | None = None,
                owner_col: str = "user_id") -> DataFrame:
-    """Customers see their own rows; staff and admin (or no caller) see all."""
-    if role in STAFF_ROLES or user_id is None:
+    """Staff and admin see all rows; any other caller sees their own, and none without an id.
+
+    Called with neither id nor role, there is no caller to hide rows from (a report run by the house).
+    """
+    if role in STAFF_ROLES or (user_id is None and role is None):
         return df
+    if user_id is None:
+        return df.where(F.lit(False))
     return df.where(F.col(owner_col) == F.lit(user_id))
 
 
@@ -108,6 +113,6 @@ def display_date(col: Column | str) -> Column:
 
 
 def without(arr: Column, blocked: Column) -> Column:
-    """Elements of ``arr`` not in ``blocked`` (order and repeats of arr kept)."""
+    """Elements of ``arr`` whose lower case is not in ``blocked`` (order and repeats of arr kept)."""
     blocked = F.coalesce(blocked, empty_strings())
-    return F.filter(arr, lambda s: ~F.array_contains(blocked, s))
+    return F.filter(arr, lambda s: ~F.array_contains(blocked, F.lower(s)))

@@ -44,7 +44,7 @@ from ..sources.tables import Tables
 from .ids import max_id, next_ids
 
 # Fixed outcome names, in check order.
-OUTCOMES = ("missing_fields", "empty_seats", "showtime_not_found", "seat_not_found",
+OUTCOMES = ("duplicate_request", "missing_fields", "empty_seats", "showtime_not_found", "seat_not_found",
             "already_booked", "unknown_user", "duplicate_seat", "accepted")
 
 
@@ -55,9 +55,10 @@ def theater_seat_maps(t: Tables) -> DataFrame:
                 F.struct(F.lower("seat_number"), F.col("seat_number")))).alias("seat_map")))
 
 
-def held_keys_by_showtime(t: Tables) -> DataFrame:
-    """showtime_id -> set of lower(seat_number) with any Booking_Seat row."""
-    return (t.booking_seat.groupBy("showtime_id")
+def held_keys_by_showtime(t: Tables, requests: DataFrame) -> DataFrame:
+    """showtime_id -> set of lower(seat_number) with any Booking_Seat row, for the batch's showtimes."""
+    return (t.booking_seat.join(requests.select("showtime_id"), "showtime_id", "left_semi")
+            .groupBy("showtime_id")
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
 
@@ -67,7 +68,7 @@ def _checked(t: Tables, requests: DataFrame) -> DataFrame:
     r = (requests.join(st, "showtime_id", "left")
          .join(users, "user_id", "left")
          .join(theater_seat_maps(t), "theater_id", "left")
-         .join(held_keys_by_showtime(t), "showtime_id", "left"))
+         .join(held_keys_by_showtime(t, requests), "showtime_id", "left"))
     seats = F.col("seats")
     seat_map = F.coalesce(F.col("seat_map"), F.create_map().cast("map<string,string>"))
     held = F.coalesce(F.col("held"), F.array().cast("array<string>"))
@@ -135,6 +136,21 @@ def _rounds(claims: DataFrame) -> DataFrame:
     return out
 
 
+def usable_ids(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests whose request_id is given once, and the outcomes of all others.
+
+    Without an id a request has no place in the order (missing_fields); rows
+    that share one have no order among themselves (duplicate_request).
+    """
+    given = requests.where(F.col("request_id").isNotNull())
+    repeated = given.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id")
+    refused = requests.where(F.col("request_id").isNull()).select(
+        "request_id", F.lit("missing_fields").alias("outcome")).unionByName(
+        given.join(repeated, "request_id", "left_semi").select(
+            "request_id", F.lit("duplicate_request").alias("outcome")))
+    return given.join(repeated, "request_id", "left_anti"), refused
+
+
 def admit_bookings(t: Tables, requests: DataFrame,
                    as_of: Column | None = None) -> tuple[Tables, DataFrame]:
     """Admit a batch of booking requests.
@@ -144,7 +160,8 @@ def admit_bookings(t: Tables, requests: DataFrame,
     Accepted bookings are Pending, dated ``requested_at`` (else ``as_of``,
     else the current timestamp).
     """
-    req = requests.select(*[F.col(f.name).cast(f.dataType) for f in BOOKING_REQUEST.fields])
+    req, refused = usable_ids(requests.select(
+        *[F.col(f.name).try_cast(f.dataType) for f in BOOKING_REQUEST.fields]))
     checked = cut_lineage(_checked(t, req))
     open_ = checked.where(F.col("pre").isNull())
     takers = open_.where(F.col("blocker").isNull())
@@ -167,7 +184,7 @@ def admit_bookings(t: Tables, requests: DataFrame,
 
     decided = (checked.where(F.col("pre").isNotNull())
                .select("request_id", F.col("pre").alias("outcome"))
-               .unionByName(taker_outcomes).unionByName(blocked_outcomes))
+               .unionByName(taker_outcomes).unionByName(blocked_outcomes).unionByName(refused))
 
     accepted = checked.join(decided.where(F.col("outcome") == "accepted"), "request_id", "left_semi")
     with_ids = next_ids(accepted, ["request_id"], max_id(t.booking, "booking_id"), "booking_id")

@@ -79,7 +79,7 @@ def insert_rows(t: Tables, table: str, rows: DataFrame) -> tuple[Tables, DataFra
     duplicate_key (existing key or an earlier accepted row of the batch)."""
     schema = SCHEMAS[table]
     pk = PRIMARY_KEYS[table]
-    req = rows.select("request_id", *[F.col(f.name).cast(f.dataType) for f in schema.fields
+    req = rows.select("request_id", *[F.col(f.name).try_cast(f.dataType) for f in schema.fields
                                       if f.name in rows.columns])
     for f in schema.fields:
         if f.name not in req.columns:
@@ -145,11 +145,12 @@ def register_users(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
     """M9: public registration: role defaults to customer, any other role refused."""
     schema = SCHEMAS["users"]
     need = _any([missing(c, schema[c].dataType) for c in ("user_id", "name", "email", "password")])
-    r = rows.withColumn("role", F.coalesce(F.col("role"), F.lit("customer")))
-    refused = r.where(need | (F.col("role") != "customer")).select(
+    given = F.col("role") if "role" in rows.columns else F.lit(None).cast("string")
+    r = rows.withColumn("role", F.coalesce(given, F.lit("customer")))
+    bad = need | (F.col("role") != "customer")
+    refused = r.where(bad).select(
         "request_id", F.when(need, "missing_fields").otherwise("role_not_allowed").alias("outcome"))
-    ok = r.join(refused, "request_id", "left_anti")
-    nxt, outcomes = insert_rows(t, "users", ok)
+    nxt, outcomes = insert_rows(t, "users", r.where(~bad))
     return nxt, outcomes.unionByName(refused)
 
 
@@ -160,7 +161,7 @@ def replace_showtimes(t: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
     one showtime the last (highest request_id) is the one left standing.
     """
     schema = SCHEMAS["showtime"]
-    req = rows.select("request_id", *[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    req = rows.select("request_id", *[F.col(f.name).try_cast(f.dataType) for f in schema.fields])
     need = _any([missing(c, schema[c].dataType)
                  for c in ("movie_id", "theater_id", "show_date", "price")])
     have = t.showtime.select("showtime_id").withColumn("_found", F.lit(True))
@@ -213,10 +214,10 @@ def patch_movies(t: Tables, patches: DataFrame) -> tuple[Tables, DataFrame]:
     else:
         fk_bad = F.lit(False)
     decided = cut_lineage(rows.withColumn("outcome", F.when(~F.col("_any"), "nothing_to_update")
+                                          .when(F.col("_found").isNull(), "not_found")
                                           .when(F.col("_bad"), "invalid_value")
                                           .when(F.col("_long"), "value_too_long")
                                           .when(F.col("_null"), "null_not_allowed")
-                                          .when(F.col("_found").isNull(), "not_found")
                                           .when(fk_bad, "unknown_reference")
                                           .otherwise("updated")))
     ok = decided.where(F.col("outcome") == "updated")

@@ -27,7 +27,10 @@ refund          payment_not_found, already_refunded, not_confirmed,      P = Ref
 The per-booking fold runs through ``fold_scan`` (no booking's events are
 ever gathered in one group). A booking is assumed to have at most one payment
 (audit rule one_payment_per_booking); if it has more, the lowest payment_id is
-the one read and written, as a single-row fetch would pick one.
+the one read and written, as a single-row fetch would pick one; a refund sets
+all payments of the booking to Refunded. Events without booking_id or seq are
+refused as missing_fields. A payment made by an event without a time is dated
+now.
 """
 
 from __future__ import annotations
@@ -122,8 +125,13 @@ def apply_booking_events(t: Tables, events: DataFrame,
                          width: int = 1024) -> tuple[Tables, DataFrame]:
     """Apply a batch of events. Returns the next snapshot and per-event outcomes
     ``booking_id, seq, action, outcome``."""
-    ev = events.select(*[F.col(f.name).cast(f.dataType) for f in BOOKING_EVENT.fields])
-    seats = t.booking_seat.groupBy("booking_id").agg(F.count("seat_number").alias("n_seats"))
+    ev = events.select(*[F.col(f.name).try_cast(f.dataType) for f in BOOKING_EVENT.fields])
+    incomplete = F.col("booking_id").isNull() | F.col("seq").isNull()
+    refused = ev.where(incomplete).select("booking_id", "seq", "action",
+                                          F.lit("missing_fields").alias("outcome"))
+    ev = ev.where(~incomplete)
+    keys = ev.select("booking_id").distinct()
+    seats = t.booking_seat.join(keys, "booking_id", "left_semi").groupBy("booking_id").agg(F.count("seat_number").alias("n_seats"))
     bk = (t.booking.select("booking_id", "user_id", "status", "showtime_id")
           .join(t.showtime.select("showtime_id", "price"), "showtime_id", "left")
           .join(seats, "booking_id", "left")
@@ -132,11 +140,10 @@ def apply_booking_events(t: Tables, events: DataFrame,
                   F.coalesce("n_seats", F.lit(0)).alias("n_seats"),
                   F.lit(True).alias("_exists")))
     # the payment a single-row fetch reads: lowest payment_id of the booking
-    pay = (t.payment.groupBy("booking_id")
+    pay = (t.payment.join(keys, "booking_id", "left_semi").groupBy("booking_id")
            .agg(F.min_by(F.struct("payment_id", "status"), F.col("payment_id")).alias("pay"))
            .select("booking_id", F.col("pay.payment_id").alias("payment_id"),
                    F.col("pay.status").alias("p0")))
-    keys = ev.select("booking_id").distinct()
     ctx = cut_lineage(keys.join(bk, "booking_id", "left").join(pay, "booking_id", "left")
                      .select("booking_id", "owner", "b0", "price", "n_seats", "payment_id", "p0",
                              F.coalesce("_exists", F.lit(False)).alias("exists")))
@@ -153,13 +160,15 @@ def apply_booking_events(t: Tables, events: DataFrame,
                     F.col("price").isNotNull().alias("show_ok"),
                     (F.col("n_seats") > 0).alias("has_seats")))
     fields = ["action", "at", "new_status", "exists", "valid", "is_owner", "show_ok", "has_seats"]
-    scanned = fold_scan(rows, "booking_id", "seq", fields, start, next_state, N_STATES, width)
+    # cut once: outcomes, bookings and payments all read it
+    scanned = cut_lineage(fold_scan(rows, "booking_id", "seq", fields, start, next_state, N_STATES, width))
 
     out_col = outcome_of(F.col("state_before"), F.struct(*[F.col(c) for c in fields]))
-    outcomes = scanned.select("booking_id", "seq", "action", out_col.alias("outcome"))
+    outcomes = scanned.select("booking_id", "seq", "action", out_col.alias("outcome")).unionByName(refused)
 
     last = (scanned.groupBy("booking_id")
             .agg(F.max_by("state_after", "seq").alias("s_end"),
+                 F.bool_or((F.col("action") == "refund") & (out_col == "ok")).alias("refunded"),
                  F.max_by(F.struct("seq", "at"),
                           F.when(decode(F.col("state_after"))[3] > decode(F.col("state_before"))[3],
                                  F.col("seq"))).alias("ins")))
@@ -175,14 +184,16 @@ def apply_booking_events(t: Tables, events: DataFrame,
                .withColumn("status", F.coalesce("_status", "status")).drop("_status"))
 
     upd = final.where((fi == 0) & F.col("payment_id").isNotNull()).select(
-        "payment_id", F.element_at(pstatuses, fp + 1).alias("_st"),
+        "booking_id", F.col("payment_id").alias("_first"), F.col("refunded").alias("_refunded"), F.element_at(pstatuses, fp + 1).alias("_st"),
         F.when(fa == 1, new_amount).alias("_amt"))
-    payment = (t.payment.join(upd, "payment_id", "left")
-               .withColumn("status", F.coalesce("_st", "status"))
-               .withColumn("amount", F.coalesce("_amt", "amount"))
-               .drop("_st", "_amt"))
+    is_first = F.col("payment_id") == F.col("_first")
+    payment = (t.payment.join(upd, "booking_id", "left")
+               .withColumn("status", F.when(is_first, F.col("_st"))
+                           .when(F.col("_refunded"), "Refunded").otherwise(F.col("status")))
+               .withColumn("amount", F.when(is_first, F.coalesce("_amt", "amount")).otherwise(F.col("amount")))
+               .select(*t.payment.columns))
     inserts = final.where(fi == 1).select(
-        "booking_id", F.col("ins.seq").alias("ins_seq"), F.col("ins.at").alias("payment_date"),
+        "booking_id", F.col("ins.seq").alias("ins_seq"), F.coalesce("ins.at", F.localtimestamp()).alias("payment_date"),
         new_amount.alias("amount"), F.element_at(pstatuses, fp + 1).alias("status"))
     new_rows = next_ids(inserts, ["ins_seq"], max_id(t.payment, "payment_id"), "payment_id")
     payment = payment.unionByName(new_rows.select("payment_id", "booking_id", "amount", "status",

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from ..schemas import BOOKING_MOVE, MONEY
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .admit import _claims, _rounds, theater_seat_maps
+from .admit import _claims, _rounds, theater_seat_maps, usable_ids
 
 
 def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
-    mv = moves.select(*[F.col(f.name).cast(f.dataType) for f in BOOKING_MOVE.fields])
+    mv, refused = usable_ids(moves.select(*[F.col(f.name).try_cast(f.dataType) for f in BOOKING_MOVE.fields]))
     first = mv.groupBy("booking_id").agg(F.min("request_id").alias("_first"))
     bk = t.booking.select("booking_id", F.col("user_id").alias("owner"),
                           F.col("status").alias("b_status"),
@@ -94,7 +94,8 @@ def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
                    "request_id", F.when(F.col("_taken"), "already_booked")
                    .otherwise("duplicate_seat").alias("outcome")))
                .unionByName(open_.where(F.col("seats").isNull())
-                            .select("request_id", F.lit("moved").alias("outcome"))))
+                            .select("request_id", F.lit("moved").alias("outcome")))
+               .unionByName(refused))
     done = cut_lineage(checked.join(decided.where(F.col("outcome") == "moved"), "request_id",
                                     "left_semi"))
 
@@ -116,7 +117,11 @@ def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
                 .groupBy("booking_id")
                 .agg(F.min_by((F.col("n") * F.col("price")).cast(MONEY), F.col("showtime_id"))
                      .alias("_amount")))
-    payment = (t.payment.join(held_now, "booking_id", "left")
+    # one payment of the booking changes, the lowest payment_id
+    first = (t.payment.join(moved_ids, "booking_id", "left_semi")
+             .groupBy("booking_id").agg(F.min("payment_id").alias("payment_id"))
+             .join(held_now, "booking_id").select("payment_id", "_amount"))
+    payment = (t.payment.join(first, "payment_id", "left")
                .withColumn("amount", F.coalesce("_amount", "amount")).drop("_amount"))
     payment = payment.select(*t.payment.columns)
     booking = booking.select(*t.booking.columns)

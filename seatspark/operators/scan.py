@@ -5,8 +5,9 @@ sequential, and one key may hold a large share of all events. When the state
 takes few values (K), every run of events is a function {0..K-1} -> {0..K-1}
 (an array of K ints), and such functions compose. So:
 
-1. Chunks: events of a key are cut by ``floor(order / W)``; each chunk holds at
-   most W events (order values are distinct within a key). A chunk's function
+1. Chunks: events of a key are cut by ``(order - smallest order) div W`` in exact
+   integers; each chunk holds at most W events (order values are distinct within
+   a key). A chunk's function
    is its events applied to each of the K start states.
 2. Up-sweep: chunk functions are grouped W at a time (``floor(c / W)``) and
    composed, level after level, until one group per key is left; each child
@@ -25,20 +26,27 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..session import cut_lineage
 
 Step = Callable[[Column, Column], Column]  # (state int, event struct) -> next state int
 
 
-def _levels(events: DataFrame, order: str, width: int) -> int:
+def _levels(events: DataFrame, order: str, width: int) -> tuple[int, int]:
+    """Levels of the tree and the smallest order value; chunk numbers count from that value."""
     lo, hi = events.agg(F.min(order), F.max(order)).first()
     if lo is None:
-        return 1
+        return 1, 0
     levels = 1
-    while (lo // width ** levels) != (hi // width ** levels):
+    while (hi - lo) // width ** levels:
         levels += 1
-    return levels
+    return levels, lo
+
+
+def _div(value: Column, width: int) -> Column:
+    """Integer quotient of a value of 0 or more; no doubles, which are inexact above 2**53."""
+    return F.call_function("div", value, F.lit(width).cast(DecimalType(20, 0))).cast("long")
 
 
 def _apply(fn: Column, state: Column) -> Column:
@@ -73,11 +81,12 @@ def _replay(groups: DataFrame, key: str, step: Step) -> DataFrame:
 def _hot_scan(ev: DataFrame, key: str, order: str, cols: list[str], st: DataFrame,
               step: Step, n_states: int, width: int) -> DataFrame:
     """Events of keys with more than ``width`` events: chunk functions + tree."""
-    levels = _levels(ev, order, width)
+    levels, lo = _levels(ev, order, width)
+    since = F.col(order).cast(DecimalType(20, 0)) - F.lit(lo).cast(DecimalType(20, 0))
 
     # level 1: chunks of at most `width` events, sorted, with their function
     chunks = cut_lineage(
-        ev.groupBy(key, F.floor(F.col(order) / width).cast("long").alias("c"))
+        ev.groupBy(key, _div(since, width).alias("c"))
           .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("evs"))
           .withColumn("fn", F.transform(
               F.sequence(F.lit(0), F.lit(n_states - 1)),
@@ -88,7 +97,7 @@ def _hot_scan(ev: DataFrame, key: str, order: str, cols: list[str], st: DataFram
     tiers = []  # per level >= 2: (key, c, children[struct(kc, kpre)])
     below = chunks.select(key, "c", "fn")
     for _ in range(2, levels + 1):
-        grouped = (below.groupBy(key, F.floor(F.col("c") / width).cast("long").alias("p"))
+        grouped = (below.groupBy(key, _div(F.col("c").cast(DecimalType(20, 0)), width).alias("p"))
                    .agg(F.array_sort(F.collect_list(F.struct("c", "fn"))).alias("kids")))
         comp = grouped.select(key, "p", "kids", _compose(F.col("kids"), n_states).alias("x"))
         tier = cut_lineage(comp.select(

@@ -164,7 +164,7 @@ def seat_layout(t: Tables, showtime_id: int | None = None) -> DataFrame:
                    F.explode("seats").alias("seat_number")))
     return out.select(
         "showtime_id", "seat_number",
-        F.when(F.array_contains("held", F.col("seat_number")), "Booked")
+        F.when(F.array_contains("held", F.lower("seat_number")), "Booked")
          .otherwise("Available").alias("status"))
 
 

@@ -59,7 +59,7 @@ def admit_batch(spark: SparkSession, base: str, root: str, batch: DataFrame, bat
                      ("outcomes", outcomes)):
         target = os.path.join(root, "added" if name != "outcomes" else "", name)
         (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-           .write.mode("overwrite").partitionBy("batch_id").parquet(target))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target))
 
 
 def start_admission_stream(spark: SparkSession, base: str, requests_dir: str, root: str,
@@ -67,7 +67,6 @@ def start_admission_stream(spark: SparkSession, base: str, requests_dir: str, ro
                            available_now: bool = False,
                            processing_time: str | None = None) -> StreamingQuery:
     """Start the stream; returns the running query."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     reader = spark.readStream.schema(BOOKING_REQUEST).option("mode", "PERMISSIVE")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -60,17 +60,16 @@ def apply_events_batch(spark: SparkSession, base: str, root: str, batch: DataFra
            "payment": nxt.payment.join(touched, "booking_id", "left_semi")}
     for name, df in out.items():
         (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-           .write.mode("overwrite").partitionBy("batch_id")
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
            .parquet(os.path.join(root, "changes", name)))
     (outcomes.withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").partitionBy("batch_id").parquet(os.path.join(root, "outcomes")))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(os.path.join(root, "outcomes")))
 
 
 def start_events_stream(spark: SparkSession, base: str, events_dir: str, root: str,
                         checkpoint: str, files_per_batch: int | None = None,
                         available_now: bool = False,
                         processing_time: str | None = None) -> StreamingQuery:
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     reader = spark.readStream.schema(BOOKING_EVENT).option("mode", "PERMISSIVE")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -343,3 +343,64 @@ def test_one_booking_with_thousands_of_events(spark, seed):
     nxt, out = apply_booking_events(seed, _events(spark, evs))
     assert rows(out, "seq", "outcome") == sorted(want_out)
     assert dict(rows(nxt.booking, "booking_id", "status")) == want_status
+
+
+# ---- rows and values that a batch must survive ----------------------------------------
+
+def test_refund_changes_every_payment_of_the_booking(spark, seed):
+    pays = spark.createDataFrame([(1, 206, d(50), "Confirmed", None), (2, 206, d(10), "Pending", None),
+                                  (3, 201, d(9), "Confirmed", None)], seed.payment.schema)
+    nxt, out = apply_booking_events(seed.with_(payment=pays), _events(spark, [(206, 1, "refund", 3, None)]))
+    assert rows(out, "outcome") == [("ok",)]
+    assert rows(nxt.payment, "payment_id", "status") == [(1, "Refunded"), (2, "Refunded"), (3, "Confirmed")]
+
+
+def test_events_without_booking_or_order_are_refused(spark, seed):
+    evs = spark.createDataFrame([(None, 1, "cancel", 1), (202, None, "cancel", 2), (202, 3, "cancel", 2)],
+                                "booking_id long, seq long, action string, actor_id long")
+    nxt, out = apply_booking_events(seed, evs.selectExpr("*", "cast(null as string) new_status",
+                                                         "cast(null as timestamp_ntz) at"))
+    assert sorted(r["outcome"] for r in out.collect()) == ["missing_fields", "missing_fields", "ok"]
+
+
+@pytest.mark.parametrize("width", [2, 8, 1024])
+def test_event_order_of_any_integers(spark, seed, width):
+    rnd = random.Random(width)
+    actions = ["cancel", "pay", "use", "checkin", "set_status", "refund"]
+    big = 1_700_000_000_000_000_000
+    seqs = [-9, -3, 0, 1, 7] + [big + k for k in range(60)]
+    evs = [(202, q, rnd.choice(actions), 2, rnd.choice(["Pending", "Confirmed", "Used"])) for q in seqs]
+    want_out, want_status, _ = _events_model(SEED, evs)
+    nxt, out = apply_booking_events(seed, _events(spark, evs), width=width)
+    assert rows(out, "seq", "outcome") == sorted(want_out)
+    assert dict(rows(nxt.booking, "booking_id", "status")) == want_status
+
+
+def test_payment_without_time_is_dated(spark, seed):
+    nxt, _ = apply_booking_events(seed, _events(spark, [(207, 1, "pay", 1, None)]))
+    made = nxt.payment.join(seed.payment.select("payment_id"), "payment_id", "left_anti").collect()
+    assert all(r["payment_date"] is not None for r in made)
+
+
+def test_repeated_and_missing_request_ids_are_refused(spark, seed):
+    reqs = spark.createDataFrame([(1, 6, 15, ["1"]), (1, 2, 15, ["1"]), (None, 6, 15, ["2"]), (2, 6, 15, ["1"])],
+                                 "request_id long, user_id long, showtime_id long, seats array<string>")
+    nxt, out = admit_bookings(seed, reqs.selectExpr("*", "cast(null as timestamp_ntz) requested_at"))
+    assert sorted((r["request_id"] or 0, r["outcome"]) for r in out.collect()) == [
+        (0, "missing_fields"), (1, "duplicate_request"), (1, "duplicate_request"), (2, "accepted")]
+    assert "unique" not in {r["rule"] for r in violations_only(nxt).collect()}
+
+
+def test_move_changes_the_lowest_payment_only(spark, seed):
+    pays = spark.createDataFrame([(1, 205, d(1), "Pending", None), (2, 205, d(2), "Pending", None)], seed.payment.schema)
+    nxt, out = reassign_bookings(seed.with_(payment=pays), spark.createDataFrame([(1, 205, 2, 15, ["2"])], BOOKING_MOVE))
+    assert rows(out, "outcome") == [("moved",)]
+    assert rows(nxt.payment, "payment_id", "amount") == [(1, d(90)), (2, d(2))]
+
+
+def test_register_without_a_role_column(spark, seed):
+    new = spark.createDataFrame([(1, 50, "Gil", "gil@x.io", "p")], "request_id long, user_id long, name string, "
+                                "email string, password string")
+    nxt, out = register_users(seed, new)
+    assert rows(out, "outcome") == [("inserted",)]
+    assert rows(nxt.users.where("user_id = 50"), "role") == [("customer",)]

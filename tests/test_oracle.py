@@ -10,6 +10,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oracle import oracle_queries
+from seatspark.catalog import queries as catalog_queries
 from conftest import SMALL_SF
 
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -38,8 +40,8 @@ def duck():
     return con
 
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = catalog_queries()
+ORACLE = oracle_queries()
 
 
 def test_every_query_has_an_oracle():

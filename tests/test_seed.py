@@ -142,3 +142,16 @@ def test_read_requests_permissive(spark, seed, tmp_path):
     _, out = admit_bookings(seed, req)
     got = rows(out, "request_id", "outcome")
     assert got[0] == (1, "accepted") and got[1][1] == "missing_fields"
+
+
+def test_a_customer_without_an_id_sees_nothing(seed):
+    assert rows(R.booking_detail(seed, role="customer")) == []
+
+
+def test_held_seats_match_without_case(spark, seed):
+    held = spark.createDataFrame([(207, "a", 8, 15)], seed.booking_seat.schema)
+    t = seed.with_(booking_seat=held)
+    assert "A" not in {r["seat_number"] for r in V.available_seats(t, 15).collect()}
+    assert "A" not in {r["seat_number"] for r in V.bookable_seats(t, 15).collect()}
+    booked = {r["seat_number"]: r["status"] for r in R.seat_layout(t, 15).collect()}
+    assert booked["A"] == "Booked"
