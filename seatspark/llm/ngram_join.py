@@ -3,12 +3,13 @@
 Two documents link when the Jaccard similarity of their word shingles reaches a
 threshold. Documents with equal shingle sets are one class. Each class is
 posted under the smallest shingles of its set (prefix filter: linked sets share
-one of them), in an order that puts very common shingles last; the order only
-affects speed. Classes posted under a shingle form a run.
+one of them), in an order that puts common shingles last, by their frequency;
+the order only affects speed. Classes posted under a shingle form a run.
 
-Round 1 compares each class of a run with one other of it, which joins most
-groups of copies at a linear number of comparisons. Round 2 finds all further
-pairs between different components: a signature tree over each run (nodes hold
+Round 1 compares each class of a run with its smallest class, round 2 with the
+class that shares most shingles with others (an original among edited copies);
+this joins most groups of copies at a linear number of comparisons. Round 3
+finds all further pairs between different components: a signature tree over each run (nodes hold
 OR-combined bitmaps, size ranges and component ranges) is traversed against
 itself, pruning node pairs by their largest possible overlap; long runs are cut
 into blocks that are traversed pair by pair. All pairs left are compared
@@ -27,7 +28,10 @@ from .shared import ready, saved
 from .textops import BLANK, byte_values, gram_hashes, mix, text_slices, word_hashes
 
 GRAM_BITS = 48  # shingles are 48-bit hashes
-HOT_BLOCK = 1 << 20  # shingles counted together when looking for common ones
+COUNT_BLOCK = 1 << 21  # shingles counted together when looking for common ones
+COMMON = 1 << 20  # shingles that are put last, at most, at every size of the input
+SALTED = 4096  # a shingle that is counted so often is posted in parts
+POST_BLOCK = 1 << 20  # postings that a task packs together
 RUN_BLOCK = 2048  # rows of a run that are traversed together
 LEAF = 32
 FAN = 8
@@ -52,8 +56,8 @@ def _set_key(grams: np.ndarray) -> int:
 
 
 def _signature(grams: np.ndarray) -> bytes:
-    """Bitmap of the shingles; as many bits as shingles, rounded up to a power of two (64 to 8192)."""
-    bits = min(8192, max(64, 1 << (len(grams) - 1).bit_length()))
+    """Bitmap of the shingles; twice as many bits as shingles, rounded up to a power of two (64 to 16384)."""
+    bits = min(16384, max(64, 2 << (len(grams) - 1).bit_length()))
     flags = np.zeros(bits, np.uint8)
     flags[(grams % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -68,7 +72,7 @@ def _sketch(grams: np.ndarray) -> int:
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether half of the sketches' parts agree (used in round 1 only)."""
+    """Whether half of the sketches' parts agree (used in rounds 1 and 2 only)."""
     x = a ^ b
     equal = sum(((x >> np.uint32(4 * k)) & np.uint32(15)) == 0 for k in range(8))
     return equal >= 4
@@ -90,7 +94,7 @@ def _scan(n: int):
 
         def common():
             grams, counts = np.unique(np.concatenate(block), return_counts=True)
-            often = counts >= 4
+            often = counts >= 2
             m = int(often.sum())
             return pa.RecordBatch.from_arrays(
                 [pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
@@ -110,7 +114,7 @@ def _scan(n: int):
                     seen.add(key)
                     block.append(grams)
                     size += len(grams)
-                    if size >= HOT_BLOCK:
+                    if size >= COUNT_BLOCK:
                         yield common()
                         block, size = [], 0
             columns = list(zip(*found)) if rows else [()] * 4
@@ -124,10 +128,32 @@ def _scan(n: int):
     return scan
 
 
+def _common(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles (COMMON at most), sorted, their order by count, and those to be posted in parts.
+
+    The least count that is listed is the one that keeps the list in bounds.
+    """
+    step = F.when(F.col("c") < SALTED, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("long"))
+    spread = counted.groupBy(step.alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()  # some 4100 rows at most
+    least, size = 1 << 62, 0
+    for r in sorted(spread, key=lambda r: -r["c"]):
+        size += r["m"]
+        if size > COMMON:
+            break
+        least = r["c"]
+    listed = counted.where(F.col("c") >= least).toArrow()
+    grams, counts = listed.column("gram").to_numpy().astype(np.uint64), listed.column("c").to_numpy()
+    by_gram = np.argsort(grams)
+    grams, counts = grams[by_gram], counts[by_gram]
+    rank = np.empty(len(grams), np.int32)
+    rank[np.lexsort((grams, counts))] = np.arange(len(grams), dtype=np.int32)
+    return grams, rank, grams[counts >= SALTED]
+
+
 def _prefixes(n: int, percent: int, hot, buckets: int, hot_parts: int):
     """Task over (doc_id, text): postings (shingle, class, sketch) packed by bucket of the shingle."""
     def post(batches):
-        common = hot.value
+        common, rank, salted = hot.value
         seen: set[int] = set()
         grams_, keys_, sketches_, size = [], [], [], 0
 
@@ -135,9 +161,8 @@ def _prefixes(n: int, percent: int, hot, buckets: int, hot_parts: int):
             g, k = np.concatenate(grams_), np.repeat(np.array(keys_, np.int64), list(map(len, grams_)))
             s = np.repeat(np.array(sketches_, np.uint32), list(map(len, grams_)))
             salt = np.zeros(len(g), np.uint64)
-            if len(common):  # a very common shingle is posted in parts, another division for each
-                at = np.minimum(np.searchsorted(common, g), len(common) - 1)
-                is_hot = common[at] == g
+            if len(salted):  # a very common shingle is posted in parts, another division for each
+                is_hot = salted[np.minimum(np.searchsorted(salted, g), len(salted) - 1)] == g
                 salt[is_hot] = mix(k[is_hot].view(np.uint64) ^ (g[is_hot] << np.uint64(16))) % np.uint64(hot_parts) + np.uint64(1)
             bucket = (mix(g * np.uint64(31) + salt) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -161,13 +186,15 @@ def _prefixes(n: int, percent: int, hot, buckets: int, hot_parts: int):
                 size_ = len(grams) - _need(len(grams), percent) + 1
                 sketch = _sketch(grams)
                 if len(common):
-                    rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
-                    grams = np.concatenate([grams[rare], grams[~rare]])
+                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                    listed = common[at] == grams
+                    last = grams[listed][np.argsort(rank[at[listed]])]
+                    grams = np.concatenate([grams[~listed], last])
                 grams_.append(grams[:size_])
                 keys_.append(key)
                 sketches_.append(sketch)
                 size += size_
-                if size >= HOT_BLOCK:
+                if size >= POST_BLOCK:
                     yield from packed()
                     grams_, keys_, sketches_, size = [], [], [], 0
         if size:
@@ -207,14 +234,16 @@ def _first_pairs(hot):
         rest = ~begins & _alike(s, s[head])
         pairs = np.unique(np.stack([k[head][rest], k[rest]], 1), axis=0)
         shared = np.repeat(lengths > 1, lengths)
-        if len(hot.value):
-            common = hot.value
-            shared |= common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g
-        for kind, a, b in ((0, pairs[:, 0], pairs[:, 1]), (1, g[shared].astype(np.int64), k[shared])):
+        salted = hot.value[2]
+        if len(salted):
+            shared |= salted[np.minimum(np.searchsorted(salted, g), len(salted) - 1)] == g
+        none = np.zeros(len(pairs), np.uint32)
+        for kind, a, b, c in ((0, pairs[:, 0], pairs[:, 1], none), (1, g[shared].astype(np.int64), k[shared], s[shared])):
             for x in range(0, len(a), 100_000):
                 part = a[x:x + 100_000]
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(part), pa.int32()),
-                                                  "a": pa.array(part), "b": pa.array(b[x:x + 100_000])})
+                                                  "a": pa.array(part), "b": pa.array(b[x:x + 100_000]),
+                                                  "sketch": pa.array(c[x:x + 100_000].astype(np.int64))})
 
     return run
 
@@ -369,7 +398,7 @@ def _traverse_run(keys, sizes, comps, blobs, side, percent: int) -> set[tuple[in
 
     Signatures of one width make one tree; trees of unequal widths meet at the
     narrower one. Sets that link differ in width by a factor of two at most
-    (unless the larger has more than 8192 shingles, where widths are equal).
+    (none, where both have more than 8192 shingles).
     """
     trees, out = {}, set()
     widths = np.array([len(x) // 8 for x in blobs])
@@ -447,6 +476,30 @@ def _further_pairs(percent: int):
     return run
 
 
+def _with_components(posted: DataFrame, comps: DataFrame) -> DataFrame:
+    return saved(posted.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select(
+        "gram", "key", "sketch", F.coalesce("component", "key").alias("comp")), "postings")
+
+
+def _mixed(posted: DataFrame) -> DataFrame:
+    """Runs of more than one component, and their rows."""
+    return posted.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                      F.count(F.lit(1)).alias("m")).where("low != high")
+
+
+def _hub_pairs(posted: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the run's class that has most shared shingles, if their sketches are alike."""
+    posted = _with_components(posted, comps)
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    rated = posted.join(_mixed(posted).select("gram"), "gram").join(shared, "key")
+    rated = saved(rated.select("gram", F.struct("m", "key", "comp", "sketch").alias("row")), "rated-postings")
+    hubs = saved(rated.groupBy("gram").agg(F.max("row").alias("hub")), "hubs")
+    other = F.expr("row.sketch ^ hub.sketch")
+    alike = sum(F.when(F.shiftright(other, 4 * k).bitwiseAND(F.lit(15)) == 0, 1).otherwise(0) for k in range(8))
+    return rated.join(hubs, "gram").where((F.col("row.comp") != F.col("hub.comp")) & (alike >= 4)).select(
+        F.least("row.key", "hub.key").alias("a"), F.greatest("row.key", "hub.key").alias("b")).distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Components of the documents under links of shingle similarity >= percent / 100.
 
@@ -464,28 +517,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = scanned.where("kind = 0 and first")
     reps = saved(classes.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     total = reps.count()
-    # A common shingle is in at least one of 2000 classes, so there are at most
-    # 2000 * (mean set size) of them, however many documents there are.
-    common = scanned.where("kind = 1").groupBy("gram").agg(F.sum("count").alias("c")).where(
-        F.col("c") >= max(64, total // 2000)).select("gram")
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in common.collect()], np.uint64)))
+    hot = spark.sparkContext.broadcast(_common(saved(
+        scanned.where("kind = 1").groupBy("gram").agg(F.sum("count").alias("c")).where("c > 2"), "common")))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.mapInArrow(_prefixes(n, percent, hot, buckets, max(16, total // 20_000)), "bucket int, grams binary, keys binary, sketches binary")
-    found = saved(postings.repartition("bucket").mapInArrow(_first_pairs(hot), "kind int, a long, b long"), "runs")
+    found = saved(postings.repartition("bucket").mapInArrow(_first_pairs(hot), "kind int, a long, b long, sketch long"), "runs")
 
     pairs = saved(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = _verified(docs, pairs, reps, n, percent)
     comps = components(links)
 
-    posted = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("node"))
-    posted = posted.join(comps, "node", "left").select(
-        "gram", F.col("node").alias("key"), F.coalesce("component", "node").alias("comp"))
-    posted = saved(posted, "postings")
-    mixed = posted.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                       F.count(F.lit(1)).alias("m")).where("low != high")
-    mixed = saved(mixed.select("gram", F.ceil(F.col("m") / RUN_BLOCK).cast("int").alias("blocks")), "mixed-runs")
+    posted = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("key"), "sketch")
+    second = _hub_pairs(posted, comps).join(pairs, ["a", "b"], "left_anti")
+    links = saved(links.unionByName(_verified(docs, saved(second, "hub-pairs"), reps, n, percent)), "links")
+    comps = components(links)
+
+    posted = _with_components(posted, comps)
+    mixed = _mixed(posted).select("gram", F.ceil(F.col("m") / RUN_BLOCK).cast("int").alias("blocks"))
+    mixed = saved(mixed, "mixed-runs")
     info = saved(classes.join(reps, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "n", "signature"), "signatures")
-    live = saved(posted.join(mixed, "gram"), "live-postings").join(info, "key")
+    live = saved(posted.drop("sketch").join(mixed, "gram"), "live-postings").join(info, "key")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     units = live.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "gram", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
