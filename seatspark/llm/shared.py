@@ -16,12 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
+#: Session settings: rows and bytes of an Arrow batch at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """``df``; workers get this package's path, which they need before a task function is made."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    """``df``, for a task function: workers get this package's path and Arrow batches of bounded size.
+
+    Rows hold whole texts, so the default of 10,000 rows a batch may be
+    hundreds of MB. A smaller setting of the session stays.
+    """
+    spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
     return df
 
 

@@ -1,6 +1,6 @@
 """Words and their hashes for whole Arrow text columns, with numpy.
 
-Texts are handled as one UTF-8 byte array with offsets, in slices of a few MB.
+Texts are handled as one UTF-8 byte array with offsets, in slices of about 1 MB.
 A word's hash is a polynomial in random byte values, so the sums of all words
 come from one pass; a 64-bit mixer follows.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
