@@ -194,7 +194,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                                           [f.split()[0] for f in RECORDS.split(", ")])
 
     files = ready(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")).select("file")
-    return files.repartition("file").mapInArrow(read, RECORDS)
+    # a fixed number: the names are few bytes, so Spark would else give all archives to one task
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, RECORDS)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
