@@ -83,14 +83,29 @@ FROM decided d
 
 
 
+ADMIT_TABLES = {
+    "admit_bookings_booking": f"""
+        FROM booking UNION ALL
+        SELECT booking_id, user_id, showtime_id, 'Pending', requested_at
+        FROM ({ADMIT_BODY}) JOIN req USING (request_id) WHERE outcome = 'accepted'""",
+    "admit_bookings_seats": f"""
+        FROM booking_seat UNION ALL
+        SELECT booking_id, seat_number, seat.theater_id, got.showtime_id
+        FROM ({ADMIT_BODY}) JOIN req_seat got USING (request_id) JOIN showtime USING (showtime_id)
+        JOIN seat ON seat.theater_id = showtime.theater_id AND lower(seat_number) = lower(s)
+        WHERE outcome = 'accepted'""",
+}
+
 EVENTS_CTES = """
 ev AS (
   SELECT CAST(event_id % (SELECT count(*) // 5 FROM events) AS BIGINT) AS booking_id,
          CAST(event_id AS BIGINT) AS seq,
+         CASE WHEN event_id % 11 IN (3, 8) THEN 'refund' WHEN event_id % 11 = 5 THEN 'set_status' ELSE
          CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'checkin'
               WHEN 'view' THEN 'use' WHEN 'error' THEN 'cancel'
-              WHEN 'signup' THEN 'create_payment' END AS action,
-         CAST(NULL AS VARCHAR) AS new_status,
+              WHEN 'signup' THEN 'create_payment' END END AS action,
+         CASE WHEN event_id % 11 = 5 THEN ['Pending', 'Confirmed', 'Cancelled', 'Used', 'Lost', ''][event_id % 6 + 1]
+         END AS new_status,
          CAST(ts AS TIMESTAMP) AS ev_at
   FROM events),
 ctx AS (
@@ -202,6 +217,8 @@ EVENTS_BODIES = {
 
 def changes_sql() -> dict[str, str]:
     out = {"admit_bookings": with_bridge(ADMIT_BODY, ADMIT_CTES, recursive=True)}
+    for name, body in ADMIT_TABLES.items():
+        out[name] = with_bridge(body, ADMIT_CTES, recursive=True)
     for name, body in EVENTS_BODIES.items():
         out[name] = with_bridge(body, EVENTS_CTES, recursive=True)
     return out

@@ -227,7 +227,7 @@ mv AS (
               WHEN o_orderkey % 11 = 0 THEN CAST([] AS VARCHAR[])
               ELSE [CAST((o_orderkey * 3) % 60 + 1 AS VARCHAR),
                     CAST(((o_orderkey // 7) * 5) % 62 + 1 AS VARCHAR)] END AS seats
-  FROM orders WHERE o_orderkey % 7 = 0),
+  FROM orders),
 mv2 AS (
   SELECT m.*, b.user_id AS owner, b.status AS b_status, b.showtime_id AS cur_show,
          b.booking_id IS NOT NULL AS found, COALESCE(m.showtime_id, b.showtime_id) AS target,
@@ -304,6 +304,9 @@ amounts AS (
 
 BODIES.update({
     "reassign_bookings": ("SELECT request_id, outcome FROM dec", MOVES),
+    "reassign_bookings_booking": ("""
+        SELECT booking_id, user_id, ifnull(target, b.showtime_id) AS showtime_id, status, booking_date
+        FROM booking b LEFT JOIN (SELECT booking_id, target FROM done) USING (booking_id)""", MOVES),
     "reassign_bookings_seats": ("SELECT * FROM new_bs", MOVES),
     "reassign_bookings_payment": ("""
         SELECT p.payment_id, p.booking_id, COALESCE(a.amount, p.amount) AS amount, p.status,
@@ -380,6 +383,52 @@ BODIES.update({
 })
 
 
+THEATER_INS = f"""
+ins AS (
+  SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 30 ELSE {BIG} + s_suppkey // 2 END AS id,
+         CASE WHEN s_suppkey % 7 <> 0 THEN s_name ELSE '' END AS label
+  FROM supplier),
+dec AS (
+  SELECT request_id, id, label,
+         CASE WHEN id = 0 OR label = '' THEN 'missing_fields'
+              WHEN id IN (FROM theater SELECT theater_id)
+                OR request_id > min(request_id) FILTER (WHERE label <> '') OVER (PARTITION BY id) THEN 'duplicate_key'
+              ELSE 'inserted' END AS outcome
+  FROM ins)
+"""
+
+SHOW_DEL = f"""
+del AS (
+  SELECT p_partkey AS request_id,
+         2 * p_partkey + CASE WHEN p_partkey % 6 = 0 THEN p_partkey % 4 ELSE {BIG} END AS showtime_id
+  FROM part)
+"""
+
+GENRE_DEL = "del AS (SELECT p_partkey AS request_id, p_partkey AS movie_id, lower(p_type) AS k FROM part)"
+
+BODIES.update({
+    "insert_genres_table": ("FROM movie_genre UNION ALL SELECT movie_id, genre FROM dec WHERE outcome = 'inserted'",
+                            GENRE_INS),
+    "insert_theaters": ("SELECT CAST(request_id AS BIGINT) AS request_id, outcome FROM dec", THEATER_INS),
+    "insert_theaters_table": ("FROM theater UNION ALL SELECT CAST(id AS BIGINT), label FROM dec "
+                              "WHERE outcome = 'inserted'", THEATER_INS),
+    "delete_movies_booking_seat": ("FROM booking_seat WHERE showtime_id NOT IN (FROM gone_show) "
+                                   "AND booking_id NOT IN (FROM gone_booking)", MOVIE_DEL),
+    "delete_movies_payment": ("FROM payment WHERE booking_id NOT IN (FROM gone_booking)", MOVIE_DEL),
+    "delete_showtimes": ("""
+        SELECT CAST(request_id AS BIGINT) AS request_id,
+               if(showtime_id IN (FROM showtime SELECT showtime_id), 'deleted', 'not_found') AS outcome
+        FROM del""", SHOW_DEL),
+    "delete_showtimes_booking": ("FROM booking WHERE showtime_id NOT IN (FROM del SELECT showtime_id)", SHOW_DEL),
+    "delete_genres": ("""
+        SELECT CAST(request_id AS BIGINT) AS request_id,
+               if((movie_id, k) IN (FROM movie_genre SELECT (movie_id, lower(genre))), 'deleted', 'not_found') AS outcome
+        FROM del""", GENRE_DEL),
+    "delete_genres_table": ("FROM movie_genre WHERE (movie_id, lower(genre)) NOT IN (FROM del SELECT (movie_id, k))",
+                            GENRE_DEL),
+})
+
+
 def dml_sql() -> dict[str, str]:
     return {name: with_bridge(body, extra, recursive=("walk" in extra or "fold" in extra))
             for name, (body, extra) in BODIES.items()}
\ No newline at end of file

@@ -142,6 +142,9 @@ _BODIES: dict[str, tuple[str, str]] = {
         FROM users LEFT JOIN (FROM totals SELECT user_id, count(*) AS n, sum(total_price) AS s
                               WHERE status = 'Pending' GROUP BY user_id) USING (user_id)
         WHERE role = 'customer'""", TOTALS),
+    "view_pending_totals": ("""
+        SELECT user_id, count(*) AS n_bookings, CAST(sum(total_price) AS DECIMAL(18,2)) AS pending
+        FROM totals WHERE status = 'Pending' GROUP BY user_id""", TOTALS),
     "booking_detail": (_seen("booking_id, user_id, showtime_id, status, booking_date, title, theater_name, "
                              "show_date, price", "theater_name IS NOT NULL"), COUNTS),
     "bookings": ("FROM booking", ""),

@@ -75,12 +75,17 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 
 CHANGES: dict[str, TablesQuery] = {
     "admit_bookings": S.admit_outcomes,
+    "admit_bookings_booking": S.table_after(S.admission, "booking"),
+    "admit_bookings_seats": S.table_after(S.admission, "booking_seat"),
     "apply_booking_events": S.event_outcomes,
     "events_booking_after": S.events_booking_after,
     "events_payment_after": S.events_payment_after,
     "insert_movies": S.outcomes_of(S.insert_movies),
     "insert_movies_table": S.table_after(S.insert_movies, "movie"),
     "insert_genres": S.outcomes_of(S.insert_genres),
+    "insert_genres_table": S.table_after(S.insert_genres, "movie_genre"),
+    "insert_theaters": S.outcomes_of(S.insert_theaters),
+    "insert_theaters_table": S.table_after(S.insert_theaters, "theater"),
     "insert_showtimes": S.outcomes_of(S.insert_showtimes),
     "insert_showtimes_table": S.table_after(S.insert_showtimes, "showtime"),
     "register_users": S.outcomes_of(S.register_new_users),
@@ -91,11 +96,19 @@ CHANGES: dict[str, TablesQuery] = {
     "patch_movies_table": S.table_after(S.patch_some_movies, "movie"),
     "delete_movies": S.outcomes_of(S.delete_some_movies),
     "delete_movies_sizes": S.sizes_after(S.delete_some_movies),
+    "delete_movies_booking_seat": S.table_after(S.delete_some_movies, "booking_seat"),
+    "delete_movies_payment": S.table_after(S.delete_some_movies, "payment"),
+    "delete_showtimes": S.outcomes_of(S.delete_some_showtimes),
+    "delete_showtimes_booking": S.table_after(S.delete_some_showtimes, "booking"),
+    "delete_genres": S.outcomes_of(S.delete_some_genres),
+    "delete_genres_table": S.table_after(S.delete_some_genres, "movie_genre"),
     "delete_producers": S.outcomes_of(S.delete_some_producers),
     "reassign_bookings": S.outcomes_of(S.move_some_bookings),
+    "reassign_bookings_booking": S.table_after(S.move_some_bookings, "booking"),
     "reassign_bookings_seats": S.table_after(S.move_some_bookings, "booking_seat"),
     "reassign_bookings_payment": S.table_after(S.move_some_bookings, "payment"),
     "next_ids": S.new_payment_ids,
+    "view_pending_totals": S.view_pending_totals,
 }
 
 

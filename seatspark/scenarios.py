@@ -14,6 +14,7 @@ from .operators.dml import (delete_cascade, insert_rows, patch_movies, register_
 from .operators.events import apply_booking_events
 from .operators.ids import max_id, next_ids
 from .operators.moves import reassign_bookings
+from .plans.views import register_views
 from .sources.bridge import bridge_tables, read_source
 from .sources.tables import Tables
 from .sources.requests import booking_events_from, booking_requests_from, with_actor
@@ -146,6 +147,30 @@ def movie_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(p % 10 == 3, p).otherwise(p + BIG).cast("long").alias("movie_id")))
 
 
+def showtime_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part names one of its showtimes or an unknown one."""
+    p = F.col("p_partkey")
+    return read_source(spark, sf_dir, "part").select(
+        p.cast("long").alias("request_id"),
+        F.when(p % 6 == 0, p * 2 + p % 4).otherwise(p * 2 + BIG).cast("long").alias("showtime_id"))
+
+
+def genre_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part drops its type as a genre, in upper case; parts without that genre are not found."""
+    p = F.col("p_partkey")
+    return read_source(spark, sf_dir, "part").select(
+        p.cast("long").alias("request_id"), p.cast("long").alias("movie_id"), F.upper("p_type").alias("genre"))
+
+
+def theater_insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 4th supplier reuses a theater's id (0 counts as missing); the others pair up on a new id."""
+    k = F.col("s_suppkey")
+    return read_source(spark, sf_dir, "supplier").select(
+        k.cast("long").alias("request_id"),
+        F.when(k % 4 == 0, k % 30).otherwise(F.lit(BIG) + F.floor(k / 2)).cast("long").alias("theater_id"),
+        F.when(k % 7 == 0, "").otherwise(F.col("s_name")).alias("theater_name"))
+
+
 def producer_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_source(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
@@ -173,6 +198,25 @@ def delete_some_movies(spark, sf_dir, t=None):
     return delete_cascade(_tables(spark, sf_dir, t), "movie", movie_delete_keys(spark, sf_dir))
 
 
+def delete_some_showtimes(spark, sf_dir, t=None):
+    return delete_cascade(_tables(spark, sf_dir, t), "showtime", showtime_delete_keys(spark, sf_dir))
+
+
+def delete_some_genres(spark, sf_dir, t=None):
+    return delete_cascade(_tables(spark, sf_dir, t), "movie_genre", genre_delete_keys(spark, sf_dir))
+
+
+def insert_theaters(spark, sf_dir, t=None):
+    return insert_rows(_tables(spark, sf_dir, t), "theater", theater_insert_rows(spark, sf_dir))
+
+
+def view_pending_totals(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    """SQL over the registered views, bookings and money pending per user."""
+    register_views(spark, _tables(spark, sf_dir, t))
+    return spark.sql("SELECT user_id, count(*) AS n_bookings, CAST(sum(total_price) AS DECIMAL(18,2)) AS pending "
+                     "FROM booking_detail WHERE status = 'Pending' GROUP BY user_id")
+
+
 def delete_some_producers(spark, sf_dir, t=None):
     return delete_cascade(_tables(spark, sf_dir, t), "producer",
                           producer_delete_keys(spark, sf_dir))
@@ -191,12 +235,12 @@ def sizes_after(fn):
 
 
 def booking_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 7th order moves its booking: keep or change showtime, two seats or none."""
+    """Every order moves its booking: keep or change showtime, two seats or none."""
     orders = read_source(spark, sf_dir, "orders")
     n_parts = read_source(spark, sf_dir, "part").select(F.count(F.lit(1))).scalar()
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     seat = lambda x: x.cast("string")
-    return orders.where(o % 7 == 0).select(
+    return orders.select(
         o.cast("long").alias("request_id"),
         F.when(o % 91 == 0, o + BIG).when(o % 17 == 0, o - 7).otherwise(o)
          .cast("long").alias("booking_id"),

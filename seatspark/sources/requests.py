@@ -9,9 +9,11 @@ from ..functions.columns import split_seat_text
 from ..schemas import BOOKING_EVENT, BOOKING_MOVE, BOOKING_REQUEST, TS
 from .bridge import read_source, seat_of_line, showtime_of_order
 
-# Fixed values of the event derivation: source event type -> booking action.
+# Fixed values of the event derivation: source event type -> booking action; by event_id, some become
+# a refund or a status set to one of these (the last two are refused).
 EVENT_ACTIONS = {"purchase": "pay", "click": "checkin", "view": "use", "error": "cancel",
                  "signup": "create_payment"}
+SET_STATUSES = ("Pending", "Confirmed", "Cancelled", "Used", "Lost", "")
 EVENTS_PER_BOOKING = 5
 
 
@@ -52,12 +54,15 @@ def booking_events_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_source(spark, sf_dir, "events")
     n_events = events.select(F.count(F.lit(1))).scalar()
     mapping = F.create_map(*[F.lit(x) for kv in EVENT_ACTIONS.items() for x in kv])
+    kind = F.col("event_id") % 11
+    status = F.element_at(F.array(*[F.lit(x) for x in SET_STATUSES]), (F.col("event_id") % 6 + 1).cast("int"))
     return events.select(
         (F.col("event_id") % F.floor(n_events / EVENTS_PER_BOOKING)).cast("long").alias("booking_id"),
         F.col("event_id").cast("long").alias("seq"),
-        F.element_at(mapping, F.col("event_type")).alias("action"),
+        F.when(kind.isin(3, 8), "refund").when(kind == 5, "set_status")
+         .otherwise(F.element_at(mapping, F.col("event_type"))).alias("action"),
         F.lit(None).cast("long").alias("actor_id"),
-        F.lit(None).cast("string").alias("new_status"),
+        F.when(kind == 5, status).alias("new_status"),
         F.col("ts").cast(TS).alias("at"))
 
 
