@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import (all_of, as_total, contains_ci, customers_only, date_equals,
                                  display_date, empty_strings, equals_ci, joined, seat_total,
                                  seats_or_full, sorted_ci, visible_to)
-from ..schemas import NO_PAYMENT
+from ..schemas import NO_PAYMENT, STAFF_ROLES
 from ..sources.tables import Tables, existing
 from .views import active_holds_by_seat_showtime, booking_totals, showtime_free_lists, theater_seat_lists
 
@@ -31,8 +31,12 @@ def _show_info(t: Tables) -> DataFrame:
             .select("showtime_id", "title", "theater_name", "show_date", "price"))
 
 
-def _seat_counts(t: Tables) -> DataFrame:
-    return t.booking_seat.groupBy("booking_id").agg(F.count("seat_number").alias("seat_count"))
+def _seat_counts(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    """Seats per booking; with ``of``, of its bookings only."""
+    held = t.booking_seat
+    if of is not None:
+        held = held.join(of.select("booking_id"), "booking_id", "left_semi")
+    return held.groupBy("booking_id").agg(F.count("seat_number").alias("seat_count"))
 
 
 # ---- R3 lists -----------------------------------------------------------------
@@ -103,13 +107,17 @@ def search_movies(t: Tables, title: str | None = None, genre: str | None = None,
             .orderBy(F.lower("title"), "title", "movie_id"))
 
 
-def _revenue(t: Tables, confirmed_only: bool) -> DataFrame:
+def _revenue(t: Tables, confirmed_only: bool, movie_id: int | None = None) -> DataFrame:
+    shows = _key(t.showtime.select("showtime_id", "movie_id"), "movie_id", movie_id)
+    booked = t.booking.select("booking_id", "showtime_id")
+    if movie_id is not None:
+        booked = booked.join(shows.select("showtime_id"), "showtime_id", "left_semi")
     pay = t.payment.select("booking_id", "amount", "status")
     if confirmed_only:
         pay = pay.where(F.col("status") == "Confirmed")
-    per_show = (pay.join(t.booking.select("booking_id", "showtime_id"), "booking_id")
+    per_show = (pay.join(booked, "booking_id")
                 .groupBy("showtime_id").agg(F.sum("amount").alias("amount")))
-    per_movie = (per_show.join(t.showtime.select("showtime_id", "movie_id"), "showtime_id")
+    per_movie = (per_show.join(shows, "showtime_id")
                  .groupBy("movie_id").agg(F.sum("amount").alias("total_revenue")))
     return (per_movie.join(t.movie.select("movie_id", "title"), "movie_id")
             .select("movie_id", "title", as_total("total_revenue").alias("total_revenue")))
@@ -127,7 +135,7 @@ def top_movies(t: Tables, n: int = 1) -> DataFrame:
 
 def revenue_all_statuses(t: Tables, movie_id: int | None = None) -> DataFrame:
     """Every payment status summed per movie."""
-    return _key(_revenue(t, False), "movie_id", movie_id)
+    return _revenue(t, False, movie_id)
 
 
 # ---- showtimes --------------------------------------------------------------------
@@ -142,14 +150,14 @@ def search_showtimes(t: Tables, title: str | None = None, theater: str | None =
         preds.append(contains_ci("theater_name", theater))
     if show_date:
         preds.append(date_equals("show_date", show_date))
-    return (showtime_free_lists(t).where(all_of(preds))
+    return (showtime_free_lists(t, preds)
             .select("showtime_id", "title", "theater_name", "show_date", "price",
                     joined(F.col("free")).alias("seats")))
 
 
 def seats_by_title(t: Tables, title: str) -> DataFrame:
     """As R12 for one exact title (case-insensitive equality)."""
-    return (showtime_free_lists(t).where(equals_ci("title", title))
+    return (showtime_free_lists(t, [equals_ci("title", title)])
             .select("showtime_id", "title", "theater_name", "show_date", "price",
                     joined(F.col("free")).alias("seats")))
 
@@ -158,8 +166,8 @@ def seat_layout(t: Tables, showtime_id: int | None = None) -> DataFrame:
     """Every seat of the showtime's theater, Booked or Available, by seat text."""
     st = _key(t.showtime.select("showtime_id", "theater_id"), "showtime_id", showtime_id)
     held = active_holds_by_seat_showtime(t)
-    out = (st.join(theater_seat_lists(t), "theater_id")
-           .join(held, ["showtime_id", "theater_id"], "left")
+    out = (st.join(held, ["showtime_id", "theater_id"], "left")
+           .join(theater_seat_lists(t), "theater_id")
            .select("showtime_id", F.coalesce("held", empty_strings()).alias("held"),
                    F.explode("seats").alias("seat_number")))
     return out.select(
@@ -177,9 +185,11 @@ def showtime_by_id(t: Tables, showtime_id: int | None = None) -> DataFrame:
 
 def _history(t: Tables, user_id: int | None = None) -> DataFrame:
     b = _key(t.booking.select("booking_id", "user_id", "showtime_id", "status"), "user_id", user_id)
-    pay = t.payment.select("booking_id", F.col("status").alias("p_status"), "amount").distinct()
+    some = None if user_id is None else b
+    pay = t.payment if some is None else t.payment.join(b.select("booking_id"), "booking_id", "left_semi")
+    pay = pay.select("booking_id", F.col("status").alias("p_status"), "amount").distinct()
     # both booking_id joins first, while rows are partitioned by booking_id
-    rows = (b.join(_seat_counts(t), "booking_id")
+    rows = (b.join(_seat_counts(t, some), "booking_id")
             .join(pay, "booking_id", "left")
             .join(_show_info(t), "showtime_id"))
     return (rows.select(
@@ -199,7 +209,10 @@ def booking_history(t: Tables, user_id: int | None = None) -> DataFrame:
 
 def pending_summary(t: Tables, user_id: int | None = None) -> DataFrame:
     """Per customer, Pending bookings (with seats) and their total; zeros kept."""
-    pend = (booking_totals(t).where(F.col("status") == "Pending")
+    mine = t.with_(booking=_key(t.booking, "user_id", user_id).where(F.col("status") == "Pending"))
+    if user_id is not None:
+        mine = mine.with_(booking_seat=t.booking_seat.join(mine.booking.select("booking_id"), "booking_id", "left_semi"))
+    pend = (booking_totals(mine)
             .groupBy("user_id")
             .agg(F.count("booking_id").alias("total_bookings"),
                  F.sum("total_price").alias("total_pending")))
@@ -230,7 +243,7 @@ def payment_record(t: Tables, booking_id: int | None = None, caller_id: int | No
     """Payments of existing bookings; customers see only their own."""
     p = _key(t.payment, "booking_id", booking_id)
     cols = ["payment_id", "booking_id", "amount", "status", "payment_date"]
-    if role in ("staff", "admin") or caller_id is None:
+    if role in STAFF_ROLES or (caller_id is None and role is None):
         return p.join(t.booking.select("booking_id"), "booking_id", "left_semi").select(*cols)
     owned = p.join(t.booking.select("booking_id", "user_id"), "booking_id")
     return visible_to(owned, caller_id, role).select(*cols)
@@ -241,7 +254,7 @@ def pay_quote(t: Tables, booking_id: int | None = None) -> DataFrame:
     b = _key(t.booking.select("booking_id", "user_id", "status", "showtime_id"),
              "booking_id", booking_id)
     pay = t.payment.select("booking_id", "payment_id", F.col("status").alias("payment_status"))
-    rows = (b.join(_seat_counts(t), "booking_id", "left")
+    rows = (b.join(_seat_counts(t, None if booking_id is None else b), "booking_id", "left")
             .join(pay, "booking_id", "left")
             .join(t.showtime.select("showtime_id", "price"), "showtime_id"))
     n = F.coalesce("seat_count", F.lit(0)).cast("long")

@@ -3,16 +3,16 @@
 Seat availability is computed per showtime, not per (showtime, seat): each
 theater's seat list is a small array (one row per theater), the seats held in
 a showtime are a set gathered with a map-side partial aggregate, and
-"free" is the list minus the set. Only the final output is exploded, so the
-seats x showtimes product never crosses a shuffle.
+"free" is the list minus the set. Held sets join first and seat lists last, so
+no shuffle carries a seat list per showtime; only the final output is exploded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import actively_held, seat_total, sorted_ci, without
+from ..functions.columns import actively_held, all_of, seat_total, sorted_ci, without
 from ..sources.tables import Tables
 
 
@@ -24,9 +24,14 @@ def theater_seat_lists(t: Tables) -> DataFrame:
             .agg(sorted_ci(F.collect_list("seat_number")).alias("seats")))
 
 
-def active_holds_by_booking_showtime(t: Tables) -> DataFrame:
-    """(showtime_id of the booking, theater_id) -> seats held by Pending/Confirmed bookings."""
+def active_holds_by_booking_showtime(t: Tables, showtimes: DataFrame | None = None) -> DataFrame:
+    """(showtime_id of the booking, theater_id) -> seats held by Pending/Confirmed bookings.
+
+    With ``showtimes`` (a report of some showtimes), only those are aggregated.
+    """
     active = t.booking.where(actively_held("status")).select("booking_id", "showtime_id")
+    if showtimes is not None:
+        active = active.join(showtimes.select("showtime_id"), "showtime_id", "left_semi")
     return (t.booking_seat.select("booking_id", "theater_id", "seat_number")
             .join(active, "booking_id")
             .groupBy("showtime_id", "theater_id")
@@ -48,11 +53,14 @@ def any_holds(t: Tables) -> DataFrame:
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
 
-def free_seat_lists(t: Tables, showtimes: DataFrame | None = None) -> DataFrame:
-    """showtime columns + ``free``: the theater's seats with no active hold, sorted."""
-    st = showtimes if showtimes is not None else t.showtime
-    return (st.join(theater_seat_lists(t), "theater_id")
-            .join(active_holds_by_booking_showtime(t), ["showtime_id", "theater_id"], "left")
+def free_seat_lists(t: Tables, showtimes: DataFrame, some: bool = False) -> DataFrame:
+    """showtime columns + ``free``: the theater's seats with no active hold, sorted.
+
+    ``some``: the showtimes are filtered, so holds of the others are left out early.
+    """
+    held = active_holds_by_booking_showtime(t, showtimes if some else None)
+    return (showtimes.join(held, ["showtime_id", "theater_id"], "left")
+            .join(theater_seat_lists(t), "theater_id")
             .withColumn("free", without(F.col("seats"), F.col("held")))
             .drop("seats", "held"))
 
@@ -86,7 +94,7 @@ def available_seats(t: Tables, showtime_id: int | None = None) -> DataFrame:
     st = t.showtime.select("showtime_id", "theater_id")
     if showtime_id is not None:
         st = st.where(F.col("showtime_id") == showtime_id)
-    return (free_seat_lists(t, st)
+    return (free_seat_lists(t, st, showtime_id is not None)
             .select(F.explode("free").alias("seat_number"), "theater_id", "showtime_id"))
 
 
@@ -95,17 +103,17 @@ def bookable_seats(t: Tables, showtime_id: int | None = None) -> DataFrame:
     st = t.showtime.select("showtime_id", "theater_id")
     if showtime_id is not None:
         st = st.where(F.col("showtime_id") == showtime_id)
-    return (st.join(theater_seat_lists(t), "theater_id")
-            .join(any_holds(t), "showtime_id", "left")
+    return (st.join(any_holds(t), "showtime_id", "left")
+            .join(theater_seat_lists(t), "theater_id")
             .select(F.explode(without(F.col("seats"), F.col("held"))).alias("seat_number"),
                     "theater_id", "showtime_id"))
 
 
-def showtime_free_lists(t: Tables) -> DataFrame:
-    """Showtime_Detail before the explode: one row per showtime with free seats."""
+def showtime_free_lists(t: Tables, keep: list[Column] | None = None) -> DataFrame:
+    """Showtime_Detail before the explode: one row per showtime with free seats, of those that pass ``keep``."""
     st = (t.showtime.join(t.movie.select("movie_id", "title"), "movie_id")
           .join(t.theater.select("theater_id", "theater_name"), "theater_id"))
-    return (free_seat_lists(t, st)
+    return (free_seat_lists(t, st.where(all_of(keep or [])), bool(keep))
             .where(F.size("free") > 0)
             .select("showtime_id", "title", "theater_name", "show_date", "price", "free"))
 

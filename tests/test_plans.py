@@ -103,3 +103,38 @@ def test_tables_round_trip_through_another_format(spark, seed, tmp_path):
     write_tables(seed, path, fmt="orc")
     t = load_tables(spark, path, fmt="orc")
     assert sorted(V.booking_totals(t).collect()) == sorted(V.booking_totals(seed).collect())
+
+
+def test_seat_lists_join_last(spark, stored):
+    """Without broadcasts, the topmost join adds the seat lists and nothing above it shuffles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (V.available_seats(stored), V.bookable_seats(stored), R.seat_layout(stored)):
+            text = plan(df)
+            top = text.index("SortMergeJoin [theater_id")
+            assert top == text.index("SortMergeJoin")
+            assert "Exchange" not in text[:top]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_key_and_filter_forms_equal_the_whole_reports_rows(bridge):
+    def same(some, whole):
+        assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.collect()))
+
+    user = bridge.booking.first()["user_id"]
+    show = bridge.showtime.first()
+    same(R.booking_history(bridge, user), R.booking_history(bridge).where(f"user_id = {user}"))
+    same(R.pending_summary(bridge, user), R.pending_summary(bridge).where(f"user_id = {user}"))
+    same(R.revenue_all_statuses(bridge, show["movie_id"]),
+         R.revenue_all_statuses(bridge).where(f"movie_id = {show['movie_id']}"))
+    same(V.available_seats(bridge, show["showtime_id"]),
+         V.available_seats(bridge).where(f"showtime_id = {show['showtime_id']}"))
+    same(R.search_showtimes(bridge, theater="nation_1"),
+         R.search_showtimes(bridge).where("theater_name ilike '%nation_1%'"))
+
+
+def test_payments_are_hidden_from_a_customer_without_id(seed):
+    assert R.payment_record(seed, role="customer").count() == 0
+    assert R.payment_record(seed, caller_id=3, role="customer").count() == 3
+    assert R.payment_record(seed, role="staff").count() == 6
