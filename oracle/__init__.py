@@ -1,4 +1,4 @@
-"""DuckDB oracle: the reference's SQL over the bridge tables."""
+"""DuckDB oracle: every booking query as SQL over the bridge tables."""
 
 from .audit import audit_sql
 from .changes import changes_sql
