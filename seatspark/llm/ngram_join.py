@@ -12,8 +12,10 @@ this joins most groups of copies at a linear number of comparisons. Round 3
 finds all further pairs between different components: a signature tree over each run (nodes hold
 OR-combined bitmaps, size ranges and component ranges) is traversed against
 itself, pruning node pairs by their largest possible overlap; long runs are cut
-into blocks that are traversed pair by pair. All pairs left are compared
-exactly, so no link between two components is lost.
+into blocks that are traversed pair by pair. A run of SHORT classes or fewer is
+a single leaf: its pairs are listed once for all runs before the same test, so
+that signatures travel once a pair and not once a posting. All pairs left are
+compared exactly, so no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ COMMON = 1 << 20  # shingles that are put last, at most, at every size of the in
 SALTED = 4096  # a shingle that is counted so often is posted in parts
 POST_BLOCK = 1 << 20  # postings that a task packs together
 RUN_BLOCK = 2048  # rows of a run that are traversed together
+SHORT = 8  # a run of so few classes is a leaf of its own
 LEAF = 32
 FAN = 8
 
@@ -56,8 +59,12 @@ def _set_key(grams: np.ndarray) -> int:
 
 
 def _signature(grams: np.ndarray) -> bytes:
-    """Bitmap of the shingles; twice as many bits as shingles, rounded up to a power of two (64 to 16384)."""
-    bits = min(16384, max(64, 2 << (len(grams) - 1).bit_length()))
+    """Bitmap of the shingles: eight times as many bits as shingles up to 4096 bits, else twice as many.
+
+    Rounded up to a power of two (64 to 16384).
+    """
+    up = 1 << (len(grams) - 1).bit_length()
+    bits = max(64, min(4096, 8 * up), min(16384, 2 * up))
     flags = np.zeros(bits, np.uint8)
     flags[(grams % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -476,6 +483,39 @@ def _further_pairs(percent: int):
     return run
 
 
+def _leaf_pairs(runs: DataFrame) -> DataFrame:
+    """Pairs (a < b) of classes of different components that share a run; ``runs``: postings of runs of SHORT rows at most."""
+    rows = runs.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("key", "comp"))).alias("run"))
+    one = rows.select("run", F.posexplode("run").alias("at", "x"))
+    two = one.select("x", F.explode(F.expr("slice(run, at + 2, size(run))")).alias("y"))
+    return two.where("x.comp != y.comp").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _leaf_test(percent: int):
+    """Task over (a, b, n_a, n_b, sig_a, sig_b): the pairs that may link."""
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            blobs = batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist()
+            widths = np.array([[len(x) // 8 for x in side] for side in blobs]).reshape(2, -1)
+            low = widths.min(0) if len(batch) else np.zeros(0, np.int64)
+            keep = []
+            for w in np.unique(low):
+                rows = np.flatnonzero((low == w) & (widths.max(0) <= 2 * w))
+                if not len(rows):
+                    continue
+                sides = []
+                for n, side, comp in ((n_a, blobs[0], 0), (n_b, blobs[1], 1)):
+                    bits = np.stack([_fold(np.frombuffer(side[r], np.uint64)[None], w)[0] for r in rows])
+                    comps = np.full(len(rows), comp)
+                    sides.append((n[rows], n[rows], comps, comps, bits, np.bitwise_count(bits).sum(1, dtype=np.int64)))
+                at = np.arange(len(rows))
+                keep.append(rows[_may_link(*sides, at, at, percent)])
+            yield batch.select(["a", "b"]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *keep])))
+
+    return run
+
+
 def _with_components(posted: DataFrame, comps: DataFrame) -> DataFrame:
     return saved(posted.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "gram", "key", "sketch", F.coalesce("component", "key").alias("comp")), "postings")
@@ -533,17 +573,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     comps = components(links)
 
     posted = _with_components(posted, comps)
-    mixed = _mixed(posted).select("gram", F.ceil(F.col("m") / RUN_BLOCK).cast("int").alias("blocks"))
-    mixed = saved(mixed, "mixed-runs")
-    info = saved(classes.join(reps, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "n", "signature"), "signatures")
-    live = saved(posted.drop("sketch").join(mixed, "gram"), "live-postings").join(info, "key")
+    mixed = _mixed(posted).select("gram", "m", F.ceil(F.col("m") / RUN_BLOCK).cast("int").alias("blocks"))
+    live = saved(posted.drop("sketch").join(saved(mixed, "mixed-runs"), "gram"), "live-postings")
+    info = classes.join(reps, ["key", "doc_id"]).join(live.select("key").distinct(), "key", "left_semi")
+    info = saved(info.dropDuplicates(["key"]).select("key", "n", "signature"), "signatures")
+    short = saved(_leaf_pairs(live.where(F.col("m") <= SHORT)), "leaf-pairs")
+    for end in ("a", "b"):
+        short = short.join(info.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"),
+                                       F.col("signature").alias(f"sig_{end}")), end)
+    short = short.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_leaf_test(percent), "a long, b long")
+    live = live.where(F.col("m") > SHORT).join(info, "key")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     units = live.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "gram", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
         "block", "key", "n", "comp", "signature")
     more = units.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(
         _further_pairs(percent), "a long, b long")
-    more = saved(saved(more, "further-pairs").distinct(), "pairs")
+    more = saved(saved(more, "further-pairs").unionByName(short).distinct(), "pairs")
     if not more.isEmpty():
         extra = _verified(docs, more, reps, n, percent)
         comps = components(links.unionByName(extra))
