@@ -483,12 +483,17 @@ def _further_pairs(percent: int):
     return run
 
 
-def _leaf_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs (a < b) of classes of different components that share a run; ``runs``: postings of runs of SHORT rows at most."""
-    rows = runs.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("key", "comp"))).alias("run"))
+def _leaf_pairs(runs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, with sizes) of classes that share a run, differ in component and may link by their sizes.
+
+    ``runs``: postings of runs of SHORT rows at most.
+    """
+    rows = runs.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("key", "comp", "n"))).alias("run"))
     one = rows.select("run", F.posexplode("run").alias("at", "x"))
     two = one.select("x", F.explode(F.expr("slice(run, at + 2, size(run))")).alias("y"))
-    return two.where("x.comp != y.comp").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    near = (percent * F.col("x.n") <= 100 * F.col("y.n")) & (percent * F.col("y.n") <= 100 * F.col("x.n"))
+    return two.where((F.col("x.comp") != F.col("y.comp")) & near).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
 
 
 def _leaf_test(percent: int):
@@ -555,7 +560,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     scanned = saved(docs.mapInArrow(_scan(n), DOC), "sets")
     rows = scanned.where("kind = 0").select("doc_id", "n", "key")
     classes = scanned.where("kind = 0 and first")
-    reps = saved(classes.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    sized = saved(classes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    reps = sized.select("key", "doc_id")
     total = reps.count()
     hot = spark.sparkContext.broadcast(_common(saved(
         scanned.where("kind = 1").groupBy("gram").agg(F.sum("count").alias("c")).where("c > 2"), "common")))
@@ -572,15 +578,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     links = saved(links.unionByName(_verified(docs, saved(second, "hub-pairs"), reps, n, percent)), "links")
     comps = components(links)
 
-    posted = _with_components(posted, comps)
+    nodes = sized.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").select(
+        "key", "n", F.coalesce("component", "key").alias("comp"))
+    posted = saved(posted.join(nodes, "key").select("gram", "key", "n", "comp"), "postings")
     mixed = _mixed(posted).select("gram", "m", F.ceil(F.col("m") / RUN_BLOCK).cast("int").alias("blocks"))
-    live = saved(posted.drop("sketch").join(saved(mixed, "mixed-runs"), "gram"), "live-postings")
+    live = saved(posted.join(saved(mixed, "mixed-runs"), "gram"), "live-postings")
     info = classes.join(reps, ["key", "doc_id"]).join(live.select("key").distinct(), "key", "left_semi")
-    info = saved(info.dropDuplicates(["key"]).select("key", "n", "signature"), "signatures")
-    short = saved(_leaf_pairs(live.where(F.col("m") <= SHORT)), "leaf-pairs")
+    info = saved(info.dropDuplicates(["key"]).select("key", "signature"), "signatures")
+    short = saved(_leaf_pairs(live.where(F.col("m") <= SHORT), percent), "leaf-pairs")
     for end in ("a", "b"):
-        short = short.join(info.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"),
-                                       F.col("signature").alias(f"sig_{end}")), end)
+        short = short.join(info.select(F.col("key").alias(end), F.col("signature").alias(f"sig_{end}")), end)
     short = short.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_leaf_test(percent), "a long, b long")
     live = live.where(F.col("m") > SHORT).join(info, "key")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
