@@ -270,6 +270,42 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert ann.search(few, few).count() == 12
 
 
+def test_nearest_neighbours_are_exact_when_cells_are_left_out(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(16000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[12000:] = x[:1] + 0.01 * x[12000:]  # a quarter of them in one narrow group: blocks that some queries skip
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 400 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 16000, 400):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(16000), d))[:10].tolist()
+
+
+def test_cells_left_out_hold_no_near_vector():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8, 6))[rng.integers(0, 8, 2000)] + 0.1 * rng.normal(size=(2000, 6))
+    halves = ann.k_means(x[:, :3], 8), ann.k_means(x[:, 3:], 8)
+    at = [ann._distances(x[:, s], c).argmin(1) for s, c in zip((slice(0, 3), slice(3, 6)), halves)]
+    d = np.stack([np.sqrt(((x[:, s] - c[a]) ** 2).sum(1)) for s, c, a in zip((slice(0, 3), slice(3, 6)), halves, at)], 1)
+    cell = at[0] * len(halves[1]) + at[1]
+    cells = np.unique(cell)
+    near, far = (np.array([f(d[cell == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    skipped = 0
+    for q in x[::50]:
+        away = np.sqrt(((x - q) ** 2).sum(1))
+        bound = np.sort(away)[10]
+        kept = ann.cells_within(q, halves, cells, near, far, bound)
+        assert set(cell[away <= bound]) <= set(kept.tolist())
+        skipped += len(cells) - len(kept)
+    assert skipped > 0
+    blocks = ann.blocks_of({5: 3, 1: 4, 9: 25, 10: 1, 11: 10, 12: 2}, rows=10)
+    assert blocks == {1: (0, 1), 5: (0, 1), 9: (1, 3), 10: (4, 1), 11: (5, 1), 12: (6, 1)}
+
+
 # ---- 6: WARC ----
 
 def test_warc_round_trip(spark, tmp_path):
