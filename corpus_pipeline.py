@@ -16,8 +16,14 @@ from seatspark.llm.shared import saved
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letter) go. Learns from the rows that are not held out."""
-    return langid.identify_languages(docs).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    """Documents whose language cannot be told (no letter) go. Learns from the rows that are not held out.
+
+    Without a row to learn from, all documents with a letter stay.
+    """
+    net = langid.fit_language_model(docs, ~langid.held_out(F.col("doc_id"), 5, 0))
+    if net is None:
+        return docs.where(langid.has_letter(F.col("text")))
+    return langid.predict_language(docs, net).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

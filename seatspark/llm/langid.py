@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ready
+from .shared import ready, saved
 from .textops import text_slices
 
 UNDETERMINED = "und"
@@ -146,17 +146,36 @@ def fit_language_model(docs: DataFrame, training: Column, per_label: int = 800,
     The sample is the different texts of smallest hash in each language, so it
     does not depend on the row order; at most ``sample_chars`` characters of each
     are learnt from. Null labels and texts are not used. None if no row is left.
-    At most 256 labels are learnt, those with the most rows.
+    At most 256 labels are learnt, those with the most texts.
     """
-    rows = docs.where(training).where("lang is not null and text is not null").select(
-        "lang", F.substring("text", 1, sample_chars).alias("text"),
-        (F.xxhash64("text") / F.lit(float(1 << 63))).alias("order"))
-    kinds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()
-    sample = []
-    for r in kinds:
-        # only about twice the sample comes to the final sort, however many tasks there are
-        low = rows.where((F.col("lang") == r["lang"]) & (F.col("order") <= 4.0 * per_label / r["n"] - 1))
-        sample += low.dropDuplicates(["order", "text"]).orderBy("order", "text").limit(per_label).collect()
+    spark = docs.sparkSession
+    rows = docs.where(training).where("lang is not null and text is not null").where(
+        F.col("text").rlike("(?U)\\S")).select(
+        "lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("key"))
+    keys = saved(rows.select("lang", "key").distinct(), "language-keys")  # copies count once
+
+    def lowest(df: DataFrame, cuts: dict[str, int]) -> DataFrame:
+        """Rows whose key is at most their label's cut."""
+        low = spark.createDataFrame(list(cuts.items()), "lang string, cut long")  # a row a label
+        return df.join(F.broadcast(low), "lang").where("key <= cut").drop("cut")
+
+    kinds = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()
+    most = {r["lang"]: r["n"] for r in kinds}
+    cuts, share, left = {}, 2.0, set(most)
+    while left:  # about twice the sample comes to the driver; a label that got too little is asked again, more widely
+        found = {}
+        asked = {k: min((1 << 63) - 1, int(share * per_label / most[k] * (1 << 64)) - (1 << 63)) for k in left}
+        for r in lowest(keys, asked).collect():
+            found.setdefault(r["lang"], []).append(r["key"])
+        for lang, got in found.items():
+            if len(got) >= min(per_label, most[lang]):
+                cuts[lang] = sorted(got)[:per_label][-1]
+                left.discard(lang)
+        share *= 4
+    if not cuts:
+        return None
+    sample = lowest(rows, cuts).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    sample.sort(key=lambda r: (-most[r["lang"]], r["lang"], r["key"]))
     sample = [(r["text"].encode(), r["lang"]) for r in sample if r["text"].strip()]
     if not sample:
         return None
@@ -204,6 +223,11 @@ def predict_language(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     return ready(docs).mapInArrow(predict, schema)
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; never for null."""
+    return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the doc_id's text leaves ``part`` when divided by ``parts``; never for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -370,6 +370,25 @@ def test_language_of_held_out_texts(spark, empty):
     assert langid.identify_languages(empty).collect() == []
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    rows = [(k, f"mot {k} du texte", "fr") for k in range(1000)] + [(k, f"word {k} of text", "en") for k in range(300)]
+    rows += [(k, "une copie", "fr") for k in range(20000)] + [(1, "rare", "de")] + [(2, "copia", "es")] * 5000
+    rows += [(k, " " * (k + 1), "en") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "train", lambda texts, labels, **_: list(zip(labels, texts)))
+    got = langid.fit_language_model(df, F.lit(True))
+    assert Counter(k for k, _ in got) == {"fr": 800, "en": 300, "de": 1, "es": 1}
+    assert len(set(got)) == len(got)
+    lowest = df.where("lang = 'fr'").distinct().select("text").distinct().orderBy(F.xxhash64("text")).limit(800)
+    assert {t for k, t in got if k == "fr"} == {r["text"].encode() for r in lowest.collect()}
+
+
+def test_pipeline_keeps_documents_when_no_label_is_known(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, " 12 !", None), (3, None, None), (4, "漢字", None)],
+                               "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.languages(spark, df, "").collect()} == {1, 4}
+
+
 # ---- 9: language model ----
 
 def test_kneser_ney_equals_the_formula(spark, docs, empty):
