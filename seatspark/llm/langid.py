@@ -139,19 +139,29 @@ def log_probabilities(net: ByteCnn, pairs: dict[int, list[np.ndarray]], data: np
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def fit_language_model(docs: DataFrame, training: Column, per_label: int = 800, sample_chars: int = 2048,
-                       **options) -> ByteCnn | None:
+def spread_windows(text: str, windows: int, window: int) -> Column:
+    """UTF-8 of the text, or one window at a hashed place from each of ``windows`` equal parts if it has more."""
+    data = F.col(text).cast("binary")
+    n = F.ceil(F.length(data) / window)
+    places = (F.floor((j + F.pmod(F.xxhash64(text, F.lit(j)), F.lit(1 << 20)) / (1 << 20)) * n / windows)
+              for j in range(windows))
+    parts = [F.substring(data, (at * window + 1).cast("int"), F.lit(window)) for at in places]
+    return F.when(n <= windows, data).otherwise(F.concat(*parts))
+
+
+def fit_language_model(docs: DataFrame, training: Column, per_label: int = 800, windows: int = 8,
+                       window: int = 256, **options) -> ByteCnn | None:
     """Fit on a bounded sample of labelled rows: ``per_label`` texts a language at most.
 
     The sample is the different texts of smallest hash in each language, so it
-    does not depend on the row order; at most ``sample_chars`` characters of each
-    are learnt from. Null labels and texts are not used. None if no row is left.
-    At most 256 labels are learnt, those with the most texts.
+    does not depend on the row order; of longer texts ``windows`` windows are
+    learnt from, at hashed places of the whole text. Null labels and null or
+    blank texts are not used. Every label is learnt. None if no row is left.
     """
     spark = docs.sparkSession
     rows = docs.where(training).where("lang is not null and text is not null").where(
         F.col("text").rlike("(?U)\\S")).select(
-        "lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("key"))
+        "lang", "text", F.xxhash64("text").alias("key"))
     keys = saved(rows.select("lang", "key").distinct(), "language-keys")  # copies count once
 
     def lowest(df: DataFrame, cuts: dict[str, int]) -> DataFrame:
@@ -159,7 +169,7 @@ def fit_language_model(docs: DataFrame, training: Column, per_label: int = 800,
         low = spark.createDataFrame(list(cuts.items()), "lang string, cut long")  # a row a label
         return df.join(F.broadcast(low), "lang").where("key <= cut").drop("cut")
 
-    kinds = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()
+    kinds = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     most = {r["lang"]: r["n"] for r in kinds}
     cuts, share, left = {}, 2.0, set(most)
     while left:  # about twice the sample comes to the driver; a label that got too little is asked again, more widely
@@ -174,12 +184,13 @@ def fit_language_model(docs: DataFrame, training: Column, per_label: int = 800,
         share *= 4
     if not cuts:
         return None
-    sample = lowest(rows, cuts).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    sample = lowest(rows, cuts).select("lang", "key", spread_windows("text", windows, window).alias("text")).groupBy(
+        "lang", "key").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: (-most[r["lang"]], r["lang"], r["key"]))
-    sample = [(r["text"].encode(), r["lang"]) for r in sample if r["text"].strip()]
+    sample = [(bytes(r["text"]), r["lang"]) for r in sample if r["text"].strip()]
     if not sample:
         return None
-    return train([t for t, _ in sample], [k for _, k in sample], **options)
+    return train([t for t, _ in sample], [k for _, k in sample], window=window, **options)
 
 
 def predict_language(docs: DataFrame, net: ByteCnn | None) -> DataFrame:

@@ -383,6 +383,23 @@ def test_language_sample_counts_copies_once(spark, monkeypatch):
     assert {t for k, t in got if k == "fr"} == {r["text"].encode() for r in lowest.collect()}
 
 
+def test_language_sample_spreads_over_long_texts_and_takes_every_label(spark, monkeypatch):
+    rows = [(k, "licence header " * 300 + "漢字仮名交じり文" * 3000, "ja") for k in range(40)]
+    rows = [(k, t + str(k), x) for k, t, x in rows] + [(k, f"text {k}", f"l{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "train", lambda texts, labels, **_: list(zip(labels, texts)))
+    got = langid.fit_language_model(df, F.lit(True))
+    assert {k for k, _ in got} == {"ja"} | {f"l{k}" for k in range(300)}
+    whole = {t.encode() for _, t, _ in rows}
+    starts = set()
+    for t in (t for k, t in got if k == "ja"):
+        home = next(w for w in whole if w[-2:] == t[-2:] or t[-256:] in w)
+        assert 7 * 256 < len(t) <= 2048 and all(t[k:k + 256] in home for k in range(0, len(t), 256))
+        assert t.count(b"licence") < 40 and len(t.decode(errors="ignore")) < 1200
+        starts.add(t[-256:])
+    assert len(starts) > 1
+
+
 def test_pipeline_keeps_documents_when_no_label_is_known(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, " 12 !", None), (3, None, None), (4, "漢字", None)],
                                "doc_id long, text string, lang string")
