@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, kneser_ney, langid, license_scan, line_dedup, ngram_join, packing, token_file, warc
+from . import (ann, decontam, fingerprints, importance, kneser_ney, langid, license_scan, line_dedup, ngram_join,
+               packing, token_file, vector_codes, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +70,26 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 8 parts of 16 entries, 6 rounds, components as integers of 1/4096."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words or more, drawn towards the benchmark's words."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
+                               most=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_ngram_join, op4_token_file, op5_ann, op6_warc,
-                                    op7_decontaminate, op8_language, op9_lm_score, op10_licences)}
+                                    op7_decontaminate, op8_language, op9_lm_score, op10_licences, op11_vector_codes,
+                                    op12_importance, op13_fingerprints)}
 
 
 OP2_SQL = r"""
@@ -105,5 +123,86 @@ FROM p LEFT JOIN f USING (html)
 """
 
 
+def _op11_sql(rounds: int) -> str:
+    """Nearest entries and floored means, a pair of steps a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, part, min(row(d, entry)) AS best FROM (
+    SELECT x.r, x.part, b.entry, sum((x.x - b.c) * (x.x - b.c))::BIGINT AS d
+    FROM x JOIN b{k} b USING (part, place) GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.c, b.c) AS c
+  FROM b{k} b LEFT JOIN (
+    SELECT x.part, a.best[2] AS entry, x.place,
+           ((sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS c
+    FROM x JOIN a{k} a USING (r, part) GROUP BY ALL) m USING (part, entry, place))""")
+    return """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding, len(embedding) // 8 AS width
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(embedding) = len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+x AS MATERIALIZED (
+  SELECT r, i // width AS part, i % width AS place, floor(4096 * c)::BIGINT AS x
+  FROM (SELECT r, width, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) - 1 AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, place, x AS c FROM x WHERE r < 16),""" + ",".join(steps) + f""",
+coded AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error
+  FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       digest AS codebooks_sha256
+FROM v JOIN coded USING (r), books
+"""
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT 0 AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+counted AS MATERIALIZED (SELECT side, id, word, count(*) AS n FROM words GROUP BY ALL),
+crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+bytes AS (
+  SELECT word, list_transform(range(octet_length(encode(word))), lambda i:
+    ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT word FROM counted)),
+dealt AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, x:
+    xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+filled AS (
+  SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t
+  FROM counted JOIN dealt USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM filled),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000)
+                                 / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM filled, totals),
+weighed AS (
+  SELECT id AS doc_id, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM counted JOIN dealt USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT
+           + 0.5::DOUBLE) / 4294967296)))::BIGINT)::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS n_able
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n_able // 100 THEN place END AS rank
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": _op11_sql(6), "op12_importance": OP12_SQL}
