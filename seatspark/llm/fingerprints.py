@@ -21,12 +21,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ready, saved
+from .shared import even_ranges, frugal, ready, saved
 from .textops import SLICE_BYTES, byte_values, mix, powers, run_hashes, text_slices
 
 WINDOW, SPAN, VOTES = 16, 16, 5
@@ -91,7 +91,7 @@ def level_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"level": pa.array(used.astype(np.int32)), "n": counts[used]})
 
     out = np.zeros(LEVELS, np.int64)
-    for r in ready(texts).mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in ready(texts).mapInArrow(frugal(count), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         out[r["level"]] = r["n"]
     return out
 
@@ -262,56 +262,75 @@ def _pairs(ids: list, texts: list[str], own: list[np.ndarray], after: list[str],
     return {name: pa.array(values, kind) for (name, kind), values in zip(_PAIR.items(), out)}
 
 
-def _in_order(rows: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Result rows of all but each partition's last text, whose next one lies elsewhere.
+GROUP_BYTES = 16 << 20  # of text in one group of consecutive documents, about
+MOST_GROUPS = 200_000
 
-    Every partition also gives its first and last text as rows of their own,
-    ``edge`` telling which, for :func:`_across`.
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with ``h``, the hash of the text, and ``g``: groups of consecutive documents.
+
+    Documents are in descending doc_id, null last, equal ones by ``h``; groups
+    are numbered in that order. Ids come in ranges of even numbers of rows; an
+    id (or null) that fills more than one group is cut by ranges of the hash.
     """
+    n, nulls, size = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.sum(F.octet_length("text"))).first()
+    share = max(1, -(-n * GROUP_BYTES // max(size or 0, 1)), -(-n // MOST_GROUPS))
+    ranges = even_ranges(rows.select("doc_id"), share)
+    firsts = np.array([f for f, _ in ranges], np.int64)
+    parts = np.array([-(-m // share) for _, m in ranges[::-1]] + [max(1, -(-nulls // share))], np.int64)
+    begins = np.cumsum(parts) - parts  # of each range, the last first, then of the null ids
+
+    @F.pandas_udf("int")
+    def group_of(ids: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        at = len(firsts) - np.maximum(np.searchsorted(firsts, ids.to_numpy(), "right"), 1)
+        at = np.where(null.to_numpy(), len(firsts), np.minimum(at, len(firsts)))
+        within = ((h.to_numpy() >> 33) + (1 << 30)) * parts[at] >> 31
+        return pd.Series((begins[at] + within).astype(np.int32))
+
+    h = F.xxhash64("text")
+    grouped = rows.select("doc_id", "text", h.alias("h"), group_of(
+        F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), h).alias("g"))
+    return grouped, int(parts.sum())
+
+
+def _with_followers(grouped: DataFrame) -> DataFrame:
+    """``grouped`` and, as the last row of each group (``last`` = 1), a copy of the document that follows the group.
+
+    There is a row a group, so the copies are few; they are found by their keys.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), (-1 - F.col("doc_id")).alias("down"), "h")
+    keys = grouped.groupBy("g").agg(F.min(place).alias("first")).collect()  # a row a group
+    keys.sort(key=lambda r: r["g"])
+    if not keys:
+        return grouped.withColumn("last", F.lit(0))
+    listed = [(r["g"], None if r["first"]["none"] else -1 - r["first"]["down"], r["first"]["h"], keys[k - 1]["g"])
+              for k, r in enumerate(keys)]  # the first group follows the last one
+    firsts = F.broadcast(grouped.sparkSession.createDataFrame(listed, "g int, first_id long, first_h long, before int"))
+    found = (grouped.join(firsts, "g").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+             .groupBy("before").agg(F.min(F.struct("text", "doc_id", "h")).alias("x")))
+    copies = saved(found, "followers").select("x.doc_id", "x.text", "x.h", F.col("before").alias("g"), F.lit(1).alias("last"))
+    return grouped.withColumn("last", F.lit(0)).unionByName(copies)
+
+
+def _walk(rank: np.ndarray):
+    """Task over (g, last, doc_id, text) in order: the result rows."""
     def walk(batches):
-        part, first, held = TaskContext.get().partitionId(), None, None
+        held = None  # the last document seen, whose next one is yet to come
         for batch in batches:
-            column = batch.column(1).cast(pa.large_string()).fill_null("")
-            ids = batch.column(0).to_pylist()
+            column = batch.column(3).cast(pa.large_string()).fill_null("")
+            groups, lasts, ids = (batch.column(k).to_pylist() for k in range(3))
             for i, j, data, offsets in text_slices(column):
-                texts, own = column.slice(i, j - i).to_pylist(), digests(data, offsets, rank)
-                names = ids[i:j]
-                if first is None:
-                    first = (names[0], texts[0])
-                if held is not None:
-                    names, texts, own = [held[0], *names], [held[1], *texts], [held[2], *own]
-                held = (names[-1], texts[-1], own[-1])
-                if len(texts) > 1:
-                    found = _pairs(names[:-1], texts[:-1], own[:-1], texts[1:], own[1:], rank)
-                    n = len(texts) - 1
-                    yield pa.RecordBatch.from_pydict(found | {
-                        "part": pa.array([part] * n, pa.int32()), "edge": pa.nulls(n, pa.string()),
-                        "text": pa.nulls(n, pa.string())})
-        if held is not None:
-            none = {name: pa.nulls(2, kind) for name, kind in _PAIR.items()}
-            yield pa.RecordBatch.from_pydict(none | {
-                "doc_id": pa.array([first[0], held[0]], pa.int64()), "part": pa.array([part] * 2, pa.int32()),
-                "edge": pa.array(["first", "last"]), "text": pa.array([first[1], held[1]], pa.string())})
-
-    return rows.mapInArrow(walk, _PAIR_SQL + ", part int, edge string, text string")
-
-
-def _across(walked: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Result rows of the partitions' last texts: their next one is the first of the next partition that has rows."""
-    spark = walked.sparkSession
-    parts = sorted(r["part"] for r in walked.where("edge = 'first'").select("part").collect())
-    follows = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, after int")
-    last = walked.where("edge = 'last'").select("part", "doc_id", "text").join(follows, "part")
-    first = walked.where("edge = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next_text"))
-
-    def finish(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text, after = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                own, next_ = (_digests_of([t], rank) for t in (text, after))
-                yield pa.RecordBatch.from_pydict(_pairs([batch.column(0)[k].as_py()], [text], own, [after], next_, rank))
+                seen = list(zip(groups[i:j], lasts[i:j], ids[i:j], column.slice(i, j - i).to_pylist(), digests(data, offsets, rank)))
+                seen = ([held] if held else []) + seen
+                pairs = [(a, b) for a, b in zip(seen, seen[1:]) if not a[1]]
+                held = seen[-1] if not seen[-1][1] else None
+                if pairs:
+                    own, after = zip(*pairs)
+                    yield pa.RecordBatch.from_pydict(_pairs(
+                        [x[2] for x in own], [x[3] for x in own], [x[4] for x in own],
+                        [x[3] for x in after], [x[4] for x in after], rank))
 
-    return ready(last.join(first, "after")).select("doc_id", "text", "next_text").mapInArrow(finish, _PAIR_SQL)
+    return walk
 
 
 def compare_with_edits(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
@@ -327,15 +346,12 @@ def compare_with_edits(docs: DataFrame, rank: np.ndarray | None = None) -> DataF
     document follows itself. Other columns are not looked at; an empty table
     gives no rows.
 
-    Texts are shuffled once, range-partitioned in that order and walked through
-    in their tasks; two texts a partition are set aside for its ends.
+    Texts are shuffled once, by groups of consecutive documents; each group also
+    gets a copy of the document after it, so groups are walked through on their own.
     """
     if rank is None:
         rank = fit_rarity(docs)
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    rows = ready(docs).select(F.col("doc_id").cast("long"), "text")
-    walked = saved(_in_order(rows.repartitionByRange(*order).sortWithinPartitions(*order, "text"), rank), "fingerprints")
-    whole = walked.where("edge is null").select(*_PAIR)
-    if walked.where("edge = 'first'").isEmpty():
-        return whole
-    return whole.unionByName(_across(walked, rank))
+    grouped, groups = _grouped(ready(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = _with_followers(grouped).repartition(groups, "g").sortWithinPartitions(
+        "g", "last", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return rows.select("g", "last", "doc_id", "text").mapInArrow(frugal(_walk(rank)), _PAIR_SQL)

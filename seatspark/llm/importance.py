@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ids import next_ids
-from .shared import ready, saved
+from .shared import frugal, ready, saved
 from .textops import ALNUM, text_slices
 
 #: Features of more bytes are rare; each takes one call of zlib.
@@ -124,7 +124,7 @@ def bucket_counts(texts: DataFrame, most: int, buckets: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used.astype(np.int32)), "n": counts[used]})
 
     out = np.zeros(buckets, np.int64)
-    for r in ready(texts).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in ready(texts).mapInArrow(frugal(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 

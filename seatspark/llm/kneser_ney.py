@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import commit_file, local_path, open_folder, ready, scratch
+from .shared import commit_file, frugal, local_path, open_folder, ready, scratch
 from .textops import BLANK, byte_values, mix, text_slices, word_hashes
 
 BLOCK_TOKENS = 1 << 21  # tokens that a task counts together
+BUCKET_BYTES = 8 << 20  # of training text for each bucket, about
 LOW_BITS = 48
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
 _VALUES = byte_values(~BLANK)
@@ -96,28 +97,35 @@ def _index(low: np.ndarray) -> np.ndarray:
     return np.searchsorted(low >> np.uint64(32), np.arange(65537, dtype=np.uint64)).astype(np.uint32)
 
 
+def _narrow(column: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits if all of them fit, else in 64."""
+    return column.astype(np.uint32) if column.max(initial=0) < 1 << 32 else column
+
+
 class HashFile:
-    """A bucket's file: counts of entries, their index, low hash halves, columns; memory-mapped."""
+    """A bucket's file: counts of entries, their index, low hash halves, columns; memory-mapped.
+
+    The head holds the number of entries, and the type of each column.
+    """
 
     @staticmethod
     def parts(low: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
         head = np.zeros(8, np.int64)
-        head[0] = len(low)
+        head[0], head[1:1 + len(columns)] = len(low), [ord(c.dtype.char) for c in columns]
         return [head.tobytes(), _index(low).tobytes(), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
                 *(c.tobytes() for c in columns)]
 
-    def __init__(self, path: str, kinds: list):
+    def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n = int(raw[:8].view(np.int64)[0])
+        n, *kinds = raw[:64].view(np.int64).tolist()
         at = 64 + 4 * 65537
         self.index, self.low = raw[64:at].view(np.uint32), raw[at:at + 4 * n].view(np.uint32)
         at += 4 * n
         self.columns = []
-        for kind in kinds:
-            size = n * np.dtype(kind).itemsize
+        for kind in (np.dtype(chr(k)) for k in kinds if k):
             # a copy-free view; entries may lie unaligned in the file
             self.columns.append(np.ndarray(n, kind, raw, at))
-            at += size
+            at += n * kind.itemsize
 
     def find(self, low: np.ndarray) -> np.ndarray:
         """Places of 48-bit hashes; -1 for those that are not here."""
@@ -158,7 +166,7 @@ class HashFiles:
             if name not in self.there:
                 continue
             if b not in self.open:
-                self.open[b] = HashFile(f"{local_path(self.folder)}/{name}", self.kinds)
+                self.open[b] = HashFile(f"{local_path(self.folder)}/{name}")
             x, y = edges[b], edges[b + 1]
             at = self.open[b].find(low[x:y])
             for o, c in zip(out, self.open[b].columns):
@@ -166,8 +174,9 @@ class HashFiles:
         return out
 
 
-PAIR = [np.uint32]
-WORD = [np.int64, np.float32, np.float32, np.float32, np.float32]  # count, predecessors, successors seen once, twice, more
+PAIR = [np.int64]
+BLOCK_PAIR = [np.uint32]  # of one task's block
+WORD = [np.int64, np.float64, np.float64, np.float64, np.float64]  # count, predecessors, successors seen once, twice, more
 
 
 def _sum_by(low: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -183,9 +192,9 @@ def _write_buckets(folder: str, kinds: list, finish):
         fs, at = open_folder(folder)
         for bucket, low, blobs in _buckets(batches, len(kinds)):
             low, columns = _sum_by(low, [np.frombuffer(b, k) for b, k in zip(blobs, kinds)])
-            columns = [np.rint(c).astype(k) if np.dtype(k).kind == "f" else np.minimum(c, np.iinfo(k).max).astype(k)
-                       for c, k in zip(columns, kinds)]
-            commit_file(fs, at, f"{bucket:06d}.hash", str(TaskContext.get().taskAttemptId()), HashFile.parts(low, columns))
+            columns = [np.rint(c).astype(np.int64) for c in columns]
+            commit_file(fs, at, f"{bucket:06d}.hash", str(TaskContext.get().taskAttemptId()),
+                        HashFile.parts(low, [_narrow(c) for c in columns]))
             yield pa.RecordBatch.from_pydict({"stats": pa.array([finish(columns)], pa.list_(pa.int64()))})
 
     return write
@@ -244,8 +253,14 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     folder = scratch(spark, "kneser-ney")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(8, min(16, (2 * parts - 1).bit_length()))
     texts = ready(docs).select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, min(24, (max(2 * parts, size // BUCKET_BYTES) - 1).bit_length()))  # buckets grow in number, not in size
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """By bucket, eight or so in a partition; where Spark's own number of partitions does, it may join small ones."""
+        spread = rows.repartition(1 << bits >> 3, "bucket") if 1 << bits >> 3 > parts else rows.repartition("bucket")
+        return spread.sortWithinPartitions("bucket")
 
     def count_pairs(batches):
         for tokens, before in _blocks(batches):
@@ -255,9 +270,9 @@ def fit(docs: DataFrame) -> Model:
     def pair_stats(columns):
         return [len(columns[0]), *(int((columns[0] == k).sum()) for k in (1, 2, 3, 4))]
 
-    pairs = texts.mapInArrow(count_pairs, "bucket int, hashes binary, c0 binary")
-    pair_counts = _totals(pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _write_buckets(f"{folder}/pairs", PAIR, pair_stats), "stats array<long>"), 5)
+    pairs = texts.mapInArrow(frugal(count_pairs), "bucket int, hashes binary, c0 binary")
+    pair_counts = _totals(dealt(pairs).mapInArrow(
+        _write_buckets(f"{folder}/pairs", BLOCK_PAIR, pair_stats), "stats array<long>"), 5)
 
     def count_words(batches):
         files = HashFiles(f"{folder}/pairs", bits, PAIR)
@@ -274,7 +289,7 @@ def fit(docs: DataFrame) -> Model:
             if begin < len(words) and words[begin] == BEGIN:
                 count[begin] = int((before == BEGIN).sum())
             columns = [count.astype(np.int64)] + [
-                np.bincount(x, share * mine, len(words)).astype(np.float32)
+                np.bincount(x, share * mine, len(words))
                 for x, mine in ((w[at], 1.0), (b[at], c == 1), (b[at], c == 2), (b[at], c > 2))]
             yield from _dealt(words, columns, bits)
 
@@ -284,8 +299,8 @@ def fit(docs: DataFrame) -> Model:
         return [int(real.sum()), int(count[real].sum()), int(left.astype(float).sum()),
                 *(int((left == k).sum()) for k in (1, 2, 3, 4))]
 
-    words = texts.mapInArrow(count_words, "bucket int, hashes binary, " + ", ".join(f"c{k} binary" for k in range(5)))
-    stats = _totals(words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+    words = texts.mapInArrow(frugal(count_words), "bucket int, hashes binary, " + ", ".join(f"c{k} binary" for k in range(5)))
+    stats = _totals(dealt(words).mapInArrow(
         _write_buckets(f"{folder}/words", WORD, word_stats), "stats array<long>"), 7)
     return Model(folder, bits, pair_counts, stats)
 
@@ -326,7 +341,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(base), pa.array(logs)],
                 [*others, *names])
 
-    return docs.mapInArrow(run, schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return docs.mapInArrow(frugal(run), schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def fit_and_score(docs: DataFrame, training: Column) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ready, saved
+from .shared import frugal, ready, saved
 from .textops import text_slices
 
 UNDETERMINED = "und"
@@ -231,7 +231,7 @@ def predict_language(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return ready(docs).mapInArrow(predict, schema)
+    return ready(docs).mapInArrow(frugal(predict), schema)
 
 
 def has_letter(text: Column) -> Column:

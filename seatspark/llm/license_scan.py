@@ -5,11 +5,13 @@ A file's words of highest IDF (rare among templates) are looked up; each
 occurrence says where the template would begin in the file, and the postings
 are intersected by that place. Places that enough different words agree on are
 candidates; a template is found if its mandatory key phrases stand in the file
-near that place. The plain phrases of ``PHRASES`` are looked for in every file.
+near that place and none of them is negated. The plain phrases of ``PHRASES``
+are looked for in every file.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,17 +26,23 @@ from .textops import ALNUM, byte_values, text_slices, utf8, word_hashes
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 #: Fixed values: (label, template text, mandatory key phrases); sentences of the public licence notices.
-TEMPLATES = [
+NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
      "associated documentation files (the Software), to deal in the Software without restriction, including without "
      "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
      "Software", ["permission is hereby granted free of charge", "without restriction"]),
     ("mit", "Released under the MIT License.", ["mit license"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+     ["distribute this software for any purpose with or without fee is hereby granted"]),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
      "compliance with the License. You may obtain a copy of the License at",
      ["apache license version 2"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
      "that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission.",
+     ["may be used to endorse or promote products derived from this software"]),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
      "General Public License as published by the Free Software Foundation, either version 3 of the License",
      ["gnu general public license", "version 3"]),
@@ -43,14 +51,62 @@ TEMPLATES = [
     ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
      "General Public License as published by the Free Software Foundation; either version 2 of the License",
      ["gnu general public license", "version 2"]),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+     ["gnu lesser general public license", "version 2 1"]),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+     ["gnu lesser general public license", "version 3"]),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+     ["gnu affero general public license", "version 3"]),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
      ["mozilla public license v 2"]),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0", ["eclipse public license 2 0"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+     "modify, publish, use, compile, sell, or distribute this software",
+     ["free and unencumbered software released into the public domain"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+     "to this work.", ["waived all copyright and related or neighboring rights"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ["cc by nc"]),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", ["cc by sa"]),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
      ["attribution sharealike"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+     ["attribution noncommercial"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
      ["creative commons attribution 4 0"]),
 ]
+#: Label and its identifiers in tag lines.
+IDENTIFIERS = [
+    ("mit", ["MIT"]), ("isc", ["ISC"]), ("apache-2", ["Apache-2.0"]), ("bsd", ["BSD-2-Clause"]), ("bsd-3", ["BSD-3-Clause"]),
+    ("gpl-2", ["GPL-2.0-only", "GPL-2.0-or-later"]), ("gpl-3", ["GPL-3.0-only", "GPL-3.0-or-later"]),
+    ("lgpl-2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"]), ("lgpl-3", ["LGPL-3.0-only", "LGPL-3.0-or-later"]),
+    ("agpl-3", ["AGPL-3.0-only", "AGPL-3.0-or-later"]), ("mpl-2", ["MPL-2.0"]), ("epl-2", ["EPL-2.0"]),
+    ("unlicense", ["Unlicense"]), ("cc0", ["CC0-1.0"]), ("cc-by", ["CC-BY-4.0"]), ("cc-by-sa", ["CC-BY-SA-4.0"]),
+    ("cc-by-nc", ["CC-BY-NC-4.0"]),
+]
+#: Label and the path of its deed.
+DEEDS = [("cc-by", "licenses/by/4.0"), ("cc-by-sa", "licenses/by-sa/4.0"), ("cc-by-nc", "licenses/by-nc/4.0"),
+         ("cc0", "publicdomain/zero/1.0")]
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall(r"[a-z0-9]+", text.lower()))
+
+
+def _templates() -> list[tuple[str, str, list[str]]]:
+    """Notices, tag lines and addresses of deeds; the last two are mandatory as a whole."""
+    short = [(label, f"SPDX-License-Identifier: {x}") for label, names in IDENTIFIERS for x in names]
+    short += [(label, f"https://creativecommons.org/{path}") for label, path in DEEDS]
+    return NOTICES + [(label, text, [_plain(text.removeprefix("https://"))]) for label, text in short]
+
+
+TEMPLATES = _templates()
+
+#: A key phrase that one of these words stands before, at most NEGATION_SPAN words away, is no statement of a licence.
+NEGATIONS, NEGATION_SPAN = ("not", "never", "neither", "nor"), 5
 
 RARE_WORDS = 4  # words of highest IDF that must agree on a place, in a template (or all, if fewer)
 SLACK = 2  # words that may be put in or left out before a rare word
@@ -70,6 +126,11 @@ def find_phrase(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at
 
 
+def stated(words: np.ndarray, phrase: np.ndarray, negations: np.ndarray) -> bool:
+    """Whether the phrase stands somewhere without a negation shortly before it."""
+    return any(not np.isin(words[max(0, p - NEGATION_SPAN):p], negations).any() for p in find_phrase(words, phrase).tolist())
+
+
 @dataclass
 class LicenceIndex:
     labels: list[str]
@@ -83,6 +144,7 @@ class LicenceIndex:
     maybe: np.ndarray
     phrases: list[tuple[np.ndarray, str]]
     phrase_starts: np.ndarray
+    negations: np.ndarray
 
 
 def build_index(templates=TEMPLATES, phrases=PHRASES, rare: int = RARE_WORDS) -> LicenceIndex:
@@ -106,7 +168,7 @@ def build_index(templates=TEMPLATES, phrases=PHRASES, rare: int = RARE_WORDS) ->
     return LicenceIndex([k for k, _, _ in templates], np.array([len(t) for t in texts]),
                         [[_hashes(p) for p in keys] for _, _, keys in templates], np.array(needed), terms,
                         np.append(np.searchsorted(h, terms), len(h)), np.array([k for _, k, _ in posts]),
-                        np.array([p for _, _, p in posts]), maybe, found, starts)
+                        np.array([p for _, _, p in posts]), maybe, found, starts, _hashes(" ".join(NEGATIONS)))
 
 
 def scan_words(index: LicenceIndex, words: np.ndarray, hit: np.ndarray):
@@ -135,7 +197,9 @@ def scan_words(index: LicenceIndex, words: np.ndarray, hit: np.ndarray):
         k = int(template[first[g]])
         low = max(0, int(begins[first[g]]) - SLACK)
         near = words[low:int(begins[last[g]]) + int(index.lengths[k]) + SLACK + 1]
-        if all(len(find_phrase(near, key)) for key in index.keys[k]):
+        # words before the template's beginning may negate its first phrase
+        lead = min(low, NEGATION_SPAN)
+        if all(stated(words[low - lead:low + len(near)], key, index.negations) for key in index.keys[k]):
             total = int((index.templates == k).sum())
             out.append((index.labels[k], low, min(1.0, distinct[g] / total)))
     return out

@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs of line keys, in DataFrame operations only.
 
-Documents come in batches of ascending doc_id. Each run is a bucketed, sorted
+Documents come in batches of ascending doc_id, of about as many lines each. Each run is a bucketed, sorted
 table of the line keys that earlier batches held. A batch's keys are
 merge-anti-joined with the runs; keys that are new form the next run of level
 0. When a level has ``fan_in`` runs they are merged into one of the next level,
@@ -96,18 +96,18 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_i
         "doc_id", "text_hash", F.col("pos").alias("place"), F.xxhash64("col").alias("h1"),
         F.xxhash64(F.lit(17), F.col("col")).alias("h2"))
     rows = saved(rows, "lines")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    shares = [k / batches for k in range(1, batches + 1)]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0]  # the last one is the largest doc_id
     parts = []
-    if low is not None:
-        width = (high - low) // batches + 1
+    if cuts:
+        cuts = sorted(set(cuts))
         runs = Runs(spark, fan_in, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        for k in range(batches):
-            if low + k * width > high:
-                break
-            batch = rows.where(F.col("doc_id").between(low + k * width, low + (k + 1) * width - 1))
+        for k, cut in enumerate(cuts):
+            batch = rows.where(F.col("doc_id") <= cut) if k == 0 else rows.where(
+                (F.col("doc_id") > cuts[k - 1]) & (F.col("doc_id") <= cut))
             keys = batch.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
             keys = saved(runs.split(keys), "line-keys")
-            if k < batches - 1:
+            if k < len(cuts) - 1:
                 runs.add(keys.where("not seen"))
             found = keys.where("seen or first < last").select(*KEY, "seen", "first")
             parts.append(batch.join(found, KEY).where("seen or doc_id > first").select("doc_id", "text_hash", "place"))
@@ -133,14 +133,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_in:
     its lines are not repeats of each other. No document goes.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    drops = saved(repeated_lines(docs, min_chars, batches, fan_in), "line-drops").select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "places")
-    rows = docs.join(drops, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("places"))
-    kept = F.when(F.col("places").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return rows.withColumn("_lines", lines).select(
-        *columns, F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+    own = uuid.uuid4().hex  # the names below clash with no column of docs
+    doc, text_hash, places, split = (f"{name}_{own}" for name in ("doc", "hash", "places", "lines"))
+    drops = saved(repeated_lines(docs.select("doc_id", "text"), min_chars, batches, fan_in), "line-drops").toDF(doc, text_hash, places)
+    rows = docs.join(drops, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(places))
+    kept = F.when(F.col(places).isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        F.array_join(F.transform(left, lambda i: F.col(split)[i]), "\n"))
+    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.withColumn(split, _lines(F.col("text"))).select(
+        *columns, F.size(split).cast("long").alias("n_lines"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))

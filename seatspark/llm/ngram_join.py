@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ready, saved
+from .shared import frugal, give_back, ready, saved
 from .textops import BLANK, byte_values, gram_hashes, mix, text_slices, word_hashes
 
 GRAM_BITS = 48  # shingles are 48-bit hashes
-COUNT_BLOCK = 1 << 21  # shingles counted together when looking for common ones
+COUNT_BLOCK = 1 << 20  # shingles counted together when looking for common ones
 COMMON = 1 << 20  # shingles that are put last, at most, at every size of the input
 SALTED = 4096  # a shingle that is counted so often is posted in parts
-POST_BLOCK = 1 << 20  # postings that a task packs together
+POST_BLOCK = 1 << 19  # postings that a task packs together
 RUN_BLOCK = 2048  # rows of a run that are traversed together
 SHORT = 8  # a run of so few classes is a leaf of its own
 LEAF = 32
@@ -124,6 +124,7 @@ def _scan(n: int):
                     if size >= COUNT_BLOCK:
                         yield common()
                         block, size = [], 0
+                        give_back()
             columns = list(zip(*found)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * rows, pa.int32()), ids.cast(pa.int64())]
@@ -204,6 +205,7 @@ def _prefixes(n: int, percent: int, hot, buckets: int, hot_parts: int):
                 if size >= POST_BLOCK:
                     yield from packed()
                     grams_, keys_, sketches_, size = [], [], [], 0
+                    give_back()
         if size:
             yield from packed()
 
@@ -211,22 +213,16 @@ def _prefixes(n: int, percent: int, hot, buckets: int, hot_parts: int):
 
 
 def _first_pairs(hot):
-    """Task over buckets: in each run, pairs with its smallest class (kind 0) and the postings (kind 1).
+    """Task over rows sorted by bucket: in each run, pairs with its smallest class (kind 0) and the postings (kind 1).
 
-    Postings that are alone under their shingle go, but for very common
+    One bucket is held at a time. Postings that are alone under their shingle go, but for very common
     shingles: those come in parts, so others may be elsewhere.
     """
-    def run(batches):
-        parts = [[], [], []]
-        for batch in batches:
-            for name, part in zip(("grams", "keys", "sketches"), parts):
-                part += batch.column(name).to_pylist()
-        if not parts[0]:
-            return
+    def one(parts):
         raw = np.frombuffer(b"".join(parts[0]), np.uint8).reshape(-1, 6)
         g = np.zeros((len(raw), 8), np.uint8)
         g[:, :6] = raw
-        g = g.view("<u8").ravel().astype(np.uint64)
+        g = g.view("<u8").ravel()
         k, s = np.frombuffer(b"".join(parts[1]), np.int64), np.frombuffer(b"".join(parts[2]), np.uint32)
         order = np.lexsort((k, g))
         g, k, s = g[order], k[order], s[order]
@@ -252,6 +248,19 @@ def _first_pairs(hot):
                                                   "a": pa.array(part), "b": pa.array(b[x:x + 100_000]),
                                                   "sketch": pa.array(c[x:x + 100_000].astype(np.int64))})
 
+    def run(batches):
+        bucket, parts = None, [[], [], []]
+        for batch in batches:
+            for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "grams", "keys", "sketches"))):
+                if b != bucket and parts[0]:
+                    yield from one(parts)
+                    parts = [[], [], []]
+                bucket = b
+                for part, blob in zip(parts, blobs):
+                    part.append(blob)
+        if parts[0]:
+            yield from one(parts)
+
     return run
 
 
@@ -315,14 +324,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percen
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()),
                                               "b": pa.array([b for _, b in out], pa.int64())})
 
-    with_sets = rows.join(flagged.where("doc_id is not null").mapInArrow(sets, "doc_id long, key long, grams binary"),
+    with_sets = rows.join(flagged.where("doc_id is not null").mapInArrow(frugal(sets), "doc_id long, key long, grams binary"),
                           ["doc_id", "key"])
     units = with_sets.select("a", "part", "role", "key", "grams").repartition("a", "part").sortWithinPartitions(
         "a", "part", "role")
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole sets here
     try:
-        return saved(units.mapInArrow(compare, "a long, b long"), "links")
+        return saved(units.mapInArrow(frugal(compare), "a long, b long"), "links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
@@ -557,7 +566,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     docs = ready(docs).select(F.col("doc_id").cast("long"), "text")
-    scanned = saved(docs.mapInArrow(_scan(n), DOC), "sets")
+    scanned = saved(docs.mapInArrow(frugal(_scan(n)), DOC), "sets")
     rows = scanned.where("kind = 0").select("doc_id", "n", "key")
     classes = scanned.where("kind = 0 and first")
     sized = saved(classes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
@@ -566,8 +575,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     hot = spark.sparkContext.broadcast(_common(saved(
         scanned.where("kind = 1").groupBy("gram").agg(F.sum("count").alias("c")).where("c > 2"), "common")))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = docs.mapInArrow(_prefixes(n, percent, hot, buckets, max(16, total // 20_000)), "bucket int, grams binary, keys binary, sketches binary")
-    found = saved(postings.repartition("bucket").mapInArrow(_first_pairs(hot), "kind int, a long, b long, sketch long"), "runs")
+    postings = docs.mapInArrow(frugal(_prefixes(n, percent, hot, buckets, max(16, total // 20_000))), "bucket int, grams binary, keys binary, sketches binary")
+    found = saved(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_first_pairs(hot)), "kind int, a long, b long, sketch long"), "runs")
 
     pairs = saved(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = _verified(docs, pairs, reps, n, percent)
@@ -595,7 +604,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         "gram", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
         "block", "key", "n", "comp", "signature")
     more = units.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(
-        _further_pairs(percent), "a long, b long")
+        frugal(_further_pairs(percent)), "a long, b long")
     more = saved(saved(more, "further-pairs").unionByName(short).distinct(), "pairs")
     if not more.isEmpty():
         extra = _verified(docs, more, reps, n, percent)

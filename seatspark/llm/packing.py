@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import ready, saved
+from .shared import frugal, ready, saved
 from .textops import text_slices
 from .tokens import encoder_for
 
@@ -180,7 +180,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     "start": out["start"], "length": out["length"], "ids_crc32": out["ids_crc32"],
                     "task": pa.array([task] * len(rows), pa.int32()), "place": out["place"]})
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(cut), PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import commit_file, open_folder, ready, scratch
+from .shared import commit_file, frugal, open_folder, ready, scratch
 from .textops import text_slices
 from .tokens import encoder_for
 
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                                           "n_ids": [int(bounds[-1])], "bytes": [size]})
 
     rows = ready(docs).select("doc_id", "text").where("doc_id is not null")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frugal(write), MANIFEST)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list) -> DataFrame:

@@ -3,7 +3,8 @@
 Texts are cut before a single space between two visible characters; neither of
 the pre-tokenizers used here forms a token across that place. Each distinct
 piece is encoded once by the tokenizers library and kept, so a text costs a
-hash and a look-up for each word.
+hash and a look-up for each word. Texts that hold the string of a special token
+in any case are given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ def encoder_for(path: str) -> PieceEncoder:
 
 
 class PieceEncoder:
-    """Encodes UTF-8 slices; ``encode_special_tokens`` makes special strings ordinary text."""
+    """Encodes UTF-8 slices as ``Tokenizer.encode(text, add_special_tokens=False)`` would each text.
+
+    So the string of a special token, as `<|endoftext|>`, gives that token's id.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.values = byte_values(np.ones(256, bool), fold_case=False)
         self.separator = self._separator()
         self._forget()
@@ -111,4 +115,23 @@ class PieceEncoder:
         ids = np.frombuffer(self.ids, np.uint32)[ranges(np.frombuffer(self.starts, np.int64)[which], lengths)] \
             if len(self.ids) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, ends[np.searchsorted(starts, offsets)]
+        return self._with_special(data, offsets, ids, ends[np.searchsorted(starts, offsets)])
+
+    def _with_special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray,
+                      bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` with the rows that hold a special token's string encoded whole."""
+        raw, rows = data.tobytes(), set()
+        low = raw.lower()
+        for text in self.special:
+            at = low.find(text)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = low.find(text, at + 1)
+        if not rows:
+            return ids, bounds
+        parts, sizes, done = [], np.diff(bounds), 0
+        for r in sorted(rows):
+            whole = self.tokenizer.encode(raw[offsets[r]:offsets[r + 1]].decode(), add_special_tokens=False).ids
+            parts += [ids[done:bounds[r]], np.array(whole, np.uint32)]
+            sizes[r], done = len(whole), bounds[r + 1]
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])

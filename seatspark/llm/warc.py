@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are sorted by page_id and dealt into shards of equal id ranges. A shard
-rolls to its next file at a compressed size. Each record is a gzip member of
+Records are sorted by page_id and dealt into shards, id ranges of about as many
+records each (those without an id by their digest). A shard rolls to its next file at a compressed size. Each record is a gzip member of
 its own with headers made anew from the payload: digests, lengths, and record
 ids that follow from the page_id and the digest. Files are written under
 temporary names and moved into place; the manifest (a table that is written
@@ -16,12 +16,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import commit_file, open_folder, ready, saved, scratch
+from .shared import commit_file, even_cuts, frugal, open_folder, ready, saved, scratch
 
 REVISIT_BYTES = 100
 ROLL_BYTES = 64 << 20
@@ -97,8 +99,9 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
 
     The payload is html in UTF-8; null is empty. Of equal payloads of at least
     100 bytes the smallest page_id is a response and the others revisits of it.
-    Rows with null page_id are responses, in a shard of their own. Repeated
-    rows of one page_id are written as often as they come.
+    Rows with null page_id are responses, in shards of their own. Repeated
+    rows of one page_id are written as often as they come. ``shard_bytes`` is
+    the payload of a shard if all pages were of the same size.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
@@ -106,15 +109,22 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     big = rows.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     firsts = saved(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
                    .where("first < last").select("digest", "first"), "first-pages")
-    low, high, size = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("html"))).first()
-    shards = max(1, -(-(size or 0) // shard_bytes))
-    width = (high - low) // shards + 1 if low is not None else 1
+    n, unnamed, size = rows.agg(F.count(F.lit(1)), F.count_if(F.col("page_id").isNull()), F.sum(F.octet_length("html"))).first()
+    share = max(1, n * shard_bytes // max(size or 0, 1))  # records a shard
+    cuts = even_cuts(rows.select("page_id"), share)
+    no_id = max(1, -(-unnamed // share))
     small = rows.select("page_id", "digest").where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     # a payload that a third of all pages share is one key: both sides are plain tables, which Spark can split
     refers = saved(small.join(firsts, "digest").where("page_id != first").select("page_id", "digest", "first").distinct(),
                    "revisits").select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "first")
-    shard = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / width), F.lit(-1)).cast("int") \
-        if low is not None else F.lit(-1)
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
+
+    shard = F.when(F.col("page_id").isNotNull(), range_of(F.coalesce("page_id", F.lit(0).cast("long")))).otherwise(
+        -1 - F.pmod(F.xxhash64("digest"), F.lit(no_id))).cast("int")
     joined = rows.join(refers, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("same")), "left").select(
         "page_id", "url", "html", "digest", "first", shard.alias("shard"))
 
@@ -141,7 +151,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
                 elif own != shard:
                     roll = 0
                 shard = own
-                name = f"pages-{'none' if shard < 0 else f'{shard:06d}'}-{roll:04d}.warc.gz"
+                name = f"pages-{f'none{-1 - shard:06d}' if shard < 0 else f'{shard:06d}'}-{roll:04d}.warc.gz"
                 parts.append(record(page_id, url, text.encode(), digest, first))
                 held += len(parts[-1])
         if parts:
@@ -149,8 +159,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], [f.split()[0] for f in MANIFEST.split(", ")])
 
-    dealt = joined.repartitionByRange(shards + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
-    manifest = dealt.select("page_id", "url", "html", "digest", "first", "shard").mapInArrow(write, MANIFEST)
+    dealt = joined.repartitionByRange(len(cuts) + 1 + no_id, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    manifest = dealt.select("page_id", "url", "html", "digest", "first", "shard").mapInArrow(frugal(write), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -62,14 +62,15 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-ODD = ["", "  a  b\n\n c <|endoftext|> d", " it's I'LL 's x", "é ế ́e ÀÉ Σας ΟΔΟΣ x", " a ", "a ", "\n b\t c", "x  y  z",
+ODD = ["", "  a  b\n\n c <|endoftext|> d", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z",
+       "<|ENDOFTEXT|> <|EndOfText|>\n", "<|startoftext|> é <|startoftext|>", "<|endoftext|", "<|end oftext|> a b",
+       "é " * 50 + "<|endoftext|>" + " w" * 50, " it's I'LL 's x", "é ế ́e ÀÉ Σας ΟΔΟΣ x", " a ", "a ", "\n b\t c", "x  y  z",
        "123 456 12a ...!! \"x\" a. b\x01 c"]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_piece_encoder_equals_the_tokenizer(path):
     plain, own = Tokenizer.from_file(path), tokens.PieceEncoder(path)
-    plain.encode_special_tokens = True
     texts = ODD + [t or "" for _, t, *_ in _corpus()]
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
