@@ -20,7 +20,7 @@ req AS (
   FROM orders o LEFT JOIN req_lines l ON l.l_orderkey = o.o_orderkey)
 """
 
-ADMIT_CTES = REQUESTS_CTES + """,
+_ADMIT = """,
 bs0 AS (SELECT * FROM booking_seat),
 req_seat AS (
   SELECT r.request_id, r.showtime_id, u.s
@@ -72,6 +72,20 @@ decided AS (
   SELECT request_id, outcome FROM fold WHERE request_id IS NOT NULL)
 """
 
+ADMIT_CTES = REQUESTS_CTES + _ADMIT
+
+#: Orders as JSON lines (some malformed) and as form text; see ``scenarios.payload_admission``.
+PAYLOAD_CTES = REQUESTS_CTES.replace("req AS (", "asked AS (") + """,
+malformed AS (
+  SELECT CASE WHEN request_id % 29 = 0 THEN '{"request_id":' || request_id || ',"seats":["1"'
+              WHEN request_id % 31 = 0 THEN '{"request_id":' || request_id || ',"user_id":"nobody","showtime_id":1,"seats":["1"]}'
+              ELSE '[' || request_id || ']' END AS raw, request_id
+  FROM asked WHERE request_id % 3 <> 1 AND (request_id % 29 = 0 OR request_id % 31 = 0 OR request_id % 37 = 0)),
+req AS (
+  SELECT request_id, CASE WHEN request_id % 3 <> 1 OR request_id % 41 <> 0 THEN user_id END AS user_id, showtime_id, seats,
+         TIMESTAMP '2026-01-01 00:00:00' AS requested_at
+  FROM asked WHERE request_id NOT IN (FROM malformed SELECT request_id))""" + _ADMIT
+
 ADMIT_BODY = """
 SELECT d.request_id, d.outcome,
        CASE WHEN d.outcome = 'accepted' THEN
@@ -219,6 +233,10 @@ def changes_sql() -> dict[str, str]:
     out = {"admit_bookings": with_bridge(ADMIT_BODY, ADMIT_CTES, recursive=True)}
     for name, body in ADMIT_TABLES.items():
         out[name] = with_bridge(body, ADMIT_CTES, recursive=True)
+    out["admit_payloads"] = with_bridge(f"""
+        SELECT request_id, outcome, booking_id, CAST(NULL AS VARCHAR) AS raw FROM ({ADMIT_BODY})
+        UNION ALL SELECT NULL, 'malformed', NULL, raw FROM malformed""", PAYLOAD_CTES, recursive=True)
+    out["admit_payloads_booking"] = with_bridge(ADMIT_TABLES["admit_bookings_booking"], PAYLOAD_CTES, recursive=True)
     for name, body in EVENTS_BODIES.items():
         out[name] = with_bridge(body, EVENTS_CTES, recursive=True)
     return out

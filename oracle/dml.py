@@ -68,6 +68,35 @@ walk AS (
                        ELSE 'inserted' END) AS outcome) x)
 """
 
+_WALK = USER_REG[USER_REG.index("walk AS ("):]
+
+USER_CREATE = f"""
+raw AS (
+  SELECT TRY_CAST(CASE WHEN c_custkey % 331 = 0 THEN 'none' WHEN c_custkey % 337 = 0 THEN NULL
+                       WHEN c_custkey % 341 = 0 THEN CAST(c_custkey - 1 AS VARCHAR)
+                       ELSE CAST(c_custkey AS VARCHAR) END AS BIGINT) AS request_id,
+         TRY_CAST(CASE WHEN c_custkey % 343 = 0 THEN 'x' ELSE CAST({BIG} + c_custkey // 2 AS VARCHAR) END AS BIGINT) AS user_id,
+         c_name AS name,
+         CASE WHEN c_custkey % 4 < 2 THEN 'L' ELSE 'l' END || 'ink' || CAST((c_custkey + 1) // 2 AS VARCHAR) || '@example.com' AS email,
+         'pw' AS password,
+         CASE WHEN c_custkey % 347 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN 'staff' WHEN c_custkey % 3 = 1 THEN 'admin'
+              ELSE 'customer' END AS role
+  FROM customer),
+counted AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n_same FROM raw),
+refused AS (
+  SELECT request_id, CASE WHEN request_id IS NULL THEN 'missing_fields' ELSE 'duplicate_request' END AS outcome
+  FROM counted WHERE request_id IS NULL OR n_same > 1),
+reg AS (FROM counted WHERE request_id IS NOT NULL AND n_same = 1),
+chk AS (
+  SELECT r.*,
+         CASE WHEN user_id IS NULL OR user_id = 0 OR name = '' OR email = '' OR password = '' OR role = '' THEN 'missing_fields'
+              WHEN length(name) > 100 OR length(email) > 100 OR length(role) > 10 THEN 'value_too_long'
+              WHEN user_id IN (FROM users SELECT user_id) THEN 'duplicate_key'
+              WHEN lower(email) IN (FROM users SELECT lower(email)) THEN 'duplicate_email' END AS pre,
+         row_number() OVER (ORDER BY request_id) AS rn
+  FROM reg r),
+""" + _WALK
+
 SHOW_REP = f"""
 rep AS (
   SELECT CAST(p.p_partkey * 2 + k AS BIGINT) AS request_id,
@@ -146,7 +175,7 @@ MOVIE_DEL = f"""
 del AS (
   SELECT CAST(p_partkey AS BIGINT) AS request_id,
          CAST(CASE WHEN p_partkey % 10 = 3 THEN p_partkey ELSE p_partkey + {BIG} END AS BIGINT) AS movie_id
-  FROM part WHERE p_partkey % 10 IN (3, 4)),
+  FROM part),
 gone_movie AS (SELECT movie_id FROM movie WHERE movie_id IN (SELECT movie_id FROM del)),
 gone_show AS (SELECT showtime_id FROM showtime WHERE movie_id IN (SELECT movie_id FROM gone_movie)),
 gone_booking AS (SELECT booking_id FROM booking WHERE showtime_id IN (SELECT showtime_id FROM gone_show))
@@ -167,6 +196,11 @@ BODIES = {
         SELECT c.user_id, c.name, c.email, c.password, c.role
         FROM walk w JOIN chk c ON c.request_id = w.request_id WHERE w.outcome = 'inserted'""",
                              USER_REG),
+    "create_users": ("SELECT request_id, outcome FROM walk WHERE rn > 0 UNION ALL FROM refused", USER_CREATE),
+    "create_users_table": ("""
+        FROM users UNION ALL
+        SELECT chk.user_id, name, email, password, role FROM walk JOIN chk USING (request_id)
+        WHERE walk.outcome = 'inserted'""", USER_CREATE),
     "replace_showtimes": ("SELECT request_id, outcome FROM dec", SHOW_REP),
     "replace_showtimes_table": ("""
         SELECT s.showtime_id, COALESCE(u.movie_id, s.movie_id) AS movie_id,

@@ -172,5 +172,20 @@ _BODIES: dict[str, tuple[str, str]] = {
 }
 
 
+#: Key tables of the lookups, and the caller of the reports that hide other customers' rows.
+_USERS = "user_id IN (FROM events SELECT user_id WHERE event_type = 'error')"
+_BOOKINGS = "booking_id IN (FROM orders SELECT o_orderkey WHERE o_orderpriority = '1-URGENT')"
+_SHOWS = "showtime_id IN (FROM part SELECT 2 * p_partkey + 1 WHERE p_size > 45)"
+_CALLER = "user_id = 4"
+
+for _name, _of, _keep in (("bookings_of_users", "bookings", _USERS), ("booking_detail_of_keys", "booking_detail", _BOOKINGS),
+                          ("pay_quote_of_keys", "pay_quote", _BOOKINGS), ("booking_history_of_users", "booking_history", _USERS),
+                          ("bookable_seats_of_keys", "bookable_seats", _SHOWS), ("seat_layout_of_keys", "seat_layout", _SHOWS),
+                          ("booking_detail_of_caller", "booking_detail", f"{_BOOKINGS} AND {_CALLER}"),
+                          ("payments_of_staff", "payment_record", "TRUE"), ("profile_of_caller", "user_profile", _CALLER),
+                          ("payments_of_caller", "payment_record", f"booking_id IN (FROM booking SELECT booking_id WHERE {_CALLER})")):
+    _BODIES[_name] = (f"SELECT * FROM ({_BODIES[_of][0]}) WHERE {_keep}", _BODIES[_of][1])
+
+
 def report_sql() -> dict[str, str]:
     return {name: with_bridge(body, extra) for name, (body, extra) in _BODIES.items()}

@@ -109,6 +109,22 @@ CHANGES: dict[str, TablesQuery] = {
     "reassign_bookings_payment": S.table_after(S.move_some_bookings, "payment"),
     "next_ids": S.new_payment_ids,
     "view_pending_totals": S.view_pending_totals,
+    "audit_dirty": S.audit_dirty,
+    "create_users": S.outcomes_of(S.create_users),
+    "create_users_table": S.table_after(S.create_users, "users"),
+    "admit_payloads": S.outcomes_of(S.payload_admission),
+    "admit_payloads_booking": S.table_after(S.payload_admission, "booking"),
+    "bookings_of_users": S.by_keys(R.bookings, S.error_users),
+    "booking_detail_of_keys": S.by_keys(R.booking_detail, S.urgent_bookings),
+    "pay_quote_of_keys": S.by_keys(R.pay_quote, S.urgent_bookings),
+    "booking_history_of_users": S.by_keys(R.booking_history, S.error_users),
+    "bookable_seats_of_keys": S.by_keys(V.bookable_seats, S.dear_showtimes),
+    "seat_layout_of_keys": S.by_keys(R.seat_layout, S.dear_showtimes),
+    "booking_detail_of_caller": lambda spark, sf_dir, t=None: S.by_keys(
+        R.booking_detail, S.urgent_bookings, caller_id=4, role="customer")(spark, sf_dir, t),
+    "payments_of_caller": _on_tables(lambda t: R.payment_record(t, caller_id=4, role="customer")),
+    "payments_of_staff": _on_tables(lambda t: R.payment_record(t, caller_id=50, role="staff")),
+    "profile_of_caller": _on_tables(lambda t: R.user_profile(t, caller_id=4, role="customer")),
 }
 
 

@@ -17,16 +17,17 @@ Distributed plan:
    theater's seats are one small map row (lower-case seat -> stored spelling),
    so seat existence and repeated seats are array expressions, no explode.
    Existing holds are one set per showtime, gathered with a partial aggregate.
-2. The order-dependent part runs in rounds over (showtime, seat) claims. In a
-   round a request wins if it is the lowest undecided claimant of every seat it
-   wants; every undecided request wanting a seat just won is refused. A winner
-   is exactly what the sequential loop accepts (all earlier claimants of its
-   seats are decided and took none of them), and the lowest undecided request
-   of each showtime wins every round, so the rounds end; their number is at
-   most the seats a showtime can give out. Claims are grouped by (showtime,
-   seat) with map-side partial aggregation, so a showtime with a third of all
-   requests is split over its seats and combined per map task; state is
-   checkpointed per round.
+2. The order-dependent part is a fold per showtime. A request's seats are bit
+   positions in its theater's sorted seat list; a fold over the showtime's
+   requests in order keeps the mask of seats taken, and a request is accepted
+   if its mask and that one share no bit. A fold takes the ``width`` lowest
+   requests of a showtime (the row limit works map-side, so a showtime with a
+   third of all requests sends ``width`` rows a map task). What is left of
+   larger showtimes is first thinned by the mask, in parallel: requests that
+   want a taken seat are refused. Only survivors take part in the next fold,
+   which starts from that mask. Every fold but a showtime's last one settles
+   ``width`` requests that could still get seats, so few folds are needed, and
+   all sizes have the one-by-one result.
 3. Requests that pass the checks but cannot take seats (unknown user, a seat
    repeated in the list) are refused as already_booked if an earlier accepted
    request holds one of their seats, else with their own reason: one join.
@@ -35,7 +36,7 @@ Distributed plan:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BOOKING_REQUEST
@@ -48,16 +49,31 @@ OUTCOMES = ("duplicate_request", "missing_fields", "empty_seats", "showtime_not_
             "already_booked", "unknown_user", "duplicate_seat", "accepted")
 
 
+#: Requests of a showtime that one fold takes.
+WIDTH = 4096
+
+
 def theater_seat_maps(t: Tables) -> DataFrame:
-    """theater_id -> map(lower(seat_number) -> seat_number); one small row per theater."""
-    return (t.seat.groupBy("theater_id")
-            .agg(F.map_from_entries(F.collect_list(
-                F.struct(F.lower("seat_number"), F.col("seat_number")))).alias("seat_map")))
+    """theater_id, map(lower(seat_number) -> seat_number), sorted lower-case seats; one small row per theater."""
+    spelled = (t.seat.where(F.col("seat_number").isNotNull())
+               .groupBy("theater_id", F.lower("seat_number").alias("k")).agg(F.min("seat_number").alias("seat_number")))
+    return (spelled.groupBy("theater_id").agg(F.array_sort(F.collect_list(F.struct("k", "seat_number"))).alias("_s"))
+            .select("theater_id", F.map_from_entries("_s").alias("seat_map"), F.col("_s.k").alias("seat_keys")))
+
+
+def seat_mask(keys: Column, seat_keys: Column) -> Column:
+    """The seats ``keys`` as bits of 64-bit words, by their places in the theater's ``seat_keys``."""
+    places = F.transform(keys, lambda k: F.array_position(seat_keys, k) - 1)
+    words = F.sequence(F.lit(0).cast("long"), F.floor((F.size(seat_keys) - 1) / 64))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
+    return F.transform(words, lambda w: F.aggregate(
+        places, F.lit(0).cast("long"),
+        lambda acc, p: F.when(F.floor(p / 64) == w, acc.bitwiseOR(bit(p))).otherwise(acc)))
 
 
 def held_keys_by_showtime(t: Tables, requests: DataFrame) -> DataFrame:
     """showtime_id -> set of lower(seat_number) with any Booking_Seat row, for the batch's showtimes."""
-    return (t.booking_seat.join(requests.select("showtime_id"), "showtime_id", "left_semi")
+    return (t.booking_seat.join(requests.select("showtime_id").distinct(), "showtime_id", "left_semi")
             .groupBy("showtime_id")
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
@@ -87,6 +103,7 @@ def _checked(t: Tables, requests: DataFrame) -> DataFrame:
         F.when(F.col("_user").isNull(), "unknown_user")
          .when(F.size(F.array_distinct(keys)) < F.size(seats), "duplicate_seat").alias("blocker"),
         keys.alias("keys"),
+        F.when(outcome.isNull(), seat_mask(keys, F.col("seat_keys"))).alias("mask"),
         F.transform(seats, lambda s: F.element_at(seat_map, F.lower(s))).alias("stored_seats"))
 
 
@@ -94,45 +111,46 @@ def _claims(df: DataFrame) -> DataFrame:
     return df.select("request_id", "showtime_id", F.explode(F.array_distinct("keys")).alias("key"))
 
 
-def _rounds(claims: DataFrame) -> DataFrame:
-    """Decide taker requests in rounds; returns (request_id, outcome) for all of them.
+def _shares(mask: Column, taken: Column) -> Column:
+    return F.exists(F.zip_with(mask, taken, lambda a, b: a.bitwiseAND(b)), lambda w: w != 0)
+
+
+def first_come(claims: DataFrame, width: int = WIDTH) -> DataFrame:
+    """request_ids accepted when ``claims`` (request_id, showtime_id, mask) are served one by one, in request order.
 
-    Per round, three full shuffles of the open claims: by (showtime, seat) to
-    find each seat's lowest claimant, by request to find the winners (lowest
-    on all their seats), and by request again to settle every request (won,
-    lost a seat to a winner, or still open), carrying its own claims along
-    (at most its seat list) so the next round needs no join back. Only small
-    per-seat rows move otherwise. One checkpoint per round.
+    request_ids are unique, masks of one showtime have equal lengths. A fold
+    holds ``width`` requests of a showtime at most; see the module text.
     """
-    decided: list[DataFrame] = []
-    undecided = cut_lineage(claims)
-    while not undecided.isEmpty():
-        lowest = undecided.groupBy("showtime_id", "key").agg(F.min("request_id").alias("low"))
-        with_low = undecided.join(lowest, ["showtime_id", "key"])
-        wins = (with_low.groupBy("request_id")
-                .agg(F.bool_and(F.col("low") == F.col("request_id")).alias("win"))
-                .where("win").select(F.col("request_id").alias("low")))
-        # a seat is won when its lowest claimant won
-        won_keys = (lowest.join(wins, "low", "left_semi")
-                    .select("showtime_id", "key", F.lit(True).alias("_won")))
-        fate = cut_lineage(
-            with_low.join(won_keys, ["showtime_id", "key"], "left")
-            .groupBy("request_id")
-            .agg(F.bool_and(F.col("low") == F.col("request_id")).alias("win"),
-                 F.bool_or(F.coalesce(F.col("_won"), F.lit(False))
-                           & (F.col("low") != F.col("request_id"))).alias("lost"),
-                 F.collect_list(F.struct("showtime_id", "key")).alias("claims")))
-        decided.append(fate.where(F.col("win") | F.col("lost")).select(
-            "request_id", F.when(F.col("win"), "accepted").otherwise("already_booked")
-            .alias("outcome")))
-        undecided = (fate.where(~F.col("win") & ~F.col("lost"))
-                     .select("request_id", F.explode("claims").alias("c"))
-                     .select("request_id", "c.showtime_id", "c.key"))
-    if not decided:
-        return claims.sparkSession.createDataFrame([], "request_id long, outcome string")
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    accepted: list[DataFrame] = []
+    rest, state = claims.select("request_id", "showtime_id", "mask"), None
+    while True:
+        order = Window.partitionBy("showtime_id").orderBy("request_id")
+        groups = (rest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= width)
+                  .groupBy("showtime_id")
+                  .agg(F.array_sort(F.collect_list(F.struct("request_id", "mask"))).alias("asked")))
+        free = F.transform(F.element_at("asked", 1)["mask"], lambda w: F.lit(0).cast("long"))
+        if state is not None:
+            groups, free = groups.join(state.select("showtime_id", "taken"), "showtime_id"), F.col("taken")
+        start = F.struct(free.alias("taken"), F.array().cast("array<bigint>").alias("won"))
+        folded = F.aggregate("asked", start, lambda acc, r: F.when(
+            _shares(r["mask"], acc["taken"]), acc).otherwise(F.struct(
+                F.zip_with(r["mask"], acc["taken"], lambda a, b: a.bitwiseOR(b)).alias("taken"),
+                F.array_append(acc["won"], r["request_id"]).alias("won"))))
+        state = cut_lineage(groups.select("showtime_id", F.element_at("asked", -1)["request_id"].alias("cut"),
+                                          F.size("asked").alias("n"), folded.alias("x"))
+                            .select("showtime_id", "cut", "n", "x.taken", "x.won"))
+        accepted.append(state.select(F.explode("won").alias("request_id")))
+        full = state.where(F.col("n") == width).select("showtime_id", "cut", "taken")
+        if full.isEmpty():
+            break
+        rest = cut_lineage(rest.join(full, "showtime_id")
+                           .where((F.col("request_id") > F.col("cut")) & ~_shares(F.col("mask"), F.col("taken")))
+                           .select("request_id", "showtime_id", "mask"))
+        if rest.isEmpty():
+            break
+    out = accepted[0]
+    for more in accepted[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -151,14 +169,15 @@ def usable_ids(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return given.join(repeated, "request_id", "left_anti"), refused
 
 
-def admit_bookings(t: Tables, requests: DataFrame,
-                   as_of: Column | None = None) -> tuple[Tables, DataFrame]:
+def admit_bookings(t: Tables, requests: DataFrame, as_of: Column | None = None,
+                   width: int = WIDTH) -> tuple[Tables, DataFrame]:
     """Admit a batch of booking requests.
 
     Returns the next snapshot (booking and booking_seat extended) and the
     outcomes ``request_id, outcome, booking_id`` (booking_id only if accepted).
     Accepted bookings are Pending, dated ``requested_at`` (else ``as_of``,
-    else the current timestamp).
+    else the current timestamp). ``width`` bounds the requests of a showtime
+    that one task holds; it does not change the result.
     """
     req, refused = usable_ids(requests.select(
         *[F.col(f.name).try_cast(f.dataType) for f in BOOKING_REQUEST.fields]))
@@ -167,9 +186,10 @@ def admit_bookings(t: Tables, requests: DataFrame,
     takers = open_.where(F.col("blocker").isNull())
     blocked = open_.where(F.col("blocker").isNotNull())
 
-    taker_outcomes = _rounds(_claims(takers))
-    accepted_claims = _claims(takers.join(
-        taker_outcomes.where(F.col("outcome") == "accepted"), "request_id", "left_semi"))
+    won = first_come(takers, width)
+    taker_outcomes = (takers.select("request_id").join(won.withColumn("_won", F.lit(True)), "request_id", "left")
+                      .select("request_id", F.when(F.col("_won"), "accepted").otherwise("already_booked").alias("outcome")))
+    accepted_claims = _claims(takers.join(won, "request_id", "left_semi"))
 
     # blocked requests: already_booked if an earlier accepted request holds a seat
     earlier = (_claims(blocked)

@@ -4,14 +4,19 @@ MySQL enforces these on every write; here they are checked over whole tables.
 The result has one row per check, zero violations included:
 ``rule, table_name, columns, violations``.
 
-Plan shape per kind of check:
-
-* single-table checks (NOT NULL, status set, VARCHAR length) of one table are
-  conditional counts in ONE aggregate over one scan;
-* key checks group by the key (partial aggregation map-side, so a hot key costs
-  one row per map task) and count keys seen more than once;
-* foreign keys first count child rows per FK value (again map-side combined),
-  then anti-join those counts against the parent's distinct keys and sum.
+All checks are settled by one tagged-key aggregation. Every table is scanned
+once, and each row emits a short row for each key it takes part in: the key's
+domain (a referenced primary key, or a unique key), the key itself, the side
+(the table that owns the key, or one of the tables that refer to it) and, where
+a check compares a column across the two sides, that column's value. Row-local
+violations (NOT NULL, status sets, lengths, number ranges) are emitted the same
+way, only where there are some. Three aggregates follow:
+
+1. counts by (domain, key, value), combined in the map tasks, so a key that
+   holds a third of all rows costs a row per map task;
+2. by (domain, key): is the key repeated, is it referred to but absent, do the
+   values of the two sides differ;
+3. by domain: a row for each, turned into one row per check.
 
 Text keys compare lower-cased, as the reference's case-insensitive collation does.
 """
@@ -19,6 +24,7 @@ Text keys compare lower-cased, as the reference's case-insensitive collation doe
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,7 @@ from ..schemas import (FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, SCHEMAS, STATUS_SET
                        VARCHAR_LIMITS)
 from ..sources.tables import Tables
 
+
 def _is_text(table: str, col: str) -> bool:
     return isinstance(SCHEMAS[table][col].dataType, T.StringType)
 
@@ -37,130 +44,162 @@ def key_expr(table: str, col: str, alias: str | None = None) -> Column:
     return c.alias(alias or col)
 
 
-def _tag(rule: str, table: str, cols: tuple[str, ...], n: Column) -> list[Column]:
-    return [F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
-            F.lit(",".join(cols)).alias("columns"), n.cast("long").alias("n")]
+class Domain(NamedTuple):
+    """A key, the tables that refer to it, and the columns compared across.
+
+    ``refs``: (table, columns in the order of the key). ``compared``: (rule,
+    columns it is listed under, index in ``refs``, the referring table's column,
+    the owner's column, whether nulls count as different).
+    """
+
+    owner: str
+    key: tuple[str, ...]
+    rule: str
+    refs: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    compared: tuple[str, tuple[str, ...], int, str, str, bool] | None = None
 
 
-def _single_table_checks(t: Tables) -> list[DataFrame]:
+# Held seats must agree with their booking's showtime and with that showtime's theater.
+_AGREEMENT = {
+    "booking": ("held_seat_showtime", ("booking_id", "showtime_id"), "showtime_id", "showtime_id", True),
+    "showtime": ("held_seat_theater", ("showtime_id", "theater_id"), "theater_id", "theater_id", False),
+}
+#: Keys that another table may use once only, beside the DDL's own unique keys.
+_ONCE = ("one_payment_per_booking", "payment", ("booking_id",))
+
+
+def domains() -> list[Domain]:
+    """Every key that some check is about, in a fixed order."""
     out = []
-    for table in SCHEMAS:
-        checks: list[tuple[str, tuple[str, ...], Column]] = []
-        for col in NOT_NULL.get(table, ()):
-            checks.append(("not_null", (col,), F.count_if(F.col(col).isNull())))
-        if table in STATUS_SETS:
-            allowed = STATUS_SETS[table]
-            checks.append(("status_set", ("status",),
-                           F.count_if(F.col("status").isNotNull()
-                                      & ~F.col("status").isin(*allowed))))
-        for col, limit in VARCHAR_LIMITS.get(table, {}).items():
-            checks.append(("varchar_length", (col,), F.count_if(F.length(col) > limit)))
-        if not checks:
-            continue
-        agg = t.get(table).agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
-        # unpivot the one-row result into one row per check
-        stacked = F.explode(F.array(*[
-            F.struct(F.lit(rule).alias("rule"), F.lit(",".join(cols)).alias("columns"),
-                     F.col(f"c{i}").alias("violations"))
-            for i, (rule, cols, _) in enumerate(checks)]))
-        out.append(agg.select(stacked.alias("x")).select(
-            F.col("x.rule").alias("rule"), F.lit(table).alias("table_name"),
-            F.col("x.columns").alias("columns"),
-            F.coalesce(F.col("x.violations"), F.lit(0)).cast("long").alias("n")))
+    for owner, key in PRIMARY_KEYS.items():
+        refs = []
+        for child, ccols, parent, pcols, _ in FOREIGN_KEYS:
+            if parent == owner:
+                refs.append((child, tuple(ccols[pcols.index(k)] for k in key)))
+        compared = None
+        if owner in _AGREEMENT:
+            rule, listed, child_col, owner_col, nulls = _AGREEMENT[owner]
+            at = next(i for i, (child, _) in enumerate(refs) if child == "booking_seat")
+            compared = (rule, listed, at, child_col, owner_col, nulls)
+        out.append(Domain(owner, key, "primary_key", tuple(refs), compared))
+    out += [Domain(tb, cols, "unique") for tb, keys in UNIQUE_KEYS.items() for cols in keys]
+    out.append(Domain(_ONCE[1], _ONCE[2], _ONCE[0]))
     return out
 
 
-def key_counts(t: Tables, table: str, cols: tuple[str, ...]) -> DataFrame:
-    """(k0.., count) per key value. The primary-key check and every foreign
-    key pointing at this key read the same DataFrame, so Spark reuses its
-    shuffle instead of grouping the parent table once per check."""
-    keys = [f"k{i}" for i in range(len(cols))]
-    return (t.get(table).select(*[key_expr(table, c, k) for c, k in zip(cols, keys)])
-            .groupBy(*keys).count())
-
-
-def _duplicate_keys(t: Tables, table: str, cols: tuple[str, ...], rule: str,
-                    counts: DataFrame | None = None) -> DataFrame:
-    if counts is None:
-        keys = [f"k{i}" for i in range(len(cols))]
-        df = t.get(table).select(*[key_expr(table, c, k) for c, k in zip(cols, keys)])
-        # a UNIQUE index ignores rows with a NULL in the key
-        df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-        counts = df.groupBy(*keys).count()
-    return counts.where(F.col("count") > 1).select(*_tag(rule, table, cols, F.lit(1)))
-
-
-def _foreign_key(t: Tables, child: str, ccols: tuple[str, ...], parent: str,
-                 pcols: tuple[str, ...], parent_counts: DataFrame | None = None) -> DataFrame:
-    keys = [f"k{i}" for i in range(len(ccols))]
-    c = (t.get(child).select(*[key_expr(child, col, k) for col, k in zip(ccols, keys)])
-         .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-         .groupBy(*keys).count())
-    p = (parent_counts if parent_counts is not None else key_counts(t, parent, pcols)).select(*keys)
-    orphans = c.join(p, keys, "left_anti")
-    return orphans.select(*_tag("foreign_key", child, ccols, F.col("count")))
-
-
-def _held_seat_agreement(t: Tables) -> list[DataFrame]:
-    bs = t.booking_seat.select("booking_id", "showtime_id", "theater_id")
-    per_booking = bs.groupBy("booking_id", "showtime_id").count()
-    wrong_show = (per_booking.join(t.booking.select("booking_id", F.col("showtime_id").alias("b_show")),
-                                   "booking_id")
-                  .where(~F.col("showtime_id").eqNullSafe(F.col("b_show")))
-                  .select(*_tag("held_seat_showtime", "booking_seat", ("booking_id", "showtime_id"),
-                                F.col("count"))))
-    per_show = bs.groupBy("showtime_id", "theater_id").count()
-    wrong_theater = (per_show.join(t.showtime.select("showtime_id", F.col("theater_id").alias("st_theater")),
-                                   "showtime_id")
-                     .where(F.col("theater_id") != F.col("st_theater"))
-                     .select(*_tag("held_seat_theater", "booking_seat", ("showtime_id", "theater_id"),
-                                   F.col("count"))))
-    return [wrong_show, wrong_theater]
-
-
-def _payments_per_booking(t: Tables) -> DataFrame:
-    many = t.payment.groupBy("booking_id").count().where(F.col("count") > 1)
-    return many.select(*_tag("one_payment_per_booking", "payment", ("booking_id",), F.lit(1)))
+def _decimal_columns(table: str) -> list[str]:
+    return [f.name for f in SCHEMAS[table].fields if isinstance(f.dataType, T.DecimalType)]
+
+
+def row_checks(table: str) -> list[tuple[str, str, Column]]:
+    """(rule, column, violated) of the checks that need one row of ``table`` only.
+
+    Number ranges are checked on whatever type the column has: text that is no
+    number and numbers of too many digits count, as an insert would be refused.
+    """
+    out = [("not_null", c, F.col(c).isNull()) for c in NOT_NULL.get(table, ())]
+    if table in STATUS_SETS:
+        out.append(("status_set", "status", ~F.col("status").isin(*STATUS_SETS[table])))
+    out += [("varchar_length", c, F.length(c) > n) for c, n in VARCHAR_LIMITS.get(table, {}).items()]
+    out += [("decimal_range", c, F.col(c).isNotNull() & F.col(c).try_cast(SCHEMAS[table][c].dataType).isNull())
+            for c in _decimal_columns(table)]
+    return out
+
+
+def _parts(table: str, cols: tuple[str, ...]) -> tuple[Column, Column, Column]:
+    """A key as two numbers and a text, null where it has fewer; at most two numbers and one text occur."""
+    texts = [key_expr(table, c) for c in cols if _is_text(table, c)]
+    longs = [F.col(c).cast("long") for c in cols if not _is_text(table, c)]
+    pad = lambda xs, n, kind: xs + [F.lit(None).cast(kind)] * (n - len(xs))
+    return (*pad(longs, 2, "long"), *pad(texts, 1, "string"))
+
+
+def _entry(domain: int, key: tuple[Column, Column, Column], side: int, value: Column | None = None) -> Column:
+    return F.struct(F.lit(domain).alias("domain"), key[0].alias("k0"), key[1].alias("k1"), key[2].alias("k2"),
+                    (value if value is not None else F.lit(None)).cast("long").alias("value"),
+                    F.lit(side).alias("side"))
+
+
+def _emitted(t: Tables, table: str, doms: list[Domain], local: dict[tuple[str, str, str], int]) -> DataFrame | None:
+    """The entries of one table's rows; row-local violations are entries of domains of their own."""
+    always, sometimes = [], []
+    for i, d in enumerate(doms):
+        if d.owner == table:
+            value = F.col(d.compared[4]) if d.compared else None
+            entry = _entry(i, _parts(table, d.key), 0, value)
+            if d.rule == "unique":  # a unique index ignores rows with a null in the key
+                sometimes.append((reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in d.key]), entry))
+            else:
+                always.append(entry)
+        for j, (child, cols) in enumerate(d.refs):
+            if child == table:
+                value = F.col(d.compared[3]) if d.compared and d.compared[2] == j else None
+                sometimes.append((reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
+                                  _entry(i, _parts(table, cols), j + 1, value)))
+    none = (F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"))
+    for rule, col, violated in row_checks(table):
+        sometimes.append((violated, _entry(local[rule, table, col], none, 0)))
+    entries = F.array(*always, *[F.when(cond, entry) for cond, entry in sometimes])
+    return t.get(table).select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
 def audit(t: Tables) -> DataFrame:
     """C1-C5, C7-C9 over whole tables: one row per check."""
-    parts: list[DataFrame] = []
-    pk_counts = {table: key_counts(t, table, cols) for table, cols in PRIMARY_KEYS.items()}
-    parts += [_duplicate_keys(t, table, cols, "primary_key", pk_counts[table])
-              for table, cols in PRIMARY_KEYS.items()]
-    parts += [_duplicate_keys(t, table, cols, "unique")
-              for table, keys in UNIQUE_KEYS.items() for cols in keys]
-    parts += _single_table_checks(t)
-    parts += [_foreign_key(t, child, ccols, parent, pcols,
-                           pk_counts[parent] if PRIMARY_KEYS[parent] == pcols else None)
-              for child, ccols, parent, pcols, _ in FOREIGN_KEYS]
-    parts += _held_seat_agreement(t)
-    parts.append(_payments_per_booking(t))
-    # Every check emits partial rows (rule, table, columns, n); one grouped sum
-    # settles them all, and a zero row per check keeps clean checks listed.
-    zeros = t.booking.sparkSession.createDataFrame(
-        [(rule, table, cols, 0) for rule, table, cols in check_list()],
-        "rule string, table_name string, columns string, n long")
-    return (reduce(DataFrame.unionByName, parts + [zeros])
-            .groupBy("rule", "table_name", "columns")
-            .agg(F.sum("n").cast("long").alias("violations")))
+    doms = domains()
+    local = {}
+    for tb in SCHEMAS:
+        for rule, col, _ in row_checks(tb):
+            local[rule, tb, col] = len(doms) + len(local)
+    emitted = reduce(DataFrame.unionByName, [_emitted(t, tb, doms, local) for tb in SCHEMAS])
+
+    sides = max(len(d.refs) for d in doms)
+    n = lambda k: F.count_if(F.col("side") == k).alias(f"n{k}")
+    by_value = emitted.groupBy("domain", "k0", "k1", "k2", "value").agg(*[n(k) for k in range(sides + 1)])
+
+    # pairs of rows across the two sides, less those of equal value
+    differ = F.lit(None).cast("decimal(38,0)")
+    product = lambda a, b: F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(sides + 1)]
+    for i, d in enumerate(doms):
+        if d.compared:
+            at = f"n{d.compared[2] + 1}"
+            same, valued = f"same{i}", F.col("value").isNotNull() | F.lit(d.compared[5])
+            here = F.col("domain") == i
+            sums += [F.sum(F.when(here & valued, product("n0", at))).alias(same),
+                     F.sum(F.when(here & valued, F.col("n0"))).alias(f"own{i}"),
+                     F.sum(F.when(here & valued, F.col(at))).alias(f"ref{i}")]
+            differ = F.when(here, product(f"own{i}", f"ref{i}") - F.col(same)).otherwise(differ)
+    by_key = by_value.groupBy("domain", "k0", "k1", "k2").agg(*sums)
+    measures = [F.sum(F.when(F.col("domain") >= len(doms), F.col("n0")).otherwise((F.col("n0") > 1).cast("long"))).alias("m0")]
+    measures += [F.sum(F.when(F.col("n0") == 0, F.col(f"n{k}")).otherwise(0)).alias(f"m{k}") for k in range(1, sides + 1)]
+    measures.append(F.sum(differ).alias(f"m{sides + 1}"))
+    by_domain = by_key.groupBy("domain").agg(*measures)
+    found = by_domain.select("domain", F.posexplode(F.array(*[
+        F.col(f"m{k}").cast("long") for k in range(sides + 2)])).alias("measure", "n"))
+
+    checks = [(i, 0, d.rule, d.owner, ",".join(d.key)) for i, d in enumerate(doms)]
+    checks += [(i, j + 1, "foreign_key", child, ",".join(_listed(child, d.owner, cols)))
+               for i, d in enumerate(doms) for j, (child, cols) in enumerate(d.refs)]
+    checks += [(i, sides + 1, d.compared[0], d.refs[d.compared[2]][0], ",".join(d.compared[1]))
+               for i, d in enumerate(doms) if d.compared]
+    checks += [(i, 0, *key) for key, i in local.items()]
+    listed = t.booking.sparkSession.createDataFrame(
+        checks, "domain int, measure int, rule string, table_name string, columns string")
+    return listed.join(found, ["domain", "measure"], "left").select(
+        "rule", "table_name", "columns", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
+
+
+def _listed(child: str, parent: str, cols: tuple[str, ...]) -> tuple[str, ...]:
+    """The foreign key's columns in the order of the DDL."""
+    return next(cc for c, cc, p, _, _ in FOREIGN_KEYS if c == child and p == parent and set(cc) == set(cols))
 
 
 def check_list() -> list[tuple[str, str, str]]:
-    """(rule, table, columns) of every check, in the order they are built."""
-    out = [("primary_key", tb, ",".join(c)) for tb, c in PRIMARY_KEYS.items()]
-    out += [("unique", tb, ",".join(c)) for tb, keys in UNIQUE_KEYS.items() for c in keys]
-    for tb in SCHEMAS:
-        out += [("not_null", tb, c) for c in NOT_NULL.get(tb, ())]
-        if tb in STATUS_SETS:
-            out.append(("status_set", tb, "status"))
-        out += [("varchar_length", tb, c) for c in VARCHAR_LIMITS.get(tb, {})]
+    """(rule, table, columns) of every check."""
+    out = [(d.rule, d.owner, ",".join(d.key)) for d in domains()]
+    out += [(rule, tb, col) for tb in SCHEMAS for rule, col, _ in row_checks(tb)]
     out += [("foreign_key", child, ",".join(cc)) for child, cc, _, _, _ in FOREIGN_KEYS]
-    out += [("held_seat_showtime", "booking_seat", "booking_id,showtime_id"),
-            ("held_seat_theater", "booking_seat", "showtime_id,theater_id"),
-            ("one_payment_per_booking", "payment", "booking_id")]
-    return out
+    return out + [(rule, "booking_seat", ",".join(listed)) for rule, listed, *_ in _AGREEMENT.values()]
 
 
 def violations_only(t: Tables) -> DataFrame:

@@ -11,10 +11,10 @@ action          checks -> outcome                                        change
 =============== ======================================================= ==============================
 cancel          not_found, unauthorized, already_cancelled, already_used B = Cancelled
 pay             not_found (booking or its showtime), unauthorized,       P = Confirmed (insert if none),
-                cancelled_booking, already_paid                          amount = seats x price,
+                cancelled_booking, already_paid, amount_too_large        amount = seats x price,
                                                                          B = Confirmed
 create_payment  not_found, unauthorized, payment_exists,                 insert P = Pending,
-                no_seats (no seat or no showtime)                        amount = seats x price,
+                no_seats (no seat or no showtime), amount_too_large      amount = seats x price,
                                                                          B = Confirmed
 use             not_found, cancelled_booking, already_used               B = Used
 checkin         not_found, cancelled_booking, already_used,              B = Used
@@ -29,8 +29,10 @@ ever gathered in one group). A booking is assumed to have at most one payment
 (audit rule one_payment_per_booking); if it has more, the lowest payment_id is
 the one read and written, as a single-row fetch would pick one; a refund sets
 all payments of the booking to Refunded. Events without booking_id or seq are
-refused as missing_fields. A payment made by an event without a time is dated
-now.
+refused as missing_fields; events of one booking that share a seq have no order
+among themselves and are refused as duplicate_event. An amount that its column
+cannot hold fails the event as amount_too_large, as the refused write would. A
+payment made by an event without a time is dated now.
 """
 
 from __future__ import annotations
@@ -84,10 +86,12 @@ def outcome_of(s: Column, e: Column) -> Column:
                                          (canc, "already_cancelled"), (used, "already_used")))
             .when(act == "pay", chain((~exists | ~e["show_ok"], "not_found"),
                                       (~owner, "unauthorized"), (canc, "cancelled_booking"),
-                                      (p == _p("Confirmed"), "already_paid")))
+                                      (p == _p("Confirmed"), "already_paid"),
+                                      (~e["fits"], "amount_too_large")))
             .when(act == "create_payment", chain((~exists, "not_found"), (~owner, "unauthorized"),
                                                  (p != _p(None), "payment_exists"),
-                                                 (~e["show_ok"] | ~e["has_seats"], "no_seats")))
+                                                 (~e["show_ok"] | ~e["has_seats"], "no_seats"),
+                                                 (~e["fits"], "amount_too_large")))
             .when(act == "use", chain((~exists, "not_found"), (canc, "cancelled_booking"),
                                       (used, "already_used")))
             .when(act == "checkin", chain((~exists, "not_found"), (canc, "cancelled_booking"),
@@ -127,9 +131,12 @@ def apply_booking_events(t: Tables, events: DataFrame,
     ``booking_id, seq, action, outcome``."""
     ev = events.select(*[F.col(f.name).try_cast(f.dataType) for f in BOOKING_EVENT.fields])
     incomplete = F.col("booking_id").isNull() | F.col("seq").isNull()
-    refused = ev.where(incomplete).select("booking_id", "seq", "action",
-                                          F.lit("missing_fields").alias("outcome"))
-    ev = ev.where(~incomplete)
+    given = ev.where(~incomplete)
+    again = given.groupBy("booking_id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    refused = ev.where(incomplete).select("booking_id", "seq", "action", F.lit("missing_fields").alias("outcome")).unionByName(
+        given.join(again, ["booking_id", "seq"], "left_semi").select(
+            "booking_id", "seq", "action", F.lit("duplicate_event").alias("outcome")))
+    ev = given.join(again, ["booking_id", "seq"], "left_anti")
     keys = ev.select("booking_id").distinct()
     seats = t.booking_seat.join(keys, "booking_id", "left_semi").groupBy("booking_id").agg(F.count("seat_number").alias("n_seats"))
     bk = (t.booking.select("booking_id", "user_id", "status", "showtime_id")
@@ -151,6 +158,7 @@ def apply_booking_events(t: Tables, events: DataFrame,
     p0 = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in PAYMENT_STATUSES]), F.col("p0")),
                     F.lit(0))
     valid = ~F.col("exists") | (b0 >= 0)
+    amount = (F.col("n_seats") * F.col("price")).try_cast(MONEY)
     start = ctx.select("booking_id",
                            encode(F.greatest(b0, F.lit(0)), p0, F.lit(0), F.lit(0)).alias("s"))
     rows = (ev.join(ctx, "booking_id", "left")
@@ -158,8 +166,9 @@ def apply_booking_events(t: Tables, events: DataFrame,
                     valid.alias("valid"),
                     F.coalesce(F.col("actor_id") == F.col("owner"), F.lit(False)).alias("is_owner"),
                     F.col("price").isNotNull().alias("show_ok"),
-                    (F.col("n_seats") > 0).alias("has_seats")))
-    fields = ["action", "at", "new_status", "exists", "valid", "is_owner", "show_ok", "has_seats"]
+                    (F.col("n_seats") > 0).alias("has_seats"),
+                    amount.isNotNull().alias("fits")))
+    fields = ["action", "at", "new_status", "exists", "valid", "is_owner", "show_ok", "has_seats", "fits"]
     # cut once: outcomes, bookings and payments all read it
     scanned = cut_lineage(fold_scan(rows, "booking_id", "seq", fields, start, next_state, N_STATES, width))
 
@@ -174,7 +183,7 @@ def apply_booking_events(t: Tables, events: DataFrame,
                                  F.col("seq"))).alias("ins")))
     final = last.join(ctx, "booking_id").where(F.col("exists") | F.col("payment_id").isNotNull())
     fb, fp, fa, fi = decode(F.col("s_end"))
-    new_amount = (F.col("n_seats") * F.col("price")).cast(MONEY)
+    new_amount = amount
     statuses = F.array(*[F.lit(x) for x in BOOKING_STATUSES])
     pstatuses = F.array(F.lit(None).cast("string"), *[F.lit(x) for x in PAYMENT_STATUSES])
 

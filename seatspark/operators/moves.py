@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..schemas import BOOKING_MOVE, MONEY
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .admit import _claims, _rounds, theater_seat_maps, usable_ids
+from .admit import _claims, first_come, seat_mask, theater_seat_maps, usable_ids
 
 
 def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
@@ -55,7 +55,13 @@ def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
                         & (F.lower("seat_number") == F.col("key"))
                         & (F.col("_hb") != F.col("booking_id")), "left_semi")
             .select("request_id").distinct().withColumn("_held", F.lit(True)))
-    r = r.join(held, "request_id", "left")
+    # a payment takes the new seats' price: too much for its column fails the move as a whole
+    wanted = mv.select("booking_id").distinct()
+    pays = t.payment.join(wanted, "booking_id", "left_semi").select("booking_id", F.lit(True).alias("_pays")).distinct()
+    kept = (t.booking_seat.join(wanted, "booking_id", "left_semi").groupBy("booking_id").agg(F.count("seat_number").alias("_kept")))
+    r = (r.join(held, "request_id", "left").join(pays, "booking_id", "left").join(kept, "booking_id", "left")
+         .withColumn("_amount", (F.coalesce(F.when(F.col("seats").isNotNull(), F.size("seats").cast("long")), "_kept", F.lit(0))
+                                  * F.col("_price")).try_cast(MONEY)))
     pre = (F.when(F.col("showtime_id").isNull() & seats.isNull(), "nothing_to_update")
            .when(F.col("request_id") != F.col("_first"), "duplicate_move")
            .when(F.col("_found").isNull(), "not_found")
@@ -74,27 +80,28 @@ def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
         F.col("_price").alias("price"), "seats", keys.alias("keys"),
         F.transform(seats, lambda s: F.element_at(seat_map, F.lower(s))).alias("stored_seats"),
         F.col("target").alias("showtime_id"), pre.alias("pre"),
-        (F.size(F.array_distinct(keys)) < F.size(seats)).alias("dup")))
+        F.when(pre.isNull() & seats.isNotNull(), seat_mask(keys, F.col("seat_keys"))).alias("mask"),
+        F.when(F.size(F.array_distinct(keys)) < F.size(seats), "duplicate_seat")
+         .when(F.col("_pays").isNotNull() & F.col("_amount").isNull(), "amount_too_large").alias("blocker")))
 
     open_ = checked.where(F.col("pre").isNull())
-    with_seats = open_.where(F.col("seats").isNotNull() & ~F.col("dup"))
-    blocked = open_.where(F.col("seats").isNotNull() & F.col("dup"))
-    seat_outcomes = _rounds(_claims(with_seats))
-    won = _claims(with_seats.join(seat_outcomes.where(F.col("outcome") == "accepted"),
-                                  "request_id", "left_semi"))
+    with_seats = open_.where(F.col("seats").isNotNull() & F.col("blocker").isNull())
+    blocked = open_.where(F.col("seats").isNotNull() & F.col("blocker").isNotNull())
+    first_ids = first_come(with_seats)
+    seat_outcomes = (with_seats.select("request_id").join(first_ids.withColumn("_won", F.lit(True)), "request_id", "left")
+                     .select("request_id", F.when(F.col("_won"), "moved").otherwise("already_booked").alias("outcome")))
+    won = _claims(with_seats.join(first_ids, "request_id", "left_semi"))
     earlier = (_claims(blocked).join(won.withColumnRenamed("request_id", "holder"),
                                      ["showtime_id", "key"])
                .where(F.col("holder") < F.col("request_id"))
                .select("request_id").distinct().withColumn("_taken", F.lit(True)))
     decided = (checked.where(F.col("pre").isNotNull()).select("request_id", F.col("pre").alias("outcome"))
-               .unionByName(seat_outcomes.select(
-                   "request_id", F.when(F.col("outcome") == "accepted", "moved")
-                   .otherwise("already_booked").alias("outcome")))
+               .unionByName(seat_outcomes)
                .unionByName(blocked.join(earlier, "request_id", "left").select(
                    "request_id", F.when(F.col("_taken"), "already_booked")
-                   .otherwise("duplicate_seat").alias("outcome")))
+                   .otherwise(F.col("blocker")).alias("outcome")))
                .unionByName(open_.where(F.col("seats").isNull())
-                            .select("request_id", F.lit("moved").alias("outcome")))
+                            .select("request_id", F.coalesce("blocker", F.lit("moved")).alias("outcome")))
                .unionByName(refused))
     done = cut_lineage(checked.join(decided.where(F.col("outcome") == "moved"), "request_id",
                                     "left_semi"))
@@ -115,7 +122,7 @@ def reassign_bookings(t: Tables, moves: DataFrame) -> tuple[Tables, DataFrame]:
                 .groupBy("booking_id", "showtime_id").agg(F.count("seat_number").alias("n"))
                 .join(t.showtime.select("showtime_id", "price"), "showtime_id")
                 .groupBy("booking_id")
-                .agg(F.min_by((F.col("n") * F.col("price")).cast(MONEY), F.col("showtime_id"))
+                .agg(F.min_by((F.col("n") * F.col("price")).try_cast(MONEY), F.col("showtime_id"))
                      .alias("_amount")))
     # one payment of the booking changes, the lowest payment_id
     first = (t.payment.join(moved_ids, "booking_id", "left_semi")

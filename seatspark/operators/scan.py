@@ -5,10 +5,10 @@ sequential, and one key may hold a large share of all events. When the state
 takes few values (K), every run of events is a function {0..K-1} -> {0..K-1}
 (an array of K ints), and such functions compose. So:
 
-1. Chunks: events of a key are cut by ``(order - smallest order) div W`` in exact
-   integers; each chunk holds at most W events (order values are distinct within
-   a key). A chunk's function
-   is its events applied to each of the K start states.
+1. Chunks: an event's rank within its key comes from its position in a range
+   partitioning by (key, order), so chunk ``rank div W`` holds exactly W events
+   (the last one fewer), however sparse or large the order values are. A
+   chunk's function is its events applied to each of the K start states.
 2. Up-sweep: chunk functions are grouped W at a time (``floor(c / W)``) and
    composed, level after level, until one group per key is left; each child
    keeps the composition of the children before it (its prefix).
@@ -17,7 +17,7 @@ takes few values (K), every run of events is a function {0..K-1} -> {0..K-1}
    events from its own start, giving every event the state before it.
 
 No group ever exceeds W elements, whatever the key skew, and the levels
-number log_W(span of order values). Each level is checkpointed.
+number log_W(events of the largest key). Each level is checkpointed.
 """
 
 from __future__ import annotations
@@ -26,27 +26,34 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from ..session import cut_lineage
+from .ids import next_ids
 
 Step = Callable[[Column, Column], Column]  # (state int, event struct) -> next state int
 
 
-def _levels(events: DataFrame, order: str, width: int) -> tuple[int, int]:
-    """Levels of the tree and the smallest order value; chunk numbers count from that value."""
-    lo, hi = events.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return 1, 0
+def _levels(most: int, width: int) -> int:
+    """Levels of the tree over a key of ``most`` events."""
     levels = 1
-    while (hi - lo) // width ** levels:
+    while (most - 1) // width ** levels:
         levels += 1
-    return levels, lo
+    return levels
 
 
 def _div(value: Column, width: int) -> Column:
-    """Integer quotient of a value of 0 or more; no doubles, which are inexact above 2**53."""
-    return F.call_function("div", value, F.lit(width).cast(DecimalType(20, 0))).cast("long")
+    return F.call_function("div", value, F.lit(width).cast("long"))
+
+
+def ranked(events: DataFrame, key: str, order: str) -> DataFrame:
+    """``events`` with ``rank``: 0, 1, 2, ... within each key, by ``order``; (key, order) is unique.
+
+    Positions over all keys come first (no key is gathered), then each key's
+    smallest one is taken off.
+    """
+    placed = next_ids(events, [key, order], 0, "_place")
+    first = placed.groupBy(key).agg(F.min("_place").alias("_first"))
+    return placed.join(first, key).withColumn("rank", F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
 def _apply(fn: Column, state: Column) -> Column:
@@ -79,14 +86,13 @@ def _replay(groups: DataFrame, key: str, step: Step) -> DataFrame:
 
 
 def _hot_scan(ev: DataFrame, key: str, order: str, cols: list[str], st: DataFrame,
-              step: Step, n_states: int, width: int) -> DataFrame:
+              step: Step, n_states: int, width: int, most: int) -> DataFrame:
     """Events of keys with more than ``width`` events: chunk functions + tree."""
-    levels, lo = _levels(ev, order, width)
-    since = F.col(order).cast(DecimalType(20, 0)) - F.lit(lo).cast(DecimalType(20, 0))
+    levels = _levels(most, width)
 
-    # level 1: chunks of at most `width` events, sorted, with their function
+    # level 1: chunks of `width` events, sorted, with their function
     chunks = cut_lineage(
-        ev.groupBy(key, _div(since, width).alias("c"))
+        ranked(ev, key, order).groupBy(key, _div(F.col("rank"), width).alias("c"))
           .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("evs"))
           .withColumn("fn", F.transform(
               F.sequence(F.lit(0), F.lit(n_states - 1)),
@@ -97,7 +103,7 @@ def _hot_scan(ev: DataFrame, key: str, order: str, cols: list[str], st: DataFram
     tiers = []  # per level >= 2: (key, c, children[struct(kc, kpre)])
     below = chunks.select(key, "c", "fn")
     for _ in range(2, levels + 1):
-        grouped = (below.groupBy(key, _div(F.col("c").cast(DecimalType(20, 0)), width).alias("p"))
+        grouped = (below.groupBy(key, _div(F.col("c"), width).alias("p"))
                    .agg(F.array_sort(F.collect_list(F.struct("c", "fn"))).alias("kids")))
         comp = grouped.select(key, "p", "kids", _compose(F.col("kids"), n_states).alias("x"))
         tier = cut_lineage(comp.select(
@@ -139,8 +145,9 @@ def fold_scan(events: DataFrame, key: str, order: str, fields: list[str], start:
             .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("evs"))
             .join(st, key))
     out = _replay(cool, key, step)
-    if not hot_keys.isEmpty():
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most > width:
         hot = ev.join(hot_keys, key, "left_semi")
-        out = out.unionByName(_hot_scan(hot, key, order, cols, st, step, n_states, width))
+        out = out.unionByName(_hot_scan(hot, key, order, cols, st, step, n_states, width, most))
     return out.withColumn("state_after",
                           step(F.col("state_before"), F.struct(*[F.col(c) for c in cols])).cast("int"))

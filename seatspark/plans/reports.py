@@ -1,7 +1,8 @@
 """Read reports over the booking tables.
 
 A key argument the reference takes from the URL is optional here: without it
-the report covers every key, which is the form run at scale. Aggregations are
+the report covers every key, which is the form run at scale; it may also be a
+table of keys (:mod:`.lookups`). Aggregations are
 pushed below joins by hand where the grouping key allows it (seat counts per
 booking, revenue per showtime before the movie join), because Catalyst does
 not move aggregates across joins itself.
@@ -17,13 +18,10 @@ from ..functions.columns import (all_of, as_total, contains_ci, customers_only,
                                  seats_or_full, sorted_ci, visible_to)
 from ..schemas import NO_PAYMENT, STAFF_ROLES
 from ..sources.tables import Tables, existing
+from .lookups import keyed
 from .views import active_holds_by_seat_showtime, booking_totals, showtime_free_lists, theater_seat_lists
 
 
-def _key(df: DataFrame, col: str, value) -> DataFrame:
-    return df if value is None else df.where(F.col(col) == value)
-
-
 def _show_info(t: Tables) -> DataFrame:
     """showtime_id -> movie title, theater name, date, price (J1 dimension side)."""
     return (t.showtime.join(t.movie.select("movie_id", "title"), "movie_id")
@@ -61,11 +59,11 @@ def genre_arrays(t: Tables) -> DataFrame:
     return t.movie_genre.groupBy("movie_id").agg(sorted_ci(F.collect_list("genre")).alias("genres"))
 
 
-def movie_detail(t: Tables, movie_id: int | None = None) -> DataFrame:
+def movie_detail(t: Tables, movie_id: int | DataFrame | None = None) -> DataFrame:
     """Movie columns that exist, producer name, genres array ([] when none)."""
     wanted = ["movie_id", "owner_id", "title", "duration"] + existing(
         t.movie, ["description", "poster_url", "rating"])
-    m = _key(t.movie, "movie_id", movie_id).select(*wanted)
+    m = keyed(t.movie, "movie_id", movie_id).select(*wanted)
     return (m.join(t.producer.select("owner_id", F.col("owner_name").alias("producer")),
                    "owner_id", "left")
             .join(genre_arrays(t), "movie_id", "left")
@@ -80,9 +78,9 @@ def genres_by_movie(t: Tables) -> DataFrame:
     return t.movie.select("movie_id", "title").join(g, "movie_id")
 
 
-def genre_list(t: Tables, movie_id: int | None = None) -> DataFrame:
+def genre_list(t: Tables, movie_id: int | DataFrame | None = None) -> DataFrame:
     """movie_id, genres array."""
-    return _key(genre_arrays(t), "movie_id", movie_id)
+    return keyed(genre_arrays(t), "movie_id", movie_id)
 
 
 def search_movies(t: Tables, title: str | None = None, genre: str | None = None,
@@ -107,8 +105,8 @@ def search_movies(t: Tables, title: str | None = None, genre: str | None = None,
             .orderBy(F.lower("title"), "title", "movie_id"))
 
 
-def _revenue(t: Tables, confirmed_only: bool, movie_id: int | None = None) -> DataFrame:
-    shows = _key(t.showtime.select("showtime_id", "movie_id"), "movie_id", movie_id)
+def _revenue(t: Tables, confirmed_only: bool, movie_id: int | DataFrame | None = None) -> DataFrame:
+    shows = keyed(t.showtime.select("showtime_id", "movie_id"), "movie_id", movie_id)
     booked = t.booking.select("booking_id", "showtime_id")
     if movie_id is not None:
         booked = booked.join(shows.select("showtime_id"), "showtime_id", "left_semi")
@@ -133,7 +131,7 @@ def top_movies(t: Tables, n: int = 1) -> DataFrame:
     return _revenue(t, True).orderBy(F.desc("total_revenue"), "movie_id").limit(n)
 
 
-def revenue_all_statuses(t: Tables, movie_id: int | None = None) -> DataFrame:
+def revenue_all_statuses(t: Tables, movie_id: int | DataFrame | None = None) -> DataFrame:
     """Every payment status summed per movie."""
     return _revenue(t, False, movie_id)
 
@@ -162,29 +160,35 @@ def seats_by_title(t: Tables, title: str) -> DataFrame:
                     joined(F.col("free")).alias("seats")))
 
 
-def seat_layout(t: Tables, showtime_id: int | None = None) -> DataFrame:
-    """Every seat of the showtime's theater, Booked or Available, by seat text."""
-    st = _key(t.showtime.select("showtime_id", "theater_id"), "showtime_id", showtime_id)
-    held = active_holds_by_seat_showtime(t)
-    out = (st.join(held, ["showtime_id", "theater_id"], "left")
-           .join(theater_seat_lists(t), "theater_id")
-           .select("showtime_id", F.coalesce("held", empty_strings()).alias("held"),
-                   F.explode("seats").alias("seat_number")))
+def seat_layout(t: Tables, showtime_id: int | DataFrame | None = None) -> DataFrame:
+    """Every seat of the showtime's theater, Booked or Available, by showtime and seat text.
+
+    Rows come out in order: showtimes are range-partitioned and sorted while
+    they are one row each, and their seat lists are sorted already, so the seat
+    rows that the explode makes need no sort of their own.
+    """
+    st = keyed(t.showtime.select("showtime_id", "theater_id"), "showtime_id", showtime_id)
+    held = active_holds_by_seat_showtime(t, None if showtime_id is None else st)
+    rows = (st.join(held, ["showtime_id", "theater_id"], "left")
+            .join(theater_seat_lists(t), "theater_id")
+            .select("showtime_id", F.coalesce("held", empty_strings()).alias("held"), "seats"))
+    out = (rows.repartitionByRange("showtime_id").sortWithinPartitions("showtime_id")
+           .select("showtime_id", "held", F.explode("seats").alias("seat_number")))
     return out.select(
         "showtime_id", "seat_number",
         F.when(F.array_contains("held", F.lower("seat_number")), "Booked")
          .otherwise("Available").alias("status"))
 
 
-def showtime_by_id(t: Tables, showtime_id: int | None = None) -> DataFrame:
+def showtime_by_id(t: Tables, showtime_id: int | DataFrame | None = None) -> DataFrame:
     """Every Showtime column."""
-    return _key(t.showtime, "showtime_id", showtime_id)
+    return keyed(t.showtime, "showtime_id", showtime_id)
 
 
 # ---- bookings -------------------------------------------------------------------------
 
-def _history(t: Tables, user_id: int | None = None) -> DataFrame:
-    b = _key(t.booking.select("booking_id", "user_id", "showtime_id", "status"), "user_id", user_id)
+def _history(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
+    b = keyed(t.booking.select("booking_id", "user_id", "showtime_id", "status"), "user_id", user_id)
     some = None if user_id is None else b
     pay = t.payment if some is None else t.payment.join(b.select("booking_id"), "booking_id", "left_semi")
     pay = pay.select("booking_id", F.col("status").alias("p_status"), "amount").distinct()
@@ -198,7 +202,7 @@ def _history(t: Tables, user_id: int | None = None) -> DataFrame:
         F.coalesce(as_total("amount"), seat_total("seat_count", "price")).alias("total_amount")))
 
 
-def booking_history(t: Tables, user_id: int | None = None) -> DataFrame:
+def booking_history(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
     """Bookings with seats, their payment ('NoPayment' when none), newest show first.
 
     One row per (booking, distinct payment status and amount), as the
@@ -207,41 +211,41 @@ def booking_history(t: Tables, user_id: int | None = None) -> DataFrame:
     return _history(t, user_id).orderBy(F.desc("show_date"), "booking_id")
 
 
-def pending_summary(t: Tables, user_id: int | None = None) -> DataFrame:
+def pending_summary(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
     """Per customer, Pending bookings (with seats) and their total; zeros kept."""
-    mine = t.with_(booking=_key(t.booking, "user_id", user_id).where(F.col("status") == "Pending"))
+    mine = t.with_(booking=keyed(t.booking, "user_id", user_id).where(F.col("status") == "Pending"))
     if user_id is not None:
         mine = mine.with_(booking_seat=t.booking_seat.join(mine.booking.select("booking_id"), "booking_id", "left_semi"))
     pend = (booking_totals(mine)
             .groupBy("user_id")
             .agg(F.count("booking_id").alias("total_bookings"),
                  F.sum("total_price").alias("total_pending")))
-    u = _key(customers_only(t.users.select("user_id", "role")), "user_id", user_id)
+    u = keyed(customers_only(t.users.select("user_id", "role")), "user_id", user_id)
     return (u.join(pend, "user_id", "left")
             .select("user_id",
                     F.coalesce("total_bookings", F.lit(0)).cast("long").alias("total_bookings"),
                     as_total(F.coalesce("total_pending", F.lit(0))).alias("total_pending")))
 
 
-def booking_detail(t: Tables, booking_id: int | None = None, caller_id: int | None = None,
+def booking_detail(t: Tables, booking_id: int | DataFrame | None = None, caller_id: int | None = None,
                    role: str | None = None) -> DataFrame:
     """A booking with its showtime, movie and theater."""
-    b = _key(t.booking, "booking_id", booking_id)
+    b = keyed(t.booking, "booking_id", booking_id)
     out = (b.join(_show_info(t), "showtime_id")
            .select("booking_id", "user_id", "showtime_id", "status", "booking_date",
                    "title", "theater_name", "show_date", "price"))
     return visible_to(out, caller_id, role)
 
 
-def bookings(t: Tables, user_id: int | None = None) -> DataFrame:
+def bookings(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
     """Every Booking column (all bookings, or one user's)."""
-    return _key(t.booking, "user_id", user_id)
+    return keyed(t.booking, "user_id", user_id)
 
 
-def payment_record(t: Tables, booking_id: int | None = None, caller_id: int | None = None,
+def payment_record(t: Tables, booking_id: int | DataFrame | None = None, caller_id: int | None = None,
                    role: str | None = None) -> DataFrame:
     """Payments of existing bookings; customers see only their own."""
-    p = _key(t.payment, "booking_id", booking_id)
+    p = keyed(t.payment, "booking_id", booking_id)
     cols = ["payment_id", "booking_id", "amount", "status", "payment_date"]
     if role in STAFF_ROLES or (caller_id is None and role is None):
         return p.join(t.booking.select("booking_id"), "booking_id", "left_semi").select(*cols)
@@ -249,9 +253,9 @@ def payment_record(t: Tables, booking_id: int | None = None, caller_id: int | No
     return visible_to(owned, caller_id, role).select(*cols)
 
 
-def pay_quote(t: Tables, booking_id: int | None = None) -> DataFrame:
+def pay_quote(t: Tables, booking_id: int | DataFrame | None = None) -> DataFrame:
     """What paying would charge: seats (0 kept) x current price, per payment row."""
-    b = _key(t.booking.select("booking_id", "user_id", "status", "showtime_id"),
+    b = keyed(t.booking.select("booking_id", "user_id", "status", "showtime_id"),
              "booking_id", booking_id)
     pay = t.payment.select("booking_id", "payment_id", F.col("status").alias("payment_status"))
     rows = (b.join(_seat_counts(t, None if booking_id is None else b), "booking_id", "left")
@@ -271,19 +275,19 @@ def staff_bookings(t: Tables) -> DataFrame:
             .orderBy(F.desc("show_date"), "booking_id"))
 
 
-def staff_check(t: Tables, booking_id: int | None = None) -> DataFrame:
+def staff_check(t: Tables, booking_id: int | DataFrame | None = None) -> DataFrame:
     """Booking, customer name, title, show date, status."""
     st = t.showtime.select("showtime_id", "movie_id", "show_date").join(
         t.movie.select("movie_id", "title"), "movie_id")
-    return (_key(t.booking, "booking_id", booking_id)
+    return (keyed(t.booking, "booking_id", booking_id)
             .join(t.users.select("user_id", "name"), "user_id")
             .join(st, "showtime_id")
             .select("booking_id", "name", "title", "show_date", "status"))
 
 
-def user_bookings(t: Tables, user_id: int | None = None) -> DataFrame:
+def user_bookings(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
     """A user's bookings with title, theater, date and price (user_id kept)."""
-    return (_key(t.booking.select("booking_id", "user_id", "showtime_id"), "user_id", user_id)
+    return (keyed(t.booking.select("booking_id", "user_id", "showtime_id"), "user_id", user_id)
             .join(_show_info(t), "showtime_id")
             .select("user_id", "booking_id", "title", "theater_name", "show_date", "price"))
 
@@ -294,21 +298,21 @@ def customers_without_booking(t: Tables) -> DataFrame:
             .select("user_id", "name"))
 
 
-def user_profile(t: Tables, user_id: int | None = None, caller_id: int | None = None,
+def user_profile(t: Tables, user_id: int | DataFrame | None = None, caller_id: int | None = None,
                  role: str | None = None) -> DataFrame:
     """user_id, name, email, role; customers see only themselves."""
-    return visible_to(_key(user_list(t), "user_id", user_id), caller_id, role)
+    return visible_to(keyed(user_list(t), "user_id", user_id), caller_id, role)
 
 
-def held_totals(t: Tables, booking_id: int | None = None) -> DataFrame:
+def held_totals(t: Tables, booking_id: int | DataFrame | None = None) -> DataFrame:
     """Seats held x price of the held seat's showtime, per booking and showtime."""
-    per = (_key(t.booking_seat, "booking_id", booking_id)
+    per = (keyed(t.booking_seat, "booking_id", booking_id)
            .groupBy("booking_id", "showtime_id").agg(F.count("seat_number").alias("n")))
     return (per.join(t.showtime.select("showtime_id", "price"), "showtime_id")
             .select("booking_id", "showtime_id", seat_total("n", "price").alias("total_price")))
 
 
-def booking_flags(t: Tables, user_id: int | None = None) -> DataFrame:
+def booking_flags(t: Tables, user_id: int | DataFrame | None = None) -> DataFrame:
     """UI flags on the history rows: can pay, can check in."""
     h = _history(t, user_id)
     return h.select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import actively_held, all_of, seat_total, sorted_ci, without
 from ..sources.tables import Tables
+from .lookups import keyed
 
 
 # ---- building blocks --------------------------------------------------------
@@ -38,18 +39,25 @@ def active_holds_by_booking_showtime(t: Tables, showtimes: DataFrame | None = No
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
 
-def active_holds_by_seat_showtime(t: Tables) -> DataFrame:
-    """(showtime_id of the held seat, theater_id) -> seats held by active bookings."""
+def _seats_of(t: Tables, showtimes: DataFrame | None) -> DataFrame:
+    """Held seats, of some showtimes only if they are given."""
+    if showtimes is None:
+        return t.booking_seat
+    return t.booking_seat.join(showtimes.select("showtime_id"), "showtime_id", "left_semi")
+
+
+def active_holds_by_seat_showtime(t: Tables, showtimes: DataFrame | None = None) -> DataFrame:
+    """(showtime_id of the held seat, theater_id) -> seats held by active bookings; of ``showtimes`` only, if given."""
     active = t.booking.where(actively_held("status")).select("booking_id")
-    return (t.booking_seat.select("booking_id", "showtime_id", "theater_id", "seat_number")
+    return (_seats_of(t, showtimes).select("booking_id", "showtime_id", "theater_id", "seat_number")
             .join(active, "booking_id", "left_semi")
             .groupBy("showtime_id", "theater_id")
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
 
-def any_holds(t: Tables) -> DataFrame:
-    """showtime_id -> every seat with a Booking_Seat row, whatever the booking status."""
-    return (t.booking_seat.groupBy("showtime_id")
+def any_holds(t: Tables, showtimes: DataFrame | None = None) -> DataFrame:
+    """showtime_id -> every seat with a Booking_Seat row, whatever the booking status; of ``showtimes`` only, if given."""
+    return (_seats_of(t, showtimes).groupBy("showtime_id")
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
 
 
@@ -85,25 +93,21 @@ def confirmed_bookings(t: Tables) -> DataFrame:
     return t.booking.where(F.col("status") == "Confirmed")
 
 
-def available_seats(t: Tables, showtime_id: int | None = None) -> DataFrame:
+def available_seats(t: Tables, showtime_id: int | DataFrame | None = None) -> DataFrame:
     """R9 Available_Seats: seats of the showtime's theater with no active hold.
 
     A hold counts when its booking is Pending or Confirmed and the booking's
     showtime is this showtime; Cancelled and Used bookings free the seat.
     """
-    st = t.showtime.select("showtime_id", "theater_id")
-    if showtime_id is not None:
-        st = st.where(F.col("showtime_id") == showtime_id)
+    st = keyed(t.showtime.select("showtime_id", "theater_id"), "showtime_id", showtime_id)
     return (free_seat_lists(t, st, showtime_id is not None)
             .select(F.explode("free").alias("seat_number"), "theater_id", "showtime_id"))
 
 
-def bookable_seats(t: Tables, showtime_id: int | None = None) -> DataFrame:
+def bookable_seats(t: Tables, showtime_id: int | DataFrame | None = None) -> DataFrame:
     """Seats a new booking may take: no Booking_Seat row at all for the showtime."""
-    st = t.showtime.select("showtime_id", "theater_id")
-    if showtime_id is not None:
-        st = st.where(F.col("showtime_id") == showtime_id)
-    return (st.join(any_holds(t), "showtime_id", "left")
+    st = keyed(t.showtime.select("showtime_id", "theater_id"), "showtime_id", showtime_id)
+    return (st.join(any_holds(t, None if showtime_id is None else st), "showtime_id", "left")
             .join(theater_seat_lists(t), "theater_id")
             .select(F.explode(without(F.col("seats"), F.col("held"))).alias("seat_number"),
                     "theater_id", "showtime_id"))

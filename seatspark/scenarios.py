@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.admit import admit_bookings
+from .operators.audit import audit
 from .operators.dml import (delete_cascade, insert_rows, patch_movies, register_users,
                             replace_showtimes, table_sizes)
 from .operators.events import apply_booking_events
@@ -17,7 +18,8 @@ from .operators.moves import reassign_bookings
 from .plans.views import register_views
 from .sources.bridge import bridge_tables, read_source
 from .sources.tables import Tables
-from .sources.requests import booking_events_from, booking_requests_from, with_actor
+from .sources.requests import (booking_events_from, booking_requests_from, form_rows_from, parse_payloads,
+                               payload_lines_from, requests_from_text, with_actor)
 
 
 def _tables(spark: SparkSession, sf_dir: str, t: Tables | None) -> Tables:
@@ -140,11 +142,11 @@ def movie_patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movie_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, _, _, _ = _counts(spark, sf_dir)
+    """Every part names its movie or an unknown one."""
     p = F.col("p_partkey")
-    return (part.where((p % 10 == 3) | (p % 10 == 4))
-            .select(p.cast("long").alias("request_id"),
-                    F.when(p % 10 == 3, p).otherwise(p + BIG).cast("long").alias("movie_id")))
+    return read_source(spark, sf_dir, "part").select(
+        p.cast("long").alias("request_id"),
+        F.when(p % 10 == 3, p).otherwise(p + BIG).cast("long").alias("movie_id"))
 
 
 def showtime_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,3 +300,92 @@ def insert_genres(spark, sf_dir, t=None):
 
 def insert_showtimes(spark, sf_dir, t=None):
     return insert_rows(_tables(spark, sf_dir, t), "showtime", showtime_insert_rows(spark, sf_dir))
+
+
+def dirty_tables(t: Tables) -> Tables:
+    """The bridge tables with every kind of violation, prices, amounts and ratings of other types than the schema's."""
+    u, b, p = F.col("user_id"), F.col("booking_id"), F.col("payment_id")
+    mail = (F.when(u % 70 == 3, F.concat(F.lit("U"), (u - 1).cast("string"), F.lit("@EXAMPLE.COM")))
+            .when(u % 90 != 5, F.col("email")))
+    text = F.col("amount").cast("string")
+    amount = (F.when(b % 37 == 0, "n/a").when(b % 41 == 0, (F.col("amount") * 10000).cast("string")).otherwise(text))
+    show = F.col("showtime_id")
+    return t.with_(
+        users=t.users.withColumns({"name": F.when(u % 80 == 4, F.repeat("name", F.lit(8))).otherwise(F.col("name")),
+                                   "email": mail}),
+        movie=t.movie.withColumn("rating", (3 * F.col("rating")).cast("string")).unionByName(
+            t.movie.where(F.col("movie_id") % 101 == 0).withColumn("rating", F.col("rating").cast("string"))),
+        showtime=t.showtime.withColumn("price", F.when(show % 83 == 0, F.col("price") * 1000000).otherwise(F.col("price"))
+                                       .cast("decimal(18,2)")),
+        booking=t.booking.where(b % 71 != 0).withColumns({
+            "user_id": F.when(b % 59 != 0, u), "showtime_id": F.when(b % 61 == 0, show + 1).otherwise(show),
+            "status": F.when(b % 53 == 0, "Lost").otherwise(F.col("status"))}),
+        booking_seat=t.booking_seat.withColumn(
+            "theater_id", F.when(b % 67 == 0, F.col("theater_id") + 1).otherwise(F.col("theater_id"))).unionByName(
+            t.booking_seat.where(b % 73 == 0).withColumn("booking_id", b + 1)),
+        payment=t.payment.withColumn("amount", amount).unionByName(
+            t.payment.where(b % 50 < 2).withColumns({
+                "amount": text, "payment_id": F.when(b % 2 == 0, p).otherwise(p + 500000000)})))
+
+
+def audit_dirty(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    """The audit of tables that violate every rule somewhere."""
+    return audit(dirty_tables(_tables(spark, sf_dir, t)))
+
+
+# ---- key tables, payloads, callers --------------------------------------------------
+
+def error_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with an error event: a key table, each user many times over."""
+    return read_source(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id")
+
+
+def urgent_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings of urgent orders, by their key; some orders have no booking."""
+    return read_source(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_orderkey").alias("booking_id"))
+
+
+def dear_showtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Showtimes of large parts."""
+    return read_source(spark, sf_dir, "part").where(F.col("p_size") > 45).select(
+        (F.col("p_partkey") * 2 + 1).alias("showtime_id"))
+
+
+def by_keys(report, keys, **options):
+    """A report for the keys of a table, made from the same source tables."""
+    return lambda spark, sf_dir, t=None: report(_tables(spark, sf_dir, t), keys(spark, sf_dir), **options)
+
+
+#: When a request without a time is dated.
+AS_OF = "2026-01-01 00:00:00"
+
+
+def payload_admission(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+    """Every order's request as a JSON line or as form text, some malformed; requests without a time get AS_OF."""
+    requests = booking_requests_from(spark, sf_dir)
+    good, bad = parse_payloads(payload_lines_from(requests))
+    typed = requests_from_text(form_rows_from(requests))
+    nxt, outcomes = admit_bookings(_tables(spark, sf_dir, t), good.unionByName(typed),
+                                   as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+    return nxt, outcomes.withColumn("raw", F.lit(None).cast("string")).unionByName(
+        bad.select(F.lit(None).cast("long").alias("request_id"), "outcome", F.lit(None).cast("long").alias("booking_id"), "raw"))
+
+
+def user_create_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts of every role: ids and e-mails that clash in chains, request ids repeated, missing and malformed."""
+    c = F.col("c_custkey")
+    mail = F.concat(F.lit("Link"), F.floor((c + 1) / 2).cast("string"), F.lit("@example.com"))
+    return read_source(spark, sf_dir, "customer").select(
+        F.when(c % 331 == 0, "none").when(c % 337 == 0, F.lit(None)).when(c % 341 == 0, (c - 1).cast("string"))
+         .otherwise(c.cast("string")).alias("request_id"),
+        F.when(c % 343 == 0, "x").otherwise((F.lit(BIG) + F.floor(c / 2)).cast("string")).alias("user_id"),
+        F.col("c_name").alias("name"),
+        F.when(c % 4 < 2, mail).otherwise(F.lower(mail)).alias("email"),
+        F.lit("pw").alias("password"),
+        F.when(c % 347 == 0, "").when(c % 3 == 0, "staff").when(c % 3 == 1, "admin").otherwise("customer").alias("role"))
+
+
+def create_users(spark, sf_dir, t=None):
+    """Accounts made by an admin: any role, all fields required."""
+    return insert_rows(_tables(spark, sf_dir, t), "users", user_create_rows(spark, sf_dir))

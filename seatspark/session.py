@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # lookups by a key table: a Bloom filter of the keys runs in scans from this size on
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
 }
 
 
@@ -67,11 +71,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint: materialise ``df`` in the shared checkpoint folder.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder.
 
     Used where an iterative plan would otherwise grow without bound, and where
     a non-deterministic step (ids from partition positions) must not be
-    recomputed differently after an executor is lost.
+    recomputed differently after an executor is lost. Unlike a checkpointed
+    plan, which keeps the size estimate of the plan it replaces (a product over
+    all joins, growing with every round of a loop) and is computed twice, the
+    table is computed once and has its true size, so small ones are broadcast.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "cut")
+
+
+def stored(df, name: str):
+    """Write ``df`` as Parquet to the shared folder and read it back, with its size known to the planner."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

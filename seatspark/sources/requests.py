@@ -17,15 +17,44 @@ SET_STATUSES = ("Pending", "Confirmed", "Cancelled", "Used", "Lost", "")
 EVENTS_PER_BOOKING = 5
 
 
+KINDS = {"booking": BOOKING_REQUEST, "event": BOOKING_EVENT, "move": BOOKING_MOVE}
+RAW = "raw"  # the column that keeps the text of a malformed payload
+
+
 def read_requests(spark: SparkSession, path: str, kind: str = "booking",
                   fmt: str = "json") -> DataFrame:
     """Request payloads (one JSON object per line) with a fixed schema.
 
     PERMISSIVE mode: a malformed line becomes a row of nulls, which the
     change operators refuse as missing fields instead of failing the batch.
+    :func:`read_payloads` keeps the text of such lines as well.
+    """
+    return spark.read.schema(KINDS[kind]).option("mode", "PERMISSIVE").format(fmt).load(path)
+
+
+def parse_payloads(lines: DataFrame, kind: str = "booking") -> tuple[DataFrame, DataFrame]:
+    """``lines`` (``value``: a JSON object each) -> (requests, malformed).
+
+    A line that is no JSON object, or has a value of another type than the
+    schema's, goes to ``malformed`` (outcome, raw), which keeps its text;
+    nothing of it reaches the requests. Empty and null lines are skipped, as a
+    text reader does. Absent fields are null.
     """
-    schema = {"booking": BOOKING_REQUEST, "event": BOOKING_EVENT, "move": BOOKING_MOVE}[kind]
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").format(fmt).load(path)
+    schema = KINDS[kind]
+    wide = schema.simpleString()[len("struct<"):-1]
+    parsed = (lines.where(F.trim(F.coalesce("value", F.lit(""))) != "")
+              .select("value", F.from_json("value", f"struct<{wide},{RAW}:string>",
+                                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW}).alias("p")))
+    # a JSON value that is no object parses to null fields without being corrupt
+    whole = F.col(f"p.{RAW}").isNull() & F.col("value").rlike(r"^\s*\{")
+    good = parsed.where(whole).select(*[F.col(f"p.{f.name}").alias(f.name) for f in schema.fields])
+    bad = parsed.where(~whole).select(F.lit("malformed").alias("outcome"), F.col("value").alias(RAW))
+    return good, bad
+
+
+def read_payloads(spark: SparkSession, path: str, kind: str = "booking") -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_payloads` over the lines of text files."""
+    return parse_payloads(spark.read.text(path), kind)
 
 
 def booking_requests_from(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +111,29 @@ def requests_from_text(df: DataFrame) -> DataFrame:
     """
     text = F.col("seats_text")
     seats = F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(split_seat_text(text))
-    return df.select(F.col("request_id").cast("long"), F.col("user_id").cast("long"),
-                     F.col("showtime_id").cast("long"), seats.alias("seats"),
+    return df.select(F.col("request_id").try_cast("long").alias("request_id"),
+                     F.col("user_id").try_cast("long").alias("user_id"),
+                     F.col("showtime_id").try_cast("long").alias("showtime_id"), seats.alias("seats"),
                      F.lit(None).cast(TS).alias("requested_at"))
+
+
+def payload_lines_from(requests: DataFrame) -> DataFrame:
+    """Requests as JSON lines (``value``), for two thirds of the request_ids; every 29th line is cut off,
+    every 31st has a text for a user, every 37th is a list."""
+    r = F.col("request_id")
+    whole = F.to_json(F.struct("request_id", "user_id", "showtime_id", "seats"))
+    head = F.concat(F.lit('{"request_id":'), r.cast("string"))
+    return requests.where(r % 3 != 1).select(
+        F.when(r % 29 == 0, F.concat(head, F.lit(',"seats":["1"')))
+         .when(r % 31 == 0, F.concat(head, F.lit(',"user_id":"nobody","showtime_id":1,"seats":["1"]}')))
+         .when(r % 37 == 0, F.concat(F.lit("["), r.cast("string"), F.lit("]")))
+         .otherwise(whole).alias("value"))
+
+
+def form_rows_from(requests: DataFrame) -> DataFrame:
+    """The other third as form input: the seats typed as one text, with odd blanks; every 41st user is no number."""
+    r = F.col("request_id")
+    typed = F.concat(F.lit(" "), F.array_join("seats", " ,  "))
+    return requests.where(r % 3 == 1).select(
+        "request_id", F.when(r % 41 == 0, "nobody").otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        "showtime_id", typed.alias("seats_text"))

@@ -4,15 +4,20 @@ import random
 
 import pytest
 from conftest import SEED, d, rows, ts
+from pyspark.sql import functions as F
 
+from seatspark.operators import dml
 from seatspark.operators.admit import admit_bookings
 from seatspark.operators.audit import violations_only
 from seatspark.operators.dml import (delete_cascade, insert_rows, patch_movies, register_users,
                                      replace_showtimes, table_sizes)
 from seatspark.operators.events import apply_booking_events
 from seatspark.operators.ids import next_ids
+from seatspark.operators.links import connected_components
 from seatspark.operators.moves import reassign_bookings
+from seatspark.operators.scan import ranked
 from seatspark.schemas import BOOKING_EVENT, BOOKING_MOVE, BOOKING_REQUEST, MOVIE_PATCH
+from seatspark.sources.tables import tables_from_rows
 
 # ---- M1 ----------------------------------------------------------------------------
 
@@ -404,3 +409,211 @@ def test_register_without_a_role_column(spark, seed):
     nxt, out = register_users(seed, new)
     assert rows(out, "outcome") == [("inserted",)]
     assert rows(nxt.users.where("user_id = 50"), "role") == [("customer",)]
+
+
+# ---- admission by folds: all sizes, few jobs --------------------------------------------
+
+def _jobs(spark, fn):
+    """Jobs that ``fn`` starts."""
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        fn()
+    finally:
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
+def _hot_requests(n, seats, seed_value):
+    """A third of all requests want seat 1 of one showtime, the others of it a few seats."""
+    rnd = random.Random(seed_value)
+    out = []
+    for rid in rnd.sample(range(1, 50 * n), n):
+        kind = rnd.random()
+        if kind < 0.33:
+            out.append((rid, rnd.choice([1, 2, 3, 6]), 15, ["1"] + rnd.sample(seats, rnd.choice([0, 1]))))
+        elif kind < 0.8:
+            out.append((rid, rnd.choice([1, 2, 77]), 15, rnd.sample(seats, rnd.choice([1, 2, 3]))))
+        else:
+            out.append((rid, 1, 12, rnd.sample(seats, 2)))
+    return out
+
+
+@pytest.mark.parametrize("width", [2, 40, 4096])
+def test_admission_is_the_same_at_every_width(spark, seed, width):
+    seats = [str(k) for k in range(1, 131)]  # three words of bits
+    tables = {**SEED, "seat": [(s, 8) for s in seats] + [("1", 7), ("1", 9)], "booking_seat": [(204, "1", 8, 12)]}
+    t = tables_from_rows(spark, tables)
+    reqs = _hot_requests(120, seats, 5)
+    _, out = admit_bookings(t, _requests(spark, reqs), width=width)
+    assert rows(out) == _admit_model(tables, reqs)
+
+
+def test_admission_takes_few_jobs_whatever_the_seats(spark, seed):
+    def run(n_seats):
+        seats = [str(k) for k in range(1, n_seats + 1)]
+        t = tables_from_rows(spark, {**SEED, "seat": [(s, 8) for s in seats], "booking_seat": []})
+        # each request clashes with the one before it, so rounds of lowest claimants would follow the chain
+        reqs = [(k, 1, 15, [str(k), str(k + 1)]) for k in range(1, n_seats)]
+        result = {}
+        jobs = _jobs(spark, lambda: result.update(out=rows(admit_bookings(t, _requests(spark, reqs))[1], "request_id", "outcome")))
+        assert result["out"] == [(k, "accepted" if k % 2 else "already_booked") for k in range(1, n_seats)]
+        return jobs
+
+    run(10)
+    assert run(120) <= run(10) + 2
+
+
+def test_seats_that_differ_in_case_only_do_not_fail_admission(spark, seed):
+    t = tables_from_rows(spark, {**SEED, "seat": SEED["seat"] + [("a", 8)]})
+    _, out = admit_bookings(t, _requests(spark, [(1, 6, 15, ["a"]), (2, 6, 15, ["A"]), (3, 6, 15, ["2"])]))
+    assert rows(out, "request_id", "outcome") == [(1, "accepted"), (2, "already_booked"), (3, "accepted")]
+
+
+# ---- users: two keys that interact -----------------------------------------------------
+
+USER = "request_id long, user_id long, name string, email string, password string, role string"
+
+
+def _users_model(tables, new):
+    """One at a time; what the table holds already is looked at first."""
+    old_ids, old_mails = {u[0] for u in tables["users"]}, {u[2].lower() for u in tables["users"]}
+    ids, mails, out = set(), set(), []
+    for rid, uid, name, mail, pw, role in sorted(new):
+        if uid in old_ids:
+            out.append((rid, "duplicate_key"))
+        elif mail.lower() in old_mails:
+            out.append((rid, "duplicate_email"))
+        elif uid in ids or mail.lower() in mails:
+            out.append((rid, "duplicate_key" if uid in ids else "duplicate_email"))
+        else:
+            out.append((rid, "inserted"))
+            ids.add(uid)
+            mails.add(mail.lower())
+    return sorted(out)
+
+
+def _chain(n):
+    """Requests k and k+1 share an id or an e-mail in turn: one component of n rows, decided from its beginning."""
+    return [(k, 100 + k // 2, "N", f"m{(k + 1) // 2}@x.io", "pw", "customer") for k in range(1, n + 1)]
+
+
+def test_a_chain_of_10000_users_takes_as_many_jobs_as_a_short_one(spark, seed):
+    def run(n):
+        new, result = _chain(n), {}
+        df = spark.createDataFrame(new, USER)
+        jobs = _jobs(spark, lambda: result.update(out=rows(insert_rows(seed, "users", df)[1])))
+        assert result["out"] == _users_model(SEED, new)
+        return jobs
+
+    short, long = run(200), run(10_000)
+    assert long <= 2 * short
+
+
+@pytest.mark.parametrize("fold_rows", [12, 20_000])
+def test_user_inserts_match_the_one_by_one_model(spark, seed, fold_rows):
+    rnd = random.Random(fold_rows)
+    new = [(rid, rnd.choice([7, rnd.randint(8, 60)]), "N", rnd.choice(["Hot@x.io", f"M{rnd.randint(1, 40)}@x.io", "m3@X.io", "ann@x.io"]),
+            "pw", "customer") for rid in rnd.sample(range(5000), 90)]
+    new += [(6000 + rid, 300 + uid, n, "c" + m, p, r) for rid, uid, n, m, p, r in _chain(16)]
+    rnd.shuffle(new)
+    nxt, out = dml._insert_users(seed, spark.createDataFrame(new, USER).repartition(3), fold_rows)
+    assert rows(out) == _users_model(SEED, new)
+    assert not {r["rule"] for r in violations_only(nxt).collect()} & {"primary_key", "unique"}
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rnd = random.Random(3)
+    names = rnd.sample(range(10_000), 700)
+    edges = list(zip(names[:500], names[1:500])) + [(names[500], x) for x in names[501:600]] + [(names[600], names[600])]
+    edges += [(names[601], names[602])] * 3 + [(None, names[603])]
+    rnd.shuffle(edges)
+    got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")))
+    want = {x: min(names[:500]) for x in names[:500]} | {x: min(names[500:600]) for x in names[500:600]}
+    want |= {x: min(names[601:603]) for x in names[601:603]}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+# ---- batches with missing, repeated and malformed ids and values ------------------------
+
+def _by_request(out):
+    return sorted((r["request_id"] if r["request_id"] is not None else -1, r["outcome"]) for r in out.collect())
+
+
+def test_inserts_with_repeated_missing_and_malformed_ids(spark, seed):
+    new = spark.createDataFrame([("1", "9", "Again"), ("2", "20", "A"), ("2", "20", "B"), (None, "21", "C"), ("x", "22", "D"),
+                                 ("5", "abc", "E"), ("6", "23", "F")], "request_id string, theater_id string, theater_name string")
+    nxt, out = insert_rows(seed, "theater", new)
+    assert _by_request(out) == [(-1, "missing_fields"), (-1, "missing_fields"), (1, "duplicate_key"), (2, "duplicate_request"),
+                                (2, "duplicate_request"), (5, "missing_fields"), (6, "inserted")]
+    assert rows(nxt.theater, "theater_id") == [(7,), (8,), (9,), (23,)]
+
+
+def test_users_with_repeated_missing_and_malformed_ids(spark, seed):
+    new = spark.createDataFrame(
+        [("1", "70", "A", "a@x", "p", None), ("1", "70", "A", "a@x", "p", None), (None, "71", "B", "b@x", "p", None),
+         ("3", "abc", "C", "c@x", "p", None), ("4", "72", "D", "d@x", "p", "admin"), ("5", "73", "E", "e@x", "p", None)],
+        "request_id string, user_id string, name string, email string, password string, role string")
+    nxt, out = register_users(seed, new)
+    assert _by_request(out) == [(-1, "missing_fields"), (1, "duplicate_request"), (1, "duplicate_request"),
+                                (3, "missing_fields"), (4, "role_not_allowed"), (5, "inserted")]
+    assert rows(nxt.users.where("user_id > 6"), "user_id") == [(73,)]
+
+
+def test_replacements_patches_and_deletes_survive_bad_rows(spark, seed):
+    reps = spark.createDataFrame([("1", "11", "501", "7", "100"), ("2", "x", "501", "7", "100")],
+                                 "request_id string, showtime_id string, movie_id string, theater_id string, price string")
+    _, out = replace_showtimes(seed, reps)  # without a show_date
+    assert _by_request(out) == [(1, "missing_fields"), (2, "missing_fields")]
+    given = reps.selectExpr("*", "'2026-08-01 10:00:00' show_date")
+    nxt, out = replace_showtimes(seed, given.unionByName(given))
+    assert _by_request(out) == [(1, "duplicate_request")] * 2 + [(2, "duplicate_request")] * 2
+    patches = spark.createDataFrame([("1", "abc", {"title": "x"}), (None, "501", {"title": "y"}), ("3", "501", {"title": "z"})],
+                                    "request_id string, movie_id string, patch map<string,string>")
+    nxt, out = patch_movies(seed, patches)
+    assert _by_request(out) == [(-1, "missing_fields"), (1, "not_found"), (3, "updated")]
+    keys = spark.createDataFrame([("1", "abc"), ("2", "503"), ("2", "501"), (None, "502"), ("4", "502")], "request_id string, movie_id string")
+    nxt, out = delete_cascade(seed, "movie", keys)
+    assert _by_request(out) == [(-1, "missing_fields"), (1, "not_found"), (2, "duplicate_request"), (2, "duplicate_request"), (4, "deleted")]
+    assert rows(nxt.movie, "movie_id") == [(501,), (503,)]
+
+
+def test_an_amount_too_large_fails_its_event_or_move_only(spark, seed):
+    dear = seed.showtime.withColumn("price", F.expr("case when showtime_id in (11, 13) then 99999999.99 else price end")
+                                    .cast("decimal(10,2)"))
+    t = seed.with_(showtime=dear)
+    nxt, out = apply_booking_events(t, _events(spark, [(201, 1, "refund", 1, None), (201, 2, "set_status", 1, "Pending"),
+                                                       (201, 3, "pay", 1, None), (205, 4, "pay", 2, None)]))
+    assert rows(out, "seq", "outcome") == [(1, "ok"), (2, "ok"), (3, "amount_too_large"), (4, "ok")]
+    nxt, out = reassign_bookings(t, spark.createDataFrame(
+        [(1, 202, 2, None, ["2", "3x"]), (2, 206, 3, 13, ["2", "3"]), (3, 205, 2, None, ["2"])], BOOKING_MOVE))
+    assert rows(out) == [(1, "seat_not_found"), (2, "amount_too_large"), (3, "moved")]
+    assert rows(nxt.booking_seat.where("booking_id = 206"), "showtime_id") == [(14,)]
+
+
+@pytest.mark.parametrize("width", [2, 1024])
+def test_events_that_share_an_order_are_refused(spark, seed, width):
+    evs = [(202, 5, "cancel", 2, None), (202, 5, "use", 2, None), (205, 5, "use", 2, None)] + [
+        (202, 1000 ** k, "set_status", 2, "Used" if k % 2 else "Pending") for k in range(6)]
+    nxt, out = apply_booking_events(seed, _events(spark, evs), width=width)
+    assert sorted(rows(out, "booking_id", "seq", "outcome")) == sorted(
+        [(202, 5, "duplicate_event")] * 2 + [(205, 5, "ok")] + [(202, 1000 ** k, "ok") for k in range(6)])
+    assert dict(rows(nxt.booking, "booking_id", "status"))[202] == "Used"
+
+
+def test_chunks_hold_width_events_however_sparse_the_order(spark):
+    evs = spark.createDataFrame([(1, 10 ** 15 * k) for k in range(50)] + [(2, k) for k in range(7)], "k long, o long")
+    got = rows(ranked(evs.repartition(5), "k", "o"), "k", "o", "rank")
+    assert got == [(1, 10 ** 15 * k, k) for k in range(50)] + [(2, k, k) for k in range(7)]
+
+
+@pytest.mark.parametrize("table, key", [("movie", "movie_id"), ("theater", "theater_id"), ("users", "user_id")])
+def test_cascades_leave_no_orphans(spark, seed, table, key):
+    value = seed.get(table).agg(F.min(key)).first()[0]
+    nxt, out = delete_cascade(seed, table, spark.createDataFrame([(1, value)], f"request_id long, {key} long"))
+    assert rows(out) == [(1, "deleted")]
+    before = {(r["table_name"], r["columns"]) for r in violations_only(seed).collect() if r["rule"] == "foreign_key"}
+    after = {(r["table_name"], r["columns"]) for r in violations_only(nxt).collect() if r["rule"] == "foreign_key"}
+    assert after <= before
