@@ -1,17 +1,17 @@
 """Token ids of whole text columns by a public tokenizer file.
 
-Texts are cut before a single space between two visible characters; neither of
-the pre-tokenizers used here forms a token across that place. Each distinct
-piece is encoded once by the tokenizers library and kept, so a text costs a
-hash and a look-up for each word. Texts that hold the string of a special token
-in any case are given to the tokenizer whole.
+Texts are cut before a single space between two visible characters (what may be
+white space beyond ASCII counts as none); neither of the pre-tokenizers used
+here forms a token across that place. Each distinct piece is encoded once by
+the tokenizers library and kept, so a text costs a hash and a look-up for each
+word. Texts that hold the string of a special token in any case are given to
+the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain
 
 import numpy as np
 
@@ -21,6 +21,17 @@ KEPT_PIECES = 1 << 20  # the kept pieces are forgotten beyond this number
 _encoders: dict[str, "PieceEncoder"] = {}  # one a worker process, for all its tasks
 
 
+def _may_begin_blank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether a character of these first bytes may be white space beyond ASCII (some letters are taken for it)."""
+    return (first == 0xC2) & (second < 0xA1) | (first >= 0xE1) & (first <= 0xE3) & (
+        (second == 0x80) | (second == 0x81) | (second == 0x9A))
+
+
+def _may_end_blank(third: np.ndarray, second: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The same of a character's last bytes."""
+    return _may_begin_blank(second, last) & (second == 0xC2) | _may_begin_blank(third, second) & (third != 0xC2)
+
+
 def encoder_for(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
@@ -44,8 +55,9 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.starts, self.lengths = array("I"), array("q"), array("q")
+        self.keys = np.zeros(0, np.uint64)  # hashes of the kept pieces, sorted
+        self.slots = np.zeros(0, np.int64)  # and their places among the lengths
+        self.ids, self.lengths = array("I"), array("q")
 
     def _separator(self) -> tuple[str, int]:
         """A text between pieces that is one token of its own, and its id; none: ("", -1)."""
@@ -55,37 +67,39 @@ class PieceEncoder:
                 return sep, ids[1][len(ids[0])]
         return "", -1
 
-    def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each piece; plain pieces are encoded many at a time, between separators."""
+    def _joinable(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pieces that begin with a space, do not hold the separator's mark and do not end in white space."""
+        marks = np.concatenate([[0], np.cumsum(data == ord(self.separator[0].strip(" ")))])
+        last, second, third = (data[np.maximum(ends - k, begins)] for k in (1, 2, 3))
+        return (data[begins] == 32) & (marks[ends] == marks[begins]) & (last > 32) & ~_may_end_blank(third, second, last)
+
+    def _learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode the pieces of ``data`` and keep their ids; plain pieces many at a time, between separators.
+
+        Returns the pieces in the order in which they were kept.
+        """
         sep, sep_id = self.separator
-        mark = sep.strip(" ")
-        plain = [bool(sep) and t[0] == " " and mark not in t and not t[-1].isspace() for t in texts]
-        out = dict(zip((k for k, p in enumerate(plain) if not p), (e.ids for e in self.tokenizer.encode_batch_fast(
-            [t for t, p in zip(texts, plain) if not p], add_special_tokens=False))))
-        joined = [k for k, p in enumerate(plain) if p]
+        plain = self._joinable(data, begins, ends) if sep else np.zeros(len(begins), bool)
+        raw, joined, alone = data.tobytes(), np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        kept = []
         for i in range(0, len(joined), 512):
             group = joined[i:i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                ["".join(texts[k] + sep for k in group)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == sep_id)
-            if len(ends) == len(group):
-                flat, first = ids.tolist(), 0
-                for k, end in zip(group, ends.tolist()):
-                    out[k] = flat[first:end]
-                    first = end + 1
+            text = "".join(raw[x:y].decode() + sep for x, y in zip(begins[group].tolist(), ends[group].tolist()))
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            is_end = ids == sep_id
+            at = np.flatnonzero(is_end)
+            if len(at) == len(group):
+                self.ids.frombytes(ids[~is_end].tobytes())
+                self.lengths.frombytes((np.diff(at, prepend=-1) - 1).astype(np.int64).tobytes())
+                kept.append(group)
             else:
-                out.update(zip(group, (e.ids for e in self.tokenizer.encode_batch_fast(
-                    [texts[k] for k in group], add_special_tokens=False))))
-        return [out[k] for k in range(len(texts))]
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = self._encode_pieces(texts)
-        at, first = len(self.ids), len(self.starts)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids.extend(chain.from_iterable(found))
-        self.starts.frombytes((at + np.cumsum(lengths) - lengths).tobytes())
-        self.lengths.frombytes(lengths.tobytes())
-        self.known.update(zip(hashes, range(first, first + len(found))))
+                alone += group.tolist()
+        for i in range(0, len(alone), 512):
+            texts = [raw[begins[k]:ends[k]].decode() for k in alone[i:i + 512]]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                self.ids.extend(e.ids)
+                self.lengths.append(len(e.ids))
+        return np.concatenate([*kept, np.array(alone, np.int64)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the bounds of each row among them."""
@@ -93,26 +107,30 @@ class PieceEncoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         cut = np.zeros(n, bool)
-        cut[1:-1] = (data[1:-1] == 32) & (data[:-2] > 32) & (data[2:] > 32)
+        at = np.flatnonzero(data[1:-1] == 32) + 1
+        visible = (data[at - 1] > 32) & (data[at + 1] > 32)
+        visible &= ~_may_end_blank(data[np.maximum(at - 3, 0)], data[np.maximum(at - 2, 0)], data[at - 1])
+        visible &= ~_may_begin_blank(data[at + 1], data[np.minimum(at + 2, n - 1)])
+        cut[at[visible]] = True
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
-        uniq, at, inverse = np.unique(run_hashes(self.values[data], starts),
-                                      return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_PIECES:
+        uniq, place_of, inverse = np.unique(run_hashes(self.values[data], starts),
+                                            return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT_PIECES:
             self._forget()
-        keys = uniq.tolist()
-        place = [self.known.get(x, -1) for x in keys]
-        new = [k for k, x in enumerate(place) if x < 0]
-        if new:
-            raw, ends = data.tobytes(), np.append(starts[1:], n)
-            first = at[new]
-            self._learn([keys[k] for k in new],
-                        [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            for k in new:
-                place[k] = self.known[keys[k]]
-        which = np.array(place, np.int64)[inverse]
-        lengths = np.frombuffer(self.lengths, np.int64)[which]
-        ids = np.frombuffer(self.ids, np.uint32)[ranges(np.frombuffer(self.starts, np.int64)[which], lengths)] \
+        place = np.searchsorted(self.keys, uniq)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != uniq) if len(self.keys) else np.arange(len(uniq))
+        if len(new):
+            ends = np.append(starts[1:], n)
+            first, slots = place_of[new], np.empty(len(new), np.int64)
+            before = len(self.lengths)
+            slots[self._learn(data, starts[first], ends[first])] = np.arange(before, before + len(new))
+            self.keys, self.slots = np.insert(self.keys, place[new], uniq[new]), np.insert(self.slots, place[new], slots)
+            place = np.searchsorted(self.keys, uniq)
+        kept = np.frombuffer(self.lengths, np.int64)
+        which = self.slots[place][inverse]
+        lengths = kept[which]
+        ids = np.frombuffer(self.ids, np.uint32)[ranges((np.cumsum(kept) - kept)[which], lengths)] \
             if len(self.ids) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self._with_special(data, offsets, ids, ends[np.searchsorted(starts, offsets)])

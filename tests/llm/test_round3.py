@@ -7,11 +7,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from seatspark.llm import decontam, kneser_ney, license_scan, line_dedup, ngram_join, packing, shared, token_file, warc
-import public_tokenizers
+from seatspark.llm import decontam, kneser_ney, license_scan, line_dedup, ngram_join, packing, shared, token_file, tokens, warc
+from seatspark.llm.textops import text_slices
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -52,6 +54,18 @@ def test_join_of_very_long_texts(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_texts_of_odd_blanks_and_special_strings(path):
+    rnd = random.Random(1)
+    parts = list("ab é漢\u3000\xa0\u1680\u2028\u205f\x85 \n\t .,'sSt1 -ế\x01") + ["<|endoftext|>", " the ", "'s ", "  x", "<|startoftext|>"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 60))) for _ in range(6000)]
+    plain, own = Tokenizer.from_file(path), tokens.PieceEncoder(path)
+    for i, j, data, offsets in text_slices(pa.array(texts)):
+        ids, bounds = own.encode(data, offsets)
+        for k in range(j - i):
+            assert ids[bounds[k]:bounds[k + 1]].tolist() == plain.encode(texts[i + k], add_special_tokens=False).ids, texts[i + k]
+
+
 # ---- 1, 4: null and repeated ids ----
 
 def test_packing_and_token_files_of_null_and_repeated_ids(spark):
