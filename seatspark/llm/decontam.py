@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import io
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +81,8 @@ class ItemIndex:
 
     ``terms``: sorted hashes; term k's postings are ``post_at[k]`` to ``post_at[k + 1]`` (items ascending, weights),
     its blocks ``block_at[k]`` to ``block_at[k + 1]`` (block number ascending, largest weight).
-    ``group_max``: largest weight by term and group of ``group_items`` items. Question shingles and
+    ``group_max``: largest weight by term and group of ``group_items`` items, and ``group_at``: where the group's
+    postings of the term begin. Question shingles and
     answer words of item k are ``q_at[k]`` to ``q_at[k + 1]``, and so on; ``q_size`` is its shingle length.
     """
 
@@ -89,12 +92,12 @@ class ItemIndex:
     post_at: np.ndarray
     items: np.ndarray
     weights: np.ndarray
-    term_max: np.ndarray
     block_at: np.ndarray
     blocks: np.ndarray
     block_max: np.ndarray
     group_items: np.ndarray
     group_max: np.ndarray
+    group_at: np.ndarray
     questions: np.ndarray
     q_at: np.ndarray
     q_size: np.ndarray
@@ -119,6 +122,9 @@ def make_index(stride: int, items: list[tuple[int, str, np.ndarray, np.ndarray]]
     groups = np.zeros((len(terms), -(-n // size)), np.float32)
     np.maximum.at(groups, (which, item // size), weight.astype(np.float32))
     groups *= np.float32(1 + 1e-6)  # upper bounds, whatever the rounding
+    n_groups = groups.shape[1]
+    group_at = np.searchsorted(which * np.int64(n_groups) + item // size,
+                               np.arange(len(terms))[:, None] * n_groups + np.arange(n_groups + 1))
     parts = [question_and_answer(t) for _, t, *_ in items]
     questions = _hashes([q for q, _ in parts])
     sizes = [_shingle_size(len(q)) for q in questions]
@@ -128,8 +134,8 @@ def make_index(stride: int, items: list[tuple[int, str, np.ndarray, np.ndarray]]
     maybe = np.zeros(65536, bool)
     maybe[(terms & np.uint64(65535)).astype(np.int64)] = True
     return ItemIndex(np.int64(stride), np.array([i for i, *_ in items], np.int64), terms, post_at, item, weight,
-                     np.maximum.reduceat(weight, post_at[:-1]), np.searchsorted(which[first], np.arange(len(terms) + 1)),
-                     block[first], np.maximum.reduceat(weight, first), np.int64(size), groups,
+                     np.searchsorted(which[first], np.arange(len(terms) + 1)),
+                     block[first], np.maximum.reduceat(weight, first), np.int64(size), groups, group_at,
                      np.concatenate([np.zeros(0, np.uint64), *shingles]), ends(shingles), np.array(sizes, np.int64),
                      np.concatenate([np.zeros(0, np.uint64), *answers]), ends(answers), maybe)
 
@@ -224,45 +230,56 @@ class Parts:
 
 # ---- queries -------------------------------------------------------------------------
 
-def block_max_wand(index: ItemIndex, terms: np.ndarray, low: int, high: int) -> list[tuple[int, float]]:
-    """(item, score) of the items from ``low`` to below ``high`` whose weights of ``terms`` reach the threshold."""
+def block_max_wand(index: ItemIndex, terms: np.ndarray, group: int) -> list[tuple[int, float]]:
+    """(item, score) of the group's items whose weights of ``terms`` reach the threshold."""
     least = SCORE_SHARE - 1e-9
-    items, weights, found = index.items, index.weights, []
-
-    def moved(t: int, at: int, end: int, to: int) -> tuple | None:
-        at += int(np.searchsorted(items[at:end], to))
-        return (int(items[at]), at, end, float(index.term_max[t]), t) if at < end and items[at] < high else None
-
-    def block_bound(t: int, block: int) -> float:
+    begins, ends = index.group_at[terms, group], index.group_at[terms, group + 1]
+    here = np.flatnonzero(begins < ends)
+    # a list: next item, its place, items, weights, the most that the term adds to an item of this group, the term
+    lists = [[own[0], 0, own, index.weights[a:b], top, t] for own, a, b, top, t in (
+        (index.items[a:b].tolist(), a, b, top, t) for a, b, top, t in zip(
+            begins[here].tolist(), ends[here].tolist(), index.group_max[terms[here], group].tolist(), terms[here].tolist()))]
+    blocks = int(index.group_items) > BLOCK_ITEMS  # else the group is one block, whose maxima the lists have already
+    found = []
+
+    def bound(t: int, block: int) -> float:
         a, b = index.block_at[t], index.block_at[t + 1]
         k = a + np.searchsorted(index.blocks[a:b], block)
         return float(index.block_max[k]) if k < b and index.blocks[k] == block else 0.0
 
-    lists = [x for t in terms.tolist() if (x := moved(t, int(index.post_at[t]), int(index.post_at[t + 1]), low))]
     while lists:
-        lists.sort()
-        most = 0.0
+        lists.sort(key=itemgetter(0))
+        most, k = 0.0, -1
         for k, x in enumerate(lists):
-            most += x[3]
+            most += x[4]
             if most >= least:
                 break
         else:
             break
-        pivot = x[0]
+        pivot = lists[k][0]
         while k + 1 < len(lists) and lists[k + 1][0] == pivot:
             k += 1
-        front, rest = lists[:k + 1], lists[k + 1:]
-        if sum(block_bound(x[4], pivot // BLOCK_ITEMS) for x in front) < least:
+        if blocks and sum(bound(x[5], pivot // BLOCK_ITEMS) for x in lists[:k + 1]) < least:
             to = (pivot // BLOCK_ITEMS + 1) * BLOCK_ITEMS  # no item of the block, nor any before it, can reach it
-            to = min(to, rest[0][0]) if rest else to
-        elif front[0][0] == pivot:
-            score = float(sum(weights[x[1]] for x in front))
+            if k + 1 < len(lists):
+                to = min(to, lists[k + 1][0])
+        elif lists[0][0] == pivot:
+            score = float(sum(x[3][x[1]] for x in lists[:k + 1]))
             if score >= least:
                 found.append((pivot, score))
             to = pivot + 1
         else:
             to = pivot
-        lists = [y for x in front if (y := x if x[0] >= to else moved(x[4], x[1], x[2], to))] + rest
+        ended = False
+        for x in lists[:k + 1]:
+            if x[0] < to:
+                x[1] = bisect_left(x[2], to, x[1])
+                if x[1] < len(x[2]):
+                    x[0] = x[2][x[1]]
+                else:
+                    x[0], ended = -1, True
+        if ended:
+            lists = [x for x in lists if x[0] >= 0]
     return found
 
 
@@ -284,7 +301,7 @@ def retrieve(index: ItemIndex, words: np.ndarray, bounds: np.ndarray) -> list[tu
     before = passage > first_passage[row]  # a word is in the passage that begins a stride earlier, too
     passage, term = np.concatenate([passage, passage[before] - 1]), np.concatenate([term, term[before]])
     owner, terms = np.divmod(np.unique(passage * len(index.terms) + term), len(index.terms))
-    out, size = [], int(index.group_items)
+    out = []
     begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
     edges = np.append(begins, len(owner))
     for k in range(0, len(begins), 256):  # passages whose bounds are held at a time
@@ -294,7 +311,7 @@ def retrieve(index: ItemIndex, words: np.ndarray, bounds: np.ndarray) -> list[tu
         for p, g in zip((near + k).tolist(), group.tolist()):
             at = int(owner[begins[p]])
             r = int(np.searchsorted(first_passage, at, "right")) - 1
-            for item, score in block_max_wand(index, terms[edges[p]:edges[p + 1]], g * size, (g + 1) * size):
+            for item, score in block_max_wand(index, terms[edges[p]:edges[p + 1]], g):
                 out.append((r, (at - int(first_passage[r])) * stride, item, score))
     return out
 
