@@ -169,12 +169,12 @@ def usable_ids(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return given.join(repeated, "request_id", "left_anti"), refused
 
 
-def admit_bookings(t: Tables, requests: DataFrame, as_of: Column | None = None,
-                   width: int = WIDTH) -> tuple[Tables, DataFrame]:
-    """Admit a batch of booking requests.
+def admitted(t: Tables, requests: DataFrame, as_of: Column | None = None,
+             width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Admit a batch of booking requests: the rows that it adds, and what became of each request.
 
-    Returns the next snapshot (booking and booking_seat extended) and the
-    outcomes ``request_id, outcome, booking_id`` (booking_id only if accepted).
+    Returns the new rows of booking, those of booking_seat, and the outcomes
+    ``request_id, outcome, booking_id`` (booking_id only if accepted).
     Accepted bookings are Pending, dated ``requested_at`` (else ``as_of``,
     else the current timestamp). ``width`` bounds the requests of a showtime
     that one task holds; it does not change the result.
@@ -206,7 +206,7 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of: Column | None = None,
                .select("request_id", F.col("pre").alias("outcome"))
                .unionByName(taker_outcomes).unionByName(blocked_outcomes).unionByName(refused))
 
-    accepted = checked.join(decided.where(F.col("outcome") == "accepted"), "request_id", "left_semi")
+    accepted = checked.join(won, "request_id", "left_semi")
     with_ids = next_ids(accepted, ["request_id"], max_id(t.booking, "booking_id"), "booking_id")
     when = F.coalesce(F.col("requested_at"), as_of if as_of is not None
                       else F.localtimestamp())
@@ -217,6 +217,12 @@ def admit_bookings(t: Tables, requests: DataFrame, as_of: Column | None = None,
                                 "theater_id", "showtime_id")
     outcomes = (decided.join(with_ids.select("request_id", "booking_id"), "request_id", "left")
                 .select("request_id", "outcome", "booking_id"))
-    nxt = t.with_(booking=t.booking.unionByName(new_booking),
-                  booking_seat=t.booking_seat.unionByName(new_seats))
-    return nxt, outcomes
+    return new_booking, new_seats, outcomes
+
+
+def admit_bookings(t: Tables, requests: DataFrame, as_of: Column | None = None,
+                   width: int = WIDTH) -> tuple[Tables, DataFrame]:
+    """The next snapshot (booking and booking_seat extended) and the outcomes of :func:`admitted`."""
+    new_booking, new_seats, outcomes = admitted(t, requests, as_of, width)
+    return t.with_(booking=t.booking.unionByName(new_booking),
+                   booking_seat=t.booking_seat.unionByName(new_seats)), outcomes

@@ -62,12 +62,12 @@ def change_keyed(spark: SparkSession, table: str, path: str, buckets: int, chang
         raise ValueError(f"the change made rows of untouched buckets: {sorted(stray)}")
     (new.repartition(len(touched), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET).parquet(path))
-    _drop_folders(spark, [f"{path.rstrip('/')}/{BUCKET}={b}" for b in touched if b not in kept])
+    drop_folders(spark, [f"{path.rstrip('/')}/{BUCKET}={b}" for b in touched if b not in kept])
     return touched
 
 
-def _drop_folders(spark: SparkSession, folders: list[str]) -> None:
-    """Remove the folders of buckets that have lost all rows (an overwrite writes no empty partition)."""
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove partition folders, as of buckets that have lost all rows (an overwrite writes no empty partition)."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.admit import admit_bookings
+from ..operators.admit import admitted
 from ..schemas import BOOKING_REQUEST, SCHEMAS
 from ..sources.tables import Tables, load_tables
 
@@ -51,10 +51,7 @@ def current_tables(spark: SparkSession, base: str, root: str, batch_id: int) ->
 def admit_batch(spark: SparkSession, base: str, root: str, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch: admit, then write added rows and outcomes under batch_id."""
     t = current_tables(spark, base, root, batch_id)
-    nxt, outcomes = admit_bookings(t, batch)
-    accepted = outcomes.where(F.col("outcome") == "accepted").select("booking_id")
-    new_booking = nxt.booking.join(accepted, "booking_id", "left_semi")
-    new_seats = nxt.booking_seat.join(accepted, "booking_id", "left_semi")
+    new_booking, new_seats, outcomes = admitted(t, batch)
     for name, df in (("booking", new_booking), ("booking_seat", new_seats),
                      ("outcomes", outcomes)):
         target = os.path.join(root, "added" if name != "outcomes" else "", name)

@@ -82,3 +82,37 @@ def test_rerun_of_a_micro_batch_is_idempotent(spark, seed):
     t = current_tables(spark, base, out, 1)
     assert t.booking.where("booking_id >= 208").count() == 2
     assert t.booking_seat.where("booking_id >= 208").count() == 2
+
+
+def test_compacted_changes_read_the_same(spark, seed):
+    from seatspark.schemas import BOOKING_EVENT
+    from seatspark.streaming import events as ES
+    root = tempfile.mkdtemp(prefix="seatspark-compact-")
+    base, out = os.path.join(root, "base"), os.path.join(root, "out")
+    write_tables(seed, base)
+    batches = [[(205, 1, "pay", 2, None, None)], [(202, 2, "use", None, None, None)],
+               [(205, 3, "refund", None, None, None), (207, 4, "pay", 1, None, None)]]
+    for k, rows_ in enumerate(batches):
+        ES.apply_events_batch(spark, base, out, spark.createDataFrame(rows_, BOOKING_EVENT), k)
+    before = {n: rows(ES.current_tables(spark, base, out, 99).get(n)) for n in ("booking", "payment")}
+    ES.compact(spark, out, 3)
+    assert os.listdir(os.path.join(out, "changes", "booking")).count("batch_id=2") == 1
+    assert not any(f in os.listdir(os.path.join(out, "changes", n)) for n in before for f in ("batch_id=0", "batch_id=1"))
+    assert {n: rows(ES.current_tables(spark, base, out, 99).get(n)) for n in before} == before
+    ES.apply_events_batch(spark, base, out, spark.createDataFrame([(202, 5, "set_status", None, "Pending", None)], BOOKING_EVENT), 3)
+    assert dict(rows(ES.current_tables(spark, base, out, 99).booking, "booking_id", "status"))[202] == "Pending"
+
+
+def test_events_see_bookings_of_the_admission_stream(spark, seed):
+    from seatspark.schemas import BOOKING_EVENT, BOOKING_REQUEST
+    from seatspark.streaming import events as ES
+    from seatspark.streaming.admission import admit_batch
+    root = tempfile.mkdtemp(prefix="seatspark-both-")
+    base, added, out = (os.path.join(root, x) for x in ("base", "added", "out"))
+    write_tables(seed, base)
+    admit_batch(spark, base, added, spark.createDataFrame([(1, 6, 15, ["1", "2"], None)], BOOKING_REQUEST), 0)
+    ES.apply_events_batch(spark, base, out, spark.createDataFrame([(208, 1, "pay", 6, None, None)], BOOKING_EVENT), 0, admitted=added)
+    assert rows(spark.read.parquet(os.path.join(out, "outcomes")), "booking_id", "outcome") == [(208, "ok")]
+    t = ES.current_tables(spark, base, out, 99, admitted=added)
+    assert dict(rows(t.booking, "booking_id", "status"))[208] == "Confirmed"
+    assert rows(t.payment.where("booking_id = 208"), "amount", "status") == [(d(180), "Confirmed")]
