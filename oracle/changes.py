@@ -229,6 +229,39 @@ EVENTS_BODIES = {
 }
 
 
+#: A twenty-fifth of the bookings with a second payment; goes before the other CTEs, the bridge's payment renamed.
+TWO_PAYMENTS = """
+payment AS (
+  FROM one_payment UNION ALL
+  SELECT payment_id + 500000000, booking_id, CAST(7 AS DECIMAL(10,2)), if(booking_id % 3 = 0, 'Pending', 'Confirmed'), payment_date
+  FROM one_payment WHERE booking_id % 50 < 2),
+"""
+
+
+def with_two_payments(sql: str, first: str) -> str:
+    """``sql`` over the tables with second payments; ``first`` is the name of its first CTE after the bridge."""
+    sql = sql.replace("payment AS (", "one_payment AS (", 1)
+    at = sql.index(f"\n{first} AS (")
+    return sql[:at] + TWO_PAYMENTS + sql[at:]
+
+
+#: A refund reaches all payments of its booking; other events the one of lowest payment_id.
+EVENTS_TWO = EVENTS_BODIES["events_payment_after"].replace(
+    "CASE WHEN f.i = 0 AND f.a = 1 THEN", "CASE WHEN c.payment_id = p.payment_id AND f.i = 0 AND f.a = 1 THEN").replace(
+    "CASE WHEN f.i = 0 THEN f.p ELSE p.status END", """CASE WHEN c.payment_id = p.payment_id AND f.i = 0 THEN f.p
+         WHEN p.booking_id IN (FROM fold SELECT booking_id WHERE action = 'refund' AND outcome = 'ok') THEN 'Refunded'
+         ELSE p.status END""").replace("LEFT JOIN ctx c ON c.payment_id = p.payment_id", "LEFT JOIN ctx c ON c.booking_id = p.booking_id")
+
+
+def lettered(sql: str) -> str:
+    """``sql`` with half of the seats named by letters: 'Row7' in the theater, 'row7' where held, 'ROW7' where asked for."""
+    seat = "CAST((7 * l{0}partkey + 13 * l{0}linenumber) % 60 + 1 AS VARCHAR)"
+    held, asked = seat.format(".l_"), seat.format("_")
+    named = lambda text, prefix: f"regexp_replace({text}, '^([12]?[0-9]|30)$', '{prefix}\\1')"
+    sql = sql.replace(asked, named(asked, "ROW")).replace(f"{held} AS seat_number", f"{named(held, 'row')} AS seat_number")
+    return sql.replace("CAST(r AS VARCHAR) AS seat_number", f"{named('CAST(r AS VARCHAR)', 'Row')} AS seat_number")
+
+
 def changes_sql() -> dict[str, str]:
     out = {"admit_bookings": with_bridge(ADMIT_BODY, ADMIT_CTES, recursive=True)}
     for name, body in ADMIT_TABLES.items():
@@ -237,6 +270,9 @@ def changes_sql() -> dict[str, str]:
         SELECT request_id, outcome, booking_id, CAST(NULL AS VARCHAR) AS raw FROM ({ADMIT_BODY})
         UNION ALL SELECT NULL, 'malformed', NULL, raw FROM malformed""", PAYLOAD_CTES, recursive=True)
     out["admit_payloads_booking"] = with_bridge(ADMIT_TABLES["admit_bookings_booking"], PAYLOAD_CTES, recursive=True)
+    out["admit_lettered"] = lettered(out["admit_bookings"])
+    out["admit_lettered_seats"] = lettered(out["admit_bookings_seats"])
+    out["events_two_payments"] = with_two_payments(with_bridge(EVENTS_TWO, EVENTS_CTES, recursive=True), "ev")
     for name, body in EVENTS_BODIES.items():
         out[name] = with_bridge(body, EVENTS_CTES, recursive=True)
     return out

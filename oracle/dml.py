@@ -1,6 +1,7 @@
 """DuckDB text for inserts, replacements, patches and cascading deletes."""
 
 from .bridge import with_bridge
+from .changes import with_two_payments
 
 BIG = 1000000000
 
@@ -464,5 +465,7 @@ BODIES.update({
 
 
 def dml_sql() -> dict[str, str]:
-    return {name: with_bridge(body, extra, recursive=("walk" in extra or "fold" in extra))
-            for name, (body, extra) in BODIES.items()}
\ No newline at end of file
+    out = {name: with_bridge(body, extra, recursive=("walk" in extra or "fold" in extra))
+           for name, (body, extra) in BODIES.items()}
+    out["moves_two_payments"] = with_two_payments(out["reassign_bookings_payment"], "mv")
+    return out

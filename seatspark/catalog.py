@@ -114,6 +114,10 @@ CHANGES: dict[str, TablesQuery] = {
     "create_users_table": S.table_after(S.create_users, "users"),
     "admit_payloads": S.outcomes_of(S.payload_admission),
     "admit_payloads_booking": S.table_after(S.payload_admission, "booking"),
+    "admit_lettered": S.outcomes_of(S.lettered_admission),
+    "admit_lettered_seats": S.table_after(S.lettered_admission, "booking_seat"),
+    "events_two_payments": S.table_after(S.two_payment_events, "payment"),
+    "moves_two_payments": S.table_after(S.two_payment_moves, "payment"),
     "bookings_of_users": S.by_keys(R.bookings, S.error_users),
     "booking_detail_of_keys": S.by_keys(R.booking_detail, S.urgent_bookings),
     "pay_quote_of_keys": S.by_keys(R.pay_quote, S.urgent_bookings),

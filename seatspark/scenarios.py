@@ -389,3 +389,38 @@ def user_create_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def create_users(spark, sf_dir, t=None):
     """Accounts made by an admin: any role, all fields required."""
     return insert_rows(_tables(spark, sf_dir, t), "users", user_create_rows(spark, sf_dir))
+
+
+# ---- tables that tell more faults apart ---------------------------------------------------
+
+def lettered(t: Tables) -> Tables:
+    """Half of the seats have letters, spelled 'Row7' by the theater and 'row7' where they are held."""
+    def spelled(prefix: str):
+        n = F.col("seat_number")
+        return F.when(n.cast("int") <= 30, F.concat(F.lit(prefix), n)).otherwise(n)
+    return t.with_(seat=t.seat.withColumn("seat_number", spelled("Row")),
+                   booking_seat=t.booking_seat.withColumn("seat_number", spelled("row")))
+
+
+def lettered_admission(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+    """The admission with seats in three spellings; what is stored is the theater's."""
+    requests = booking_requests_from(spark, sf_dir).withColumn("seats", F.transform(
+        "seats", lambda s: F.when(s.cast("int") <= 30, F.concat(F.lit("ROW"), s)).otherwise(s)))
+    return admit_bookings(lettered(_tables(spark, sf_dir, t)), requests)
+
+
+def two_payments(t: Tables) -> Tables:
+    """A twenty-fifth of the bookings have a second, later payment."""
+    b, p = F.col("booking_id"), F.col("payment_id")
+    more = t.payment.where(b % 50 < 2).withColumns({
+        "payment_id": p + 500000000, "status": F.when(b % 3 == 0, "Pending").otherwise("Confirmed"),
+        "amount": F.lit(7).cast("decimal(10,2)")})
+    return t.with_(payment=t.payment.unionByName(more))
+
+
+def two_payment_events(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+    return booking_events(spark, sf_dir, two_payments(_tables(spark, sf_dir, t)))
+
+
+def two_payment_moves(spark: SparkSession, sf_dir: str, t: Tables | None = None):
+    return move_some_bookings(spark, sf_dir, two_payments(_tables(spark, sf_dir, t)))
