@@ -91,59 +91,53 @@ def _decimal_columns(table: str) -> list[str]:
     return [f.name for f in SCHEMAS[table].fields if isinstance(f.dataType, T.DecimalType)]
 
 
-def row_checks(table: str) -> list[tuple[str, str, Column]]:
-    """(rule, column, violated) of the checks that need one row of ``table`` only.
+def row_checks(table: str) -> list[tuple[str, str, str]]:
+    """(rule, column, SQL condition of a violation) of the checks that need one row of ``table`` only.
 
     Number ranges are checked on whatever type the column has: text that is no
     number and numbers of too many digits count, as an insert would be refused.
     """
-    out = [("not_null", c, F.col(c).isNull()) for c in NOT_NULL.get(table, ())]
+    out = [("not_null", c, f"{c} IS NULL") for c in NOT_NULL.get(table, ())]
     if table in STATUS_SETS:
-        out.append(("status_set", "status", ~F.col("status").isin(*STATUS_SETS[table])))
-    out += [("varchar_length", c, F.length(c) > n) for c, n in VARCHAR_LIMITS.get(table, {}).items()]
-    out += [("decimal_range", c, F.col(c).isNotNull() & F.col(c).try_cast(SCHEMAS[table][c].dataType).isNull())
+        allowed = ", ".join(f"'{x}'" for x in STATUS_SETS[table])
+        out.append(("status_set", "status", f"status NOT IN ({allowed})"))
+    out += [("varchar_length", c, f"length({c}) > {n}") for c, n in VARCHAR_LIMITS.get(table, {}).items()]
+    out += [("decimal_range", c, f"({c} IS NOT NULL AND try_cast({c} AS {SCHEMAS[table][c].dataType.simpleString()}) IS NULL)")
             for c in _decimal_columns(table)]
     return out
 
 
-def _parts(table: str, cols: tuple[str, ...]) -> tuple[Column, Column, Column]:
-    """A key as two numbers and a text, null where it has fewer; at most two numbers and one text occur."""
-    texts = [key_expr(table, c) for c in cols if _is_text(table, c)]
-    longs = [F.col(c).cast("long") for c in cols if not _is_text(table, c)]
-    pad = lambda xs, n, kind: xs + [F.lit(None).cast(kind)] * (n - len(xs))
-    return (*pad(longs, 2, "long"), *pad(texts, 1, "string"))
+def _entry(table: str, domain: int, cols: tuple[str, ...], side: int, value: str | None = None) -> str:
+    """SQL of one entry. A key is two numbers and a text, null where it has fewer; no key has more."""
+    texts = [f"lower({c})" for c in cols if _is_text(table, c)] + ["NULL"]
+    longs = [c for c in cols if not _is_text(table, c)] + ["NULL", "NULL"]
+    return (f"named_struct('domain', {domain}, 'k0', CAST({longs[0]} AS BIGINT), 'k1', CAST({longs[1]} AS BIGINT), "
+            f"'k2', CAST({texts[0]} AS STRING), 'value', CAST({value or 'NULL'} AS BIGINT), 'side', {side})")
 
 
-def _entry(domain: int, key: tuple[Column, Column, Column], side: int, value: Column | None = None) -> Column:
-    return F.struct(F.lit(domain).alias("domain"), key[0].alias("k0"), key[1].alias("k1"), key[2].alias("k2"),
-                    (value if value is not None else F.lit(None)).cast("long").alias("value"),
-                    F.lit(side).alias("side"))
+def _emitted(t: Tables, table: str, doms: list[Domain], local: dict[tuple[str, str, str], int]) -> DataFrame:
+    """The entries of one table's rows; row-local violations are entries of domains of their own.
 
-
-def _emitted(t: Tables, table: str, doms: list[Domain], local: dict[tuple[str, str, str], int]) -> DataFrame | None:
-    """The entries of one table's rows; row-local violations are entries of domains of their own."""
-    always, sometimes = [], []
+    The expressions are SQL text, which the planner takes in one piece; as Python columns they are
+    thousands of calls.
+    """
+    whole = lambda cols: " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    entries = []
     for i, d in enumerate(doms):
         if d.owner == table:
-            value = F.col(d.compared[4]) if d.compared else None
-            entry = _entry(i, _parts(table, d.key), 0, value)
-            if d.rule == "unique":  # a unique index ignores rows with a null in the key
-                sometimes.append((reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in d.key]), entry))
-            else:
-                always.append(entry)
+            entry = _entry(table, i, d.key, 0, d.compared[4] if d.compared else None)
+            # a unique index ignores rows with a null in the key
+            entries.append(f"IF({whole(d.key)}, {entry}, NULL)" if d.rule == "unique" else entry)
         for j, (child, cols) in enumerate(d.refs):
             if child == table:
-                value = F.col(d.compared[3]) if d.compared and d.compared[2] == j else None
-                sometimes.append((reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
-                                  _entry(i, _parts(table, cols), j + 1, value)))
-    none = (F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"))
-    broken = [(violated, _entry(local[rule, table, col], none, 0)) for rule, col, violated in row_checks(table)]
-    pick = lambda pairs: [F.when(cond, entry) for cond, entry in pairs]
-    entries = F.array(*always, *pick(sometimes))
+                value = d.compared[3] if d.compared and d.compared[2] == j else None
+                entries.append(f"IF({whole(cols)}, {_entry(table, i, cols, j + 1, value)}, NULL)")
+    made = f"array({', '.join(entries)})"
+    broken = [(cond, _entry(table, local[rule, table, col], (), 0)) for rule, col, cond in row_checks(table)]
     if broken:  # few rows break a rule of their own, so only those carry the entries for it
-        any_broken = reduce(lambda x, y: x | y, [F.coalesce(cond, F.lit(False)) for cond, _ in broken])
-        entries = F.when(any_broken, F.concat(entries, F.array(*pick(broken)))).otherwise(entries)
-    return t.get(table).select(F.explode(entries).alias("e")).where("e is not null").select("e.*")
+        some = " OR ".join(f"coalesce({cond}, false)" for cond, _ in broken)
+        made = f"IF({some}, concat({made}, array({', '.join(f'IF({cond}, {entry}, NULL)' for cond, entry in broken)})), {made})"
+    return t.get(table).select(F.explode(F.expr(made)).alias("e")).where("e is not null").select("e.*")
 
 
 def audit(t: Tables) -> DataFrame:
