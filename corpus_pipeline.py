@@ -16,9 +16,10 @@ from seatspark.llm.shared import saved
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letter) go. Learns from the rows that are not held out.
+    """Documents whose language cannot be told (no letter, so also null and empty texts) go.
 
-    Without a row to learn from, all documents with a letter stay.
+    Learns from the rows that are not held out. Without a row to learn from, all
+    documents with a letter stay. Repeated rows stay or go together.
     """
     net = langid.fit_language_model(docs, ~langid.held_out(F.col("doc_id"), 5, 0))
     if net is None:
@@ -45,12 +46,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts and rows with null doc_id stay.
+
+    Repeated rows stay or go together. An empty benchmark removes nothing.
+    """
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents left, packed into sequences of 2048 ids: a row a piece."""
+    """The documents left, packed into sequences of 2048 ids: a row a piece.
+
+    Null and empty texts are the end id alone; repeated rows and null doc_ids are packed like others.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
