@@ -37,7 +37,7 @@ Reading the table:
   joins from measured sizes, which removes those shuffles.
 * Every aggregate on a key that can be hot is partial (map-side): seat counts
   per booking, revenue per showtime and movie, held-seat sets per showtime,
-  pending totals per user, the audit's key and FK counts.
+  pending totals per user, the audit's three aggregates (its entries come from one scan a table).
 * `available_seats` and `seat_layout` explode seat rows only above the last
   shuffle; `search_showtimes` never builds seat rows.
 * Status filters reach the parquet scans (`EqualTo(status,Confirmed)`,
