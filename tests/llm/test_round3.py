@@ -271,3 +271,23 @@ def test_plain_phrases_equal_brute_force(spark):
         assert (got[k]["n_words"], got[k]["n_base"], got[k]["first_word"], got[k]["last_word"], got[k]["base_labels"]) == (
             len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found})))
         assert set(got[k]["base_labels"].split(",")) <= set(got[k]["labels"].split(",")) or not found
+
+
+# ---- pipeline ----
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item of some words. and more.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_of_null_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+    rnd = random.Random(3)
+    texts = [_sentence(rnd, 40) for _ in range(6)]
+    rows = [(k, t, "en", None, None) for k, t in enumerate(texts)] + [(0, texts[0], "en", None, None), (None, texts[1], None, None, None), (9, None, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([0, 0, 1, 2, 3, 4, 5, None])
