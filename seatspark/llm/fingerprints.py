@@ -262,7 +262,7 @@ def _pairs(ids: list, texts: list[str], own: list[np.ndarray], after: list[str],
     return {name: pa.array(values, kind) for (name, kind), values in zip(_PAIR.items(), out)}
 
 
-GROUP_BYTES = 16 << 20  # of text in one group of consecutive documents, about
+GROUP_BYTES = 4 << 20  # of text in one group of consecutive documents, about; a task holds one or a few
 MOST_GROUPS = 200_000
 
 
