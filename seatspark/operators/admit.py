@@ -161,7 +161,8 @@ def usable_ids(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     that share one have no order among themselves (duplicate_request).
     """
     given = requests.where(F.col("request_id").isNotNull())
-    repeated = given.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id")
+    # stored, so that the joins know that it is small: no shuffle of the requests then
+    repeated = cut_lineage(given.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id"))
     refused = requests.where(F.col("request_id").isNull()).select(
         "request_id", F.lit("missing_fields").alias("outcome")).unionByName(
         given.join(repeated, "request_id", "left_semi").select(
@@ -179,8 +180,9 @@ def admitted(t: Tables, requests: DataFrame, as_of: Column | None = None,
     else the current timestamp). ``width`` bounds the requests of a showtime
     that one task holds; it does not change the result.
     """
-    req, refused = usable_ids(requests.select(
-        *[F.col(f.name).try_cast(f.dataType) for f in BOOKING_REQUEST.fields]))
+    # stored once: reading or deriving the requests may cost more than what follows
+    req, refused = usable_ids(cut_lineage(requests.select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in BOOKING_REQUEST.fields])))
     checked = cut_lineage(_checked(t, req))
     open_ = checked.where(F.col("pre").isNull())
     takers = open_.where(F.col("blocker").isNull())

@@ -16,6 +16,7 @@ from .operators.events import apply_booking_events
 from .operators.ids import max_id, next_ids
 from .operators.moves import reassign_bookings
 from .plans.views import register_views
+from .session import cut_lineage
 from .sources.bridge import bridge_tables, read_source
 from .sources.tables import Tables
 from .sources.requests import (booking_events_from, booking_requests_from, form_rows_from, parse_payloads,
@@ -26,6 +27,11 @@ def _tables(spark: SparkSession, sf_dir: str, t: Tables | None) -> Tables:
     return t if t is not None else bridge_tables(spark, sf_dir)
 
 
+def _held_once(t: Tables) -> Tables:
+    """The held seats as a stored table: a change that reads them several times derives them once."""
+    return t.with_(booking_seat=cut_lineage(t.booking_seat))
+
+
 def admission(spark: SparkSession, sf_dir: str, t: Tables | None = None,
               requests: DataFrame | None = None):
     """Every order asks for its line items' seats, two thirds of them in a later showtime than the booked one."""
@@ -363,7 +369,7 @@ AS_OF = "2026-01-01 00:00:00"
 
 def payload_admission(spark: SparkSession, sf_dir: str, t: Tables | None = None):
     """Every order's request as a JSON line or as form text, some malformed; requests without a time get AS_OF."""
-    requests = booking_requests_from(spark, sf_dir)
+    requests = cut_lineage(booking_requests_from(spark, sf_dir))  # built once, read as JSON, as form text and for its malformed lines
     good, bad = parse_payloads(payload_lines_from(requests))
     typed = requests_from_text(form_rows_from(requests))
     nxt, outcomes = admit_bookings(_tables(spark, sf_dir, t), good.unionByName(typed),
