@@ -16,7 +16,8 @@ Distributed plan:
 1. Row-local checks. The showtime (theater) and user lookups are joins; each
    theater's seats are one small map row (lower-case seat -> stored spelling),
    so seat existence and repeated seats are array expressions, no explode.
-   Existing holds are one set per showtime, gathered with a partial aggregate.
+   Existing holds are one bit mask per showtime, gathered with a partial
+   aggregate. Seat lists join last, so rows that carry one cross no shuffle.
 2. The order-dependent part is a fold per showtime. A request's seats are bit
    positions in its theater's sorted seat list; a fold over the showtime's
    requests in order keeps the mask of seats taken, and a request is accepted
@@ -71,33 +72,38 @@ def seat_mask(keys: Column, seat_keys: Column) -> Column:
         lambda acc, p: F.when(F.floor(p / 64) == w, acc.bitwiseOR(bit(p))).otherwise(acc)))
 
 
-def held_keys_by_showtime(t: Tables, requests: DataFrame) -> DataFrame:
-    """showtime_id -> set of lower(seat_number) with any Booking_Seat row, for the batch's showtimes."""
-    return (t.booking_seat.join(requests.select("showtime_id").distinct(), "showtime_id", "left_semi")
+def holds_by_showtime(t: Tables, requests: DataFrame, seat_maps: DataFrame) -> DataFrame:
+    """The batch's showtimes: showtime_id, theater_id and the mask of the seats with any Booking_Seat row there."""
+    wanted = requests.select("showtime_id").distinct()
+    held = (t.booking_seat.join(wanted, "showtime_id", "left_semi")
             .groupBy("showtime_id")
             .agg(F.collect_set(F.lower("seat_number")).alias("held")))
+    # a held seat that the theater has not is no bit: a request for it is seat_not_found before
+    return (t.showtime.select("showtime_id", "theater_id").join(wanted, "showtime_id", "left_semi")
+            .join(held, "showtime_id", "left").join(seat_maps.select("theater_id", "seat_keys"), "theater_id", "left")
+            .select("showtime_id", "theater_id", F.lit(True).alias("_show"),
+                    seat_mask(F.col("held"), F.col("seat_keys")).alias("held")))
 
 
 def _checked(t: Tables, requests: DataFrame) -> DataFrame:
-    st = t.showtime.select("showtime_id", "theater_id", F.lit(True).alias("_show"))
+    # seat lists join last, from a table of known size: rows with a list cross no shuffle
+    seat_maps = cut_lineage(theater_seat_maps(t))
     users = t.users.select("user_id", F.lit(True).alias("_user")).distinct()
-    r = (requests.join(st, "showtime_id", "left")
-         .join(users, "user_id", "left")
-         .join(theater_seat_maps(t), "theater_id", "left")
-         .join(held_keys_by_showtime(t, requests), "showtime_id", "left"))
+    r = (requests.join(users, "user_id", "left")
+         # stored, so that gathering the holds and sorting the requests do not add up in one task
+         .join(cut_lineage(holds_by_showtime(t, requests, seat_maps)), "showtime_id", "left")
+         .join(seat_maps, "theater_id", "left"))
     seats = F.col("seats")
     seat_map = F.coalesce(F.col("seat_map"), F.create_map().cast("map<string,string>"))
-    held = F.coalesce(F.col("held"), F.array().cast("array<string>"))
     unknown_seat = F.exists(seats, lambda s: s.isNull() | ~F.map_contains_key(seat_map, F.lower(s)))
     keys = F.transform(seats, lambda s: F.lower(s))
     outcome = (F.when(F.col("user_id").isNull() | F.col("showtime_id").isNull() | seats.isNull(),
                       "missing_fields")
                .when(F.size(seats) == 0, "empty_seats")
                .when(F.col("_show").isNull(), "showtime_not_found")
-               .when(unknown_seat, "seat_not_found")
-               .when(F.exists(keys, lambda k: F.array_contains(held, k)), "already_booked"))
-    return r.select(
-        "request_id", "user_id", "showtime_id", "theater_id", "requested_at",
+               .when(unknown_seat, "seat_not_found"))
+    r = r.select(
+        "request_id", "user_id", "showtime_id", "theater_id", "requested_at", "held",
         outcome.alias("pre"),
         # a request that cannot insert its rows: FK on user, or PK on a repeated seat
         F.when(F.col("_user").isNull(), "unknown_user")
@@ -105,6 +111,8 @@ def _checked(t: Tables, requests: DataFrame) -> DataFrame:
         keys.alias("keys"),
         F.when(outcome.isNull(), seat_mask(keys, F.col("seat_keys"))).alias("mask"),
         F.transform(seats, lambda s: F.element_at(seat_map, F.lower(s))).alias("stored_seats"))
+    return r.withColumn("pre", F.when(_shares(F.col("mask"), F.col("held")), "already_booked")
+                        .otherwise(F.col("pre"))).drop("held")
 
 
 def _claims(df: DataFrame) -> DataFrame:
@@ -208,7 +216,8 @@ def admitted(t: Tables, requests: DataFrame, as_of: Column | None = None,
                .select("request_id", F.col("pre").alias("outcome"))
                .unionByName(taker_outcomes).unionByName(blocked_outcomes).unionByName(refused))
 
-    accepted = checked.join(won, "request_id", "left_semi")
+    accepted = (checked.select("request_id", "user_id", "showtime_id", "theater_id", "requested_at", "stored_seats")
+                .join(won, "request_id", "left_semi"))
     with_ids = next_ids(accepted, ["request_id"], max_id(t.booking, "booking_id"), "booking_id")
     when = F.coalesce(F.col("requested_at"), as_of if as_of is not None
                       else F.localtimestamp())
