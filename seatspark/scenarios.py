@@ -263,7 +263,8 @@ def booking_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def move_some_bookings(spark, sf_dir, t=None):
-    return reassign_bookings(_tables(spark, sf_dir, t), booking_move_rows(spark, sf_dir))
+    t = t if t is not None else _held_once(bridge_tables(spark, sf_dir))
+    return reassign_bookings(t, booking_move_rows(spark, sf_dir))
 
 
 def new_payment_ids(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
@@ -429,4 +430,5 @@ def two_payment_events(spark: SparkSession, sf_dir: str, t: Tables | None = None
 
 
 def two_payment_moves(spark: SparkSession, sf_dir: str, t: Tables | None = None):
-    return move_some_bookings(spark, sf_dir, two_payments(_tables(spark, sf_dir, t)))
+    t = t if t is not None else _held_once(bridge_tables(spark, sf_dir))
+    return move_some_bookings(spark, sf_dir, two_payments(t))
